@@ -25,7 +25,7 @@ BUCKETS = 1 << 18
 #: Documents of the trusted sample at most; the sample is the fitted part, everything else covers all rows.
 TRUSTED = 20_000
 PRIOR = 0.1
-THRESHOLD = -0.35
+THRESHOLD = -0.25
 SCALE = 1_000_000
 
 
