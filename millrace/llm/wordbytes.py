@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +71,12 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     part = raw[int(offsets[0]) : int(offsets[-1])]
+    return mixed(prefix_sums(part)(starts, ends))
+
+
+def prefix_sums(part: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of starts and ends that gives a hash (unmixed) of each run of bytes."""
     power, inverse = _tables(len(part) + 1)
     sums = np.zeros(len(part) + 1, np.uint64)
     np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return lambda starts, ends: (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
