@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, mixing, near_dup, packing, quality, toxicity
+from millrace.llm import exact_dedup, mixing, near_dup, packing, quality, secrets, toxicity
 from millrace.llm.common import documents, labels
 
 
@@ -22,6 +22,10 @@ def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_toxic_segments": op6_toxic_segments,
+    "op7_secret_scan": op7_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
