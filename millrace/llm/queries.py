@@ -6,8 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, mixing, near_dup, packing, quality, secrets, toxicity
-from millrace.llm.common import documents, labels
+from millrace.llm import exact_dedup, mixing, near_dup, packing, quality, secrets, token_counts, toxicity, warc
+from millrace.llm.common import documents, labels, pages
+
+
+def op1_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_warc(warc.write_warc(pages(spark, sf_dir)), payloads=False)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_tokens(documents(spark, sf_dir)).select("doc_id", "n_tokens")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +47,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_roundtrip": op1_warc_roundtrip,
+    "op3_token_counts": op3_token_counts,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_toxic_segments": op6_toxic_segments,
