@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, mixing, near_dup, packing, quality, secrets, token_counts, toxicity, warc
+from millrace.llm import exact_dedup, html_main, mixing, near_dup, packing, quality, secrets, token_counts, toxicity, warc
 from millrace.llm.common import documents, labels, pages
 
 
@@ -14,6 +14,10 @@ def op1_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(warc.write_warc(pages(spark, sf_dir)), payloads=False)
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(pages(spark, sf_dir))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_tokens(documents(spark, sf_dir)).select("doc_id", "n_tokens")
 
@@ -48,6 +52,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_roundtrip": op1_warc_roundtrip,
+    "op2_main_text": op2_main_text,
     "op3_token_counts": op3_token_counts,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_mix_sources": op5_mix_sources,
