@@ -1,10 +1,11 @@
 """Quality rules: counts of plain faults, and a hashed n-gram log-likelihood ratio, with DataFrame functions only.
 
 Words and pairs of words are hashed into buckets. Over all documents the bucket counts give the multinomial of the
-raw corpus; over trusted documents (labels of quality 1, a bounded sample of them) the one of the target, with the
-raw one as its Dirichlet prior. A document's score is the mean log ratio of its n-grams, so long documents weigh
-no more than short ones. Ratios are kept as whole millionths: sums are the same in any order, and the verdict of a
-document at the threshold does not depend on how rows are dealt.
+raw corpus; over trusted documents (labels of quality 1, a bounded sample of them) the one of the target. A bucket's
+ratio compares its target count with the count that the raw multinomial leads to expect, both with PRIOR more, so
+that rare n-grams, of which the sample says nothing, do not count against a clean document. A document's score is the
+mean log ratio of its n-grams, so long documents weigh no more than short ones. Ratios are kept as whole millionths:
+sums are the same in any order, and the verdict of a document at the threshold does not depend on how rows are dealt.
 
 The counts are summed on the map side before the shuffle (a row per bucket and task), the ratios are a table with
 as many rows as there are buckets, and the scores are summed by document where the document is read.
@@ -24,7 +25,8 @@ from millrace.llm.common import GAP, WHITE, stored, text_of, word_array
 BUCKETS = 1 << 18
 #: Documents of the trusted sample at most; the sample is the fitted part, everything else covers all rows.
 TRUSTED = 20_000
-PRIOR = 0.1
+#: Added to the found and the expected count of a bucket.
+PRIOR = 3.0
 THRESHOLD = -0.25
 SCALE = 1_000_000
 
@@ -102,10 +104,8 @@ def log_ratios(docs: DataFrame, labelled: DataFrame, buckets: int = BUCKETS, lim
     counts = _grams(words, ["good"], "q_words", buckets).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
     counts = stored(counts, "quality-counts")
     totals = counts.agg(F.sum("raw").alias("raw_all"), F.sum("target").alias("target_all"))
-    p_raw = F.col("raw") / F.col("raw_all")
-    strength = F.col("target_all") * F.lit(prior)
-    p_target = (F.col("target") + strength * p_raw) / (F.col("target_all") + strength)
-    ratio = F.when(F.col("target_all") > 0, F.round(F.log(p_target / p_raw) * SCALE)).otherwise(F.lit(0)).cast("long")
+    expected = F.col("raw") / F.col("raw_all") * F.col("target_all")
+    ratio = F.when(F.col("target_all") > 0, F.round(F.log((F.col("target") + prior) / (expected + prior)) * SCALE)).otherwise(F.lit(0)).cast("long")
     # One row of totals beside at most `buckets` rows of counts.
     return counts.join(F.broadcast(totals), F.lit(True)).select(F.col("bucket").alias("r_bucket"), ratio.alias("ratio"))
 
