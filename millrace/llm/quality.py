@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import GAP, WHITE, stored, text_of, word_array
+from millrace.llm.common import WHITE, stored, text_of, word_array
 
 BUCKETS = 1 << 18
 #: Documents of the trusted sample at most; the sample is the fitted part, everything else covers all rows.
@@ -31,10 +31,6 @@ THRESHOLD = -0.25
 SCALE = 1_000_000
 
 
-def _lacking(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
-
-
 def repeated_words(words: Column) -> Column:
     """Number of words that stand in a 3-word window found twice or more in the text."""
     windows = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
@@ -74,8 +70,8 @@ def base_counts(docs: DataFrame, keep: list[str], text_col: str = "text") -> Dat
         *keep,
         "q_words",
         F.size("q_words").cast("long").alias("n_words"),
-        _lacking(F.col("q_text"), WHITE).cast("long").alias("word_chars"),
-        (F.length("q_text") - _lacking(F.col("q_text"), "#*$%&|<>")).cast("long").alias("n_symbols"),
+        F.length(F.array_join("q_words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("q_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.get(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), 0).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("q_words")).alias("n_repeat_words"),
     )
