@@ -38,13 +38,21 @@ _RECORD = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
 
 
 def opened(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    """raw with the column `record` in place of the JSON text, which is parsed once for all keys."""
-    return raw.withColumn("record", F.from_json(payload, _RECORD)).drop(payload)
+    """raw with a column for each key (see raw_field) in place of the JSON text.
+
+    The generator parses a record once: filters on a key stay above it and no expression repeats the parse.
+    """
+    keep = [c for c in raw.columns if c != payload]
+    return raw.select(*keep, F.inline(F.array(F.from_json(payload, _RECORD))).alias(*[_column(f) for f in FIELDS]))
+
+
+def _column(name: str) -> str:
+    return "raw_" + name.strip(":")
 
 
 def raw_field(name: str) -> Column:
-    """A key of the raw record as text."""
-    return F.col("record")[name]
+    """A key of the raw record as text, on what `opened` returns."""
+    return F.col(_column(name))
 
 
 def blank(c: Column) -> Column:

@@ -9,28 +9,29 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import DATE_ONLY, boxed_decimal, collapsed, hours_between, local_time, local_to_utc, title_case, trimmed
 from millrace.operators.quality_gate import opened, raw_field
 
+#: Raw fields that only the cleaning reads.
+LATER = ("agency_name", "descriptor", "borough", "incident_zip", "status", "latitude", "longitude")
+
 
 def parse(raw: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """run_id, partition_date, row_num and the typed fields, with local and UTC times. A text that only looks like a time gives null."""
+    """run_id, partition_date, row_num, the fields that decide about a row, with local and UTC times, and the raw rest.
+
+    What only changes how a row looks is left to `stage`, behind the removal of rejected rows and old versions. A text
+    that only looks like a time gives null.
+    """
     f = raw_field
     version = F.when(f(":updated_at").rlike(DATE_ONLY), F.try_to_timestamp(f(":updated_at")))
     out = opened(raw).select(
         "run_id",
         "partition_date",
         "row_num",
+        *[f(k) for k in LATER],
         trimmed(f("unique_key")).alias("unique_key"),
         local_time(f("created_date")).alias("created_local"),
         local_time(f("closed_date")).alias("closed_local"),
         version.alias("source_updated_at"),
         F.nullif(F.upper(F.trim(f("agency"))), F.lit("")).alias("agency_code"),
         collapsed(f("complaint_type")).alias("complaint_raw"),
-        trimmed(f("agency_name")).alias("agency_name"),
-        F.coalesce(title_case(collapsed(f("descriptor"))), F.lit("")).alias("descriptor"),
-        F.coalesce(F.nullif(F.nullif(F.upper(F.trim(f("borough"))), F.lit("")), F.lit("UNSPECIFIED")), F.lit("UNKNOWN")).alias("borough"),
-        F.coalesce(F.regexp_extract(F.trim(f("incident_zip")), r"^(\d{5})", 1), F.lit("")).alias("zip"),
-        title_case(trimmed(f("status"))).alias("status"),
-        boxed_decimal(f("latitude"), "40.4", "41.0").alias("latitude"),
-        boxed_decimal(f("longitude"), "-74.3", "-73.6").alias("longitude"),
     )
     out = out.withColumns({"created_at": local_to_utc(F.col("created_local")), "closed_raw": local_to_utc(F.col("closed_local"))})
     possible = (F.col("closed_raw") >= F.col("created_at")) & (F.col("closed_raw") <= (F.current_timestamp() if as_of is None else as_of))
@@ -61,12 +62,19 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def stage(reasoned: DataFrame) -> DataFrame:
     """Accepted rows in their final types, the latest version of each key of a partition."""
-    cleaned = reasoned.where(F.col("reject_reason").isNull()).select(
-        "run_id", "partition_date", "row_num", "unique_key", "created_at", "closed_at", "agency_code", "agency_name",
-        title_case(F.col("complaint_raw")).alias("complaint_type"), "descriptor", "borough", "zip", "status", "latitude", "longitude",
+    f = raw_field
+    newest = latest(reasoned.where(F.col("reject_reason").isNull()), ["run_id", "partition_date", "unique_key"], [F.col("source_updated_at").desc_nulls_last(), F.col("row_num").desc()])
+    return newest.select(
+        "run_id", "partition_date", "row_num", "unique_key", "created_at", "closed_at", "agency_code", trimmed(f("agency_name")).alias("agency_name"),
+        title_case(F.col("complaint_raw")).alias("complaint_type"),
+        F.coalesce(title_case(collapsed(f("descriptor"))), F.lit("")).alias("descriptor"),
+        F.coalesce(F.nullif(F.nullif(F.upper(F.trim(f("borough"))), F.lit("")), F.lit("UNSPECIFIED")), F.lit("UNKNOWN")).alias("borough"),
+        F.coalesce(F.regexp_extract(F.trim(f("incident_zip")), r"^(\d{5})", 1), F.lit("")).alias("zip"),
+        title_case(trimmed(f("status"))).alias("status"),
+        boxed_decimal(f("latitude"), "40.4", "41.0").alias("latitude"),
+        boxed_decimal(f("longitude"), "-74.3", "-73.6").alias("longitude"),
         hours_between(F.col("created_at"), F.col("closed_at")).alias("resolution_hours"), "source_updated_at", F.to_date("created_local").alias("created_day"),
     )
-    return latest(cleaned, ["run_id", "partition_date", "unique_key"], [F.col("source_updated_at").desc_nulls_last(), F.col("row_num").desc()])
 
 
 def transform_stats(reasoned: DataFrame, staged: DataFrame) -> DataFrame:
