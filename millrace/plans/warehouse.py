@@ -1,0 +1,46 @@
+"""Versioned tables of Parquet files with one commit for all of them.
+
+A run writes its tables into a folder of its own and then one row to `_commits/n`: the write of that small folder
+either takes place or does not, and fails if another run has taken number n. Readers follow the last commit.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class Warehouse:
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self.number, self.paths = self._last()
+
+    def _last(self) -> tuple[int, dict[str, str]]:
+        try:
+            commits = self.spark.read.option("recursiveFileLookup", "true").schema("number int, run_id string, paths map<string,string>").parquet(f"{self.root}/_commits")
+        except AnalysisException:
+            return 0, {}
+        last = commits.orderBy(F.col("number").desc()).limit(1).collect()
+        return (last[0]["number"], dict(last[0]["paths"])) if last else (0, {})
+
+    def read(self, table: str, schema: str) -> DataFrame:
+        """A table as of the commit this object was opened at; empty where there is none."""
+        if table in self.paths:
+            return self.spark.read.parquet(self.paths[table])
+        return self.spark.createDataFrame([], schema)
+
+    def write(self, run_id: str, tables: dict[str, DataFrame], attempt: int = 1) -> dict[str, str]:
+        """Writes tables to the run's own folder, where nobody reads them yet."""
+        paths = {}
+        for name, df in tables.items():
+            paths[name] = f"{self.root}/{name}/run={run_id}-{self.number + 1}-{attempt}"
+            df.write.mode("overwrite").parquet(paths[name])
+        return paths
+
+    def commit(self, run_id: str, paths: dict[str, str]) -> None:
+        """Makes written tables current. Raises if another run has committed since this object was opened."""
+        merged = self.paths | paths
+        row = self.spark.createDataFrame([(self.number + 1, run_id, merged)], "number int, run_id string, paths map<string,string>")
+        row.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/_commits/{self.number + 1}")
+        self.number, self.paths = self.number + 1, merged
