@@ -13,7 +13,12 @@ of copies with a third of all rows is no hot key). Signatures are cut into bands
 value meet in a bucket. No bucket is expanded into its pairs: each round compares the members of a bucket with one
 of them, its pivot, and joins those of exact similarity >= threshold; buckets whose members are all in one class are
 done. After the rounds only members of a bucket that are still in different classes, and were not compared yet, are
-left, and these are compared one with another, so no link that shares a bucket is lost. Classes are connected
+left, and these are compared one with another, so no link that shares a bucket is lost. Two tests inside these joins
+keep a bucket from turning into rows for its pairs. Each set has a parity sketch, in which a shingle flips one bit: the
+bits in which two sketches differ are never more than the shingles in which the sets differ, so a pair with too many is
+surely below the threshold. And four bits of each signature coordinate travel along: a pair whose coordinates differ at
+more places than DEVIATIONS standard deviations above what the threshold leads to expect is not one (3 in a million
+links at the very threshold); that one also works for long texts, whose parity sketches are full. Classes are connected
 components, found by joins; labels never leave the executors.
 
 Edge cases: a text of 1 to 4 words is one shingle of all its words; texts without a word (null, empty, white space)
@@ -24,10 +29,11 @@ one of the texts stands for the id; rows without an id are in no class and stay;
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored
@@ -38,6 +44,11 @@ THRESHOLD = 0.8
 BANDS = 40
 ROWS = 6
 ROUNDS = 3
+#: Bits of each coordinate in a sketch.
+BITS = 4
+DEVIATIONS = 4.5
+#: Bits of a parity sketch.
+PARITY = 1024
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +112,38 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray | None, per: np.nd
     return out
 
 
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """The lowest BITS bits of all coordinates: for each bit as many 64-bit words as the coordinates fill."""
+    n, k = signatures.shape
+    planes = np.zeros((n, BITS, -(-k // 64) * 64), np.uint8)
+    for p in range(BITS):
+        planes[:, p, :k] = (signatures >> np.uint64(p)) & np.uint64(1)
+    return np.packbits(planes, axis=2).reshape(n, -1).view(np.int64)
+
+
+def could_be_similar(a: str, b: str, coordinates: int, threshold: float) -> Column:
+    """Whether two sketches differ at no more coordinates than similar sets do, but for DEVIATIONS standard deviations."""
+    words = -(-coordinates // 64)
+    same = threshold + (1 - threshold) / 2**BITS
+    most = int(coordinates * (1 - same + DEVIATIONS * (same * (1 - same) / coordinates) ** 0.5))
+    differ = F.lit(0)
+    for w in range(words):
+        either = F.lit(0).cast("long")
+        for p in range(BITS):
+            at = p * words + w
+            either = either.bitwiseOR(F.get(F.col(a), F.lit(at)).bitwiseXOR(F.get(F.col(b), F.lit(at))))
+        differ = differ + F.bit_count(either)
+    return differ <= most
+
+
+def within_reach(a: str, b: str, a_size: str, b_size: str, threshold: float) -> Column:
+    """Whether two parity sketches differ in no more bits than similar sets differ in elements. Never false for similar sets."""
+    differ = F.lit(0)
+    for w in range(PARITY // 64):
+        differ = differ + F.bit_count(F.get(F.col(a), F.lit(w)).bitwiseXOR(F.get(F.col(b), F.lit(w))))
+    return differ <= (F.col(a_size) + F.col(b_size)) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
+
+
 def _signed(bands: int, rows: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
@@ -121,6 +164,7 @@ def _signed(bands: int, rows: int, n: int) -> Callable[[Iterator[pa.RecordBatch]
                     digest.append(sums[begins + counts] - sums[begins] + counts.astype(np.uint64))
                 some = np.flatnonzero(per)
                 keys: list[np.ndarray | None] = [None] * (b - a)
+                bits: list[np.ndarray | None] = [None] * (b - a)
                 for lo in range(0, len(some), 256):
                     part = some[lo : lo + 256]
                     first = int(per[: part[0]].sum())
@@ -128,18 +172,22 @@ def _signed(bands: int, rows: int, n: int) -> Callable[[Iterator[pa.RecordBatch]
                     band = np.broadcast_to(salt, (len(part), bands)).copy()
                     for r in range(rows):
                         band = mixed(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::rows])
-                    for i, row in zip(part.tolist(), band.view(np.int64)):
-                        keys[i] = row
+                    for i, row, sketch in zip(part.tolist(), band.view(np.int64), sketches(sig)):
+                        keys[i], bits[i] = row, sketch
                 yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "d1", "d2", "keys"],
+                    [batch.column(0).slice(a, b - a), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                    names=["doc_id", "d1", "d2", "keys", "sketch"],
                 )
 
     return run
 
 
 def _sets(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The distinct shingles of each text, in order."""
+    """The distinct shingles of each text in order, their number and their parity sketch."""
+
+    def parity(items: np.ndarray) -> np.ndarray:
+        flips = np.bincount((mixed(items.view(np.uint64)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+        return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,8 +196,11 @@ def _sets(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
                 cut = offsets[a : b + 1]
                 starts, ends, counts = words(raw, cut)
                 values, per = shingles(word_hashes(raw, cut, starts, ends), counts, n)
-                cuts = np.split(values, np.cumsum(per)[:-1]) if b > a else []
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([np.unique(v.view(np.int64)) for v in cuts], pa.list_(pa.int64()))], names=["node", "items"])
+                items = [np.unique(v.view(np.int64)) for v in np.split(values, np.cumsum(per)[:-1])]
+                yield pa.record_batch(
+                    [batch.column(0).slice(a, b - a), pa.array(items, pa.list_(pa.int64())), pa.array([len(i) for i in items], pa.int64()), pa.array([parity(i) for i in items], pa.list_(pa.int64()))],
+                    names=["node", "items", "size", "parity"],
+                )
 
     return run
 
@@ -174,62 +225,72 @@ def _similar(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def components(nodes: DataFrame, links: DataFrame, full: bool = True) -> DataFrame:
-    """node, label: the smallest node of the component. links: a, b. Labels pass along links and are then shortcut, until none changes."""
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-links")
-    labels = stored(nodes.select("node", F.col("node").alias("label")).join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi"), "near-labels")
-    for turn in range(64):
-        heard = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        lower = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = stored(lower.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "near-labels")
-        moved = new.where(F.col("old") != F.col("label")).limit(1).count()
+def nearer_labels(labels: DataFrame, both: DataFrame) -> DataFrame:
+    """node, old, label: labels (node, label) after each node has heard its neighbours' labels (both: a, b in both directions) and taken its label's own label."""
+    heard = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+    lower = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+    jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+    return lower.join(jump, "label").select("node", "old", F.least("label", "further").alias("label"))
+
+
+def components(links: DataFrame, full: bool = True) -> DataFrame:
+    """node, label of all nodes with links (a, b): the smallest node of the component; with full False only the smallest nearby."""
+    both = links.select("a", "b").union(links.select("b", "a")).distinct()
+    if not full:
+        return stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "near-labels")
+    both = stored(both, "near-links")
+    labels = both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("label"))
+    while True:
+        new = stored(nearer_labels(labels, both), "near-labels")
         labels = new.select("node", "label")
-        if not moved or not full and turn:
-            break
-    return labels
+        if new.where(F.col("old") != F.col("label")).isEmpty():
+            return labels
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), class_size, kept: one row per row of docs. Of a class the row with the smallest id is kept."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(text.mapInArrow(_signed(bands, rows, n), "doc_id long, d1 long, d2 long, keys array<long>"), "near-signed")
+    signed = stored(text.mapInArrow(_signed(bands, rows, n), "doc_id long, d1 long, d2 long, keys array<long>, sketch array<long>"), "near-signed")
     # One node per sequence of words; its name is the smallest id, and a digest where all ids are null.
-    nodes = stored(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "near-nodes")
+    nodes = stored(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "near-nodes")
     keyed = nodes.where(F.col("keys").isNotNull() & F.col("node").isNotNull()).select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = stored(keyed.join(shared, "key"), "near-buckets")
-    live = stored(buckets.select("node").distinct(), "near-live")
-    nodes_text = text.join(live, F.col("doc_id") == F.col("node"), "left_semi")
-    sets = stored(nodes_text.mapInArrow(_sets(n), "node long, items array<long>").dropDuplicates(["node"]), "near-sets")
+    met_once = stored(keyed.join(shared, "key"), "near-met")
+    live = stored(met_once.select("node").distinct(), "near-live")
+    # Ids of candidates grow with the corpus, so they are dealt like the texts and never broadcast.
+    nodes_text = text.join(live.hint("shuffle_hash"), F.col("doc_id") == F.col("node"), "left_semi")
+    sets = stored(nodes_text.mapInArrow(_sets(n), "node long, items array<long>, size long, parity array<long>").dropDuplicates(["node"]), "near-sets")
+    sketched = stored(nodes.where("sketch IS NOT NULL").select("node", "sketch").dropDuplicates(["node"]).join(sets.select("node", "size", "parity"), "node"), "near-sketched")
+    alike = within_reach("parity", "p_parity", "size", "p_size", threshold) & could_be_similar("sketch", "p_sketch", bands * rows, threshold)
 
     def compared(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
         right = sets.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
         return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items").mapInArrow(_similar(threshold), "a long, b long, linked boolean"), "near-compared")
 
-    done: DataFrame | None = None
-    open_buckets = buckets.withColumn("label", F.col("node"))
+    found: list[DataFrame] = []  # of each round, its pairs and whether they are links
+    union = lambda frames: reduce(DataFrame.union, frames)
+    open_buckets = met_once.withColumn("label", F.col("node")).join(sketched, "node")
+    carried = ("node", "label", "size", "parity", "sketch")
     for turn in range(rounds + 1):
+        other = [F.col("node").alias("y"), *[F.col(c).alias(f"p_{c}") for c in carried[1:]]]
         if turn < rounds:
-            pivots = open_buckets.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("p"))
-            met = open_buckets.join(pivots, "key").where(F.col("label") != F.col("p.label")).select(F.col("node").alias("x"), F.col("p.node").alias("y"))
+            pivots = open_buckets.groupBy("key").agg(F.min_by(F.struct(*carried), F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("p"))
+            met = open_buckets.join(pivots.select("key", "p.*").select("key", *other), "key").where((F.col("label") != F.col("p_label")) & alike)
         else:
-            one, two = (open_buckets.select("key", F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in ("x", "y"))
-            met = one.join(two, "key").where((F.col("x") < F.col("y")) & (F.col("x_label") != F.col("y_label"))).select("x", "y")
+            met = open_buckets.join(open_buckets.select("key", *other), "key").where((F.col("node") < F.col("y")) & (F.col("label") != F.col("p_label")) & alike)
+        met = met.select(F.col("node").alias("x"), "y")
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "near-pairs")
-        if turn and pairs.isEmpty():
+        if found:
+            pairs = pairs.join(union(found).select("a", "b"), ["a", "b"], "left_anti")
+        found.append(compared(pairs))
+        if turn == rounds:
             break
-        found = compared(pairs)
-        done = found if done is None else stored(done.union(found), "near-done")
-        labels = components(live, done.where("linked"), full=turn == rounds)
-        named = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        labels = components(union(found).where("linked"), full=False)
+        named = met_once.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         mixed_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi AND n > 2").select("key")
-        open_buckets = stored(named.join(mixed_keys, "key"), "near-open")
-    labels = components(live, done.where("linked"))
+        open_buckets = stored(named.join(mixed_keys, "key").join(sketched, "node"), "near-open")
+    labels = components(union(found).where("linked"))
     classed = nodes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("class_id"), "copies")
     total = classed.groupBy(F.col("class_id").alias("t_id")).agg(F.sum("copies").alias("class_size"))
     classed = classed.join(total, F.col("class_id").eqNullSafe(F.col("t_id"))).select("d1", "d2", "class_id", "class_size")
