@@ -8,8 +8,8 @@ hash, and the ids of a whole batch are gathered by array indexing.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,6 @@ from millrace.llm.wordbytes import steps, text_bytes, word_hashes, words
 DEFAULT = "word_bpe_49k.json"
 #: Chunks kept at most; a full store is emptied, which costs time and never changes a result.
 STORE = 3 << 19
-#: A word of letters that lower-casing and composition leave apart from the mark behind it.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 _open: dict[str, "ChunkTokenizer"] = {}
 
 
@@ -43,20 +41,32 @@ class ChunkTokenizer:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode(self, chunks: list[str]) -> list[list[int]]:
-        matched = [_PLAIN.fullmatch(c) for c in chunks]
-        heads = {m[1].lower() for m in matched if m} - self._letters.keys()
-        self._letters.update(zip(heads, self._plain(list(heads))))
-        rest = iter(self._plain([c for c, m in zip(chunks, matched) if not m]))
-        return [self._letters[m[1].lower()] + self._marks[m[2]] if m else next(rest) for m in matched]
+        """A chunk of plain letters, and perhaps one mark behind them, is the ids of both; letters recur in many chunks."""
+        heads: list[str | None] = []
+        tails: list[list[int]] = []
+        odd: list[str] = []
+        for c in chunks:
+            head, mark = (c[:-1], c[-1]) if c[-1] in ".," else (c, "")
+            if head.isalpha() and (head.isascii() or max(head) <= "ÿ"):
+                heads.append(head.lower())
+                tails.append(self._marks[mark])
+            else:
+                heads.append(None)
+                odd.append(c)
+                tails.append([])
+        fresh = list({h for h in heads if h is not None} - self._letters.keys())
+        self._letters.update(zip(fresh, self._plain(fresh)))
+        rest = iter(self._plain(odd))
+        letters = self._letters
+        return [letters[h] + t if h is not None else next(rest) for h, t in zip(heads, tails)]
 
     def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
         ids = self._encode(chunks)
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         starts = len(self._flat) + np.cumsum(counts) - counts
-        self._flat = np.concatenate([self._flat, np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))])
-        at = np.concatenate([self._hashes, hashes])
-        order = np.argsort(at, kind="stable")
-        self._hashes, self._starts, self._counts = at[order], np.concatenate([self._starts, starts])[order], np.concatenate([self._counts, counts])[order]
+        self._flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))])
+        place = np.searchsorted(self._hashes, hashes)  # hashes are sorted, so the store stays sorted
+        self._hashes, self._starts, self._counts = (np.insert(old, place, new) for old, new in ((self._hashes, hashes), (self._starts, starts), (self._counts, counts)))
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
