@@ -15,7 +15,8 @@ from millrace.llm.common import documents, labels, stored
 
 def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is among the kept ones; rows without an id go by the verdict of null."""
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    # Kept ids grow with the corpus, so they are dealt like the documents and never broadcast.
+    kept = verdicts.where("kept").select(F.col("doc_id").alias("kept_id")).distinct().hint("shuffle_hash")
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 

@@ -138,4 +138,5 @@ def _scored(docs: DataFrame, carry: list[str], ratios: DataFrame, threshold: flo
 def kept_documents(docs: DataFrame, labelled: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that pass, with the columns of docs. The verdict is found per row and joined by a row's id."""
     verdicts = stored(quality(docs, labelled, threshold).where("kept").select(F.col("doc_id").alias("k_id")).distinct(), "quality-kept")
-    return docs.join(verdicts, docs["doc_id"].eqNullSafe(verdicts["k_id"]), "left_semi")
+    # Kept ids grow with the corpus, so they are dealt like the documents and never broadcast.
+    return docs.join(verdicts.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(verdicts["k_id"]), "left_semi")
