@@ -42,11 +42,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends there and a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name)
+def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: lineage ends there and a lost executor costs no recomputation.
+
+    small: a table far smaller than its input; it is written in a fifth as many files as a shuffle has partitions.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    if small:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 5))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS = 40
 ROWS = 6
-ROUNDS = 3
+ROUNDS = 2
 #: Bits of each coordinate in a sketch.
 BITS = 4
 DEVIATIONS = 4.5
@@ -237,11 +237,12 @@ def components(links: DataFrame, full: bool = True) -> DataFrame:
     """node, label of all nodes with links (a, b): the smallest node of the component; with full False only the smallest nearby."""
     both = links.select("a", "b").union(links.select("b", "a")).distinct()
     if not full:
-        return stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "near-labels")
-    both = stored(both, "near-links")
+        return both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    both = stored(both, "near-links", small=True)
     labels = both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("label"))
     while True:
-        new = stored(nearer_labels(labels, both), "near-labels")
+        once = nearer_labels(labels, both).select("node", "label")
+        new = stored(nearer_labels(once, both), "near-labels", small=True)
         labels = new.select("node", "label")
         if new.where(F.col("old") != F.col("label")).isEmpty():
             return labels
@@ -256,17 +257,17 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, b
     keyed = nodes.where(F.col("keys").isNotNull() & F.col("node").isNotNull()).select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     met_once = stored(keyed.join(shared, "key"), "near-met")
-    live = stored(met_once.select("node").distinct(), "near-live")
+    live = met_once.select("node").distinct()
     # Ids of candidates grow with the corpus, so they are dealt like the texts and never broadcast.
     nodes_text = text.join(live.hint("shuffle_hash"), F.col("doc_id") == F.col("node"), "left_semi")
     sets = stored(nodes_text.mapInArrow(_sets(n), "node long, items array<long>, size long, parity array<long>").dropDuplicates(["node"]), "near-sets")
-    sketched = stored(nodes.where("sketch IS NOT NULL").select("node", "sketch").dropDuplicates(["node"]).join(sets.select("node", "size", "parity"), "node"), "near-sketched")
+    sketched = stored(nodes.where("sketch IS NOT NULL").select("node", "sketch").dropDuplicates(["node"]).join(sets.select("node", "size", "parity"), "node"), "near-sketched", small=True)
     alike = within_reach("parity", "p_parity", "size", "p_size", threshold) & could_be_similar("sketch", "p_sketch", bands * rows, threshold)
 
     def compared(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
         right = sets.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
-        return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items").mapInArrow(_similar(threshold), "a long, b long, linked boolean"), "near-compared")
+        return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items").mapInArrow(_similar(threshold), "a long, b long, linked boolean"), "near-compared", small=True)
 
     found: list[DataFrame] = []  # of each round, its pairs and whether they are links
     union = lambda frames: reduce(DataFrame.union, frames)
@@ -289,7 +290,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, b
         labels = components(union(found).where("linked"), full=False)
         named = met_once.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         mixed_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi AND n > 2").select("key")
-        open_buckets = stored(named.join(mixed_keys, "key").join(sketched, "node"), "near-open")
+        open_buckets = stored(named.join(mixed_keys, "key").join(sketched, "node"), "near-open", small=True)
     labels = components(union(found).where("linked"))
     classed = nodes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("class_id"), "copies")
     total = classed.groupBy(F.col("class_id").alias("t_id")).agg(F.sum("copies").alias("class_size"))
