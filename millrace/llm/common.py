@@ -65,3 +65,21 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+#: The column that tells rows apart where ids are missing or repeated.
+ROW = "row_key"
+
+
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number of its own for each row in ROW; written once, so that every reading finds the same numbers."""
+    if ROW in docs.columns:
+        return docs
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose ROW is in kept, which has each of them once."""
+    # Kept rows grow with the corpus, so they are dealt like the documents and never broadcast.
+    chosen = kept.select(F.col(ROW).alias("kept_row")).hint("shuffle_hash")
+    return docs.join(chosen, docs[ROW] == chosen["kept_row"], "left_semi")

@@ -22,8 +22,9 @@ links at the very threshold); that one also works for long texts, whose parity s
 components, found by joins; labels never leave the executors.
 
 Edge cases: a text of 1 to 4 words is one shingle of all its words; texts without a word (null, empty, white space)
-are equal to each other and form one class; rows with equal ids are one node as far as their texts are equal, else
-one of the texts stands for the id; rows without an id are in no class and stay; an empty table gives an empty result.
+are equal to each other and form one class; nodes are named by a row key, never by an id, so texts without an id or with
+the id of another text are compared like all others; the class of texts without any id has no class_id; of the rows of
+a class exactly one is kept, also where ids are null or repeated; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import ROW, stored, with_row_key
 from millrace.llm.wordbytes import mixed, steps, text_bytes, word_hashes, words
 
 WORDS = 5
@@ -175,8 +176,8 @@ def _signed(bands: int, rows: int, n: int) -> Callable[[Iterator[pa.RecordBatch]
                     for i, row, sketch in zip(part.tolist(), band.view(np.int64), sketches(sig)):
                         keys[i], bits[i] = row, sketch
                 yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                    names=["doc_id", "d1", "d2", "keys", "sketch"],
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                    names=[ROW, "doc_id", "d1", "d2", "keys", "sketch"],
                 )
 
     return run
@@ -249,19 +250,25 @@ def components(links: DataFrame, full: bool = True) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class), class_size, kept: one row per row of docs. Of a class the row with the smallest id is kept."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(text.mapInArrow(_signed(bands, rows, n), "doc_id long, d1 long, d2 long, keys array<long>, sketch array<long>"), "near-signed")
-    # One node per sequence of words; its name is the smallest id, and a digest where all ids are null.
-    nodes = stored(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "near-nodes")
-    keyed = nodes.where(F.col("keys").isNotNull() & F.col("node").isNotNull()).select("node", F.explode("keys").alias("key"))
+    """doc_id, class_id (the smallest doc_id of the class), class_size, kept: one row per row of docs. Of a class one row with the smallest id is kept.
+
+    Where docs has a ROW column, it must tell its rows apart, and the result has it too.
+    """
+    carry = [ROW] if ROW in docs.columns else []
+    text = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry), "near-rows").select(ROW, "text", "doc_id")
+    signed = stored(text.mapInArrow(_signed(bands, rows, n), f"{ROW} long, doc_id long, d1 long, d2 long, keys array<long>, sketch array<long>"), "near-signed")
+    # One node per sequence of words; its name is the key of the row that stands first in it, a row with the smallest id.
+    best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)
+    nodes = signed.groupBy("d1", "d2").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    nodes = stored(nodes.withColumn("node", F.col("best")[ROW]), "near-nodes")
+    keyed = nodes.where("keys IS NOT NULL").select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     met_once = stored(keyed.join(shared, "key"), "near-met")
     live = met_once.select("node").distinct()
-    # Ids of candidates grow with the corpus, so they are dealt like the texts and never broadcast.
-    nodes_text = text.join(live.hint("shuffle_hash"), F.col("doc_id") == F.col("node"), "left_semi")
-    sets = stored(nodes_text.mapInArrow(_sets(n), "node long, items array<long>, size long, parity array<long>").dropDuplicates(["node"]), "near-sets")
-    sketched = stored(nodes.where("sketch IS NOT NULL").select("node", "sketch").dropDuplicates(["node"]).join(sets.select("node", "size", "parity"), "node"), "near-sketched", small=True)
+    # Candidates grow with the corpus, so they are dealt like the texts and never broadcast.
+    nodes_text = text.join(live.hint("shuffle_hash"), F.col(ROW) == F.col("node"), "left_semi").select(ROW, "text")
+    sets = stored(nodes_text.mapInArrow(_sets(n), "node long, items array<long>, size long, parity array<long>"), "near-sets")
+    sketched = stored(nodes.where("sketch IS NOT NULL").select("node", "sketch").join(sets.select("node", "size", "parity"), "node"), "near-sketched", small=True)
     alike = within_reach("parity", "p_parity", "size", "p_size", threshold) & could_be_similar("sketch", "p_sketch", bands * rows, threshold)
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -292,8 +299,8 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, b
         mixed_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi AND n > 2").select("key")
         open_buckets = stored(named.join(mixed_keys, "key").join(sketched, "node"), "near-open", small=True)
     labels = components(union(found).where("linked"))
-    classed = nodes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("class_id"), "copies")
-    total = classed.groupBy(F.col("class_id").alias("t_id")).agg(F.sum("copies").alias("class_size"))
-    classed = classed.join(total, F.col("class_id").eqNullSafe(F.col("t_id"))).select("d1", "d2", "class_id", "class_size")
-    out = signed.select("doc_id", "d1", "d2").join(classed, ["d1", "d2"])
-    return out.select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    classed = nodes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("label"), "copies", "best")
+    total = classed.groupBy(F.col("label").alias("t_label")).agg(F.sum("copies").alias("class_size"), F.min("best").alias("first"))
+    classed = classed.join(total, F.col("label") == F.col("t_label")).select("d1", "d2", "class_size", F.col("first.doc_id").alias("class_id"), F.col("first")[ROW].alias("first_row"))
+    out = signed.select(ROW, "doc_id", "d1", "d2").join(classed, ["d1", "d2"])
+    return out.select("doc_id", "class_id", "class_size", (F.col(ROW) == F.col("first_row")).alias("kept"), *carry)

@@ -123,6 +123,19 @@ def test_near_groups_are_components_of_similar_texts(spark):
     assert got == jaccard_classes(rows)
 
 
+def test_near_groups_link_texts_without_ids_or_with_shared_ids(spark):
+    rng = random.Random(6)
+    words = lambda: [rng.choice(VOCABULARY) + rng.choice(VOCABULARY) for _ in range(120)]
+    a, b, c, d = words(), words(), words(), words()
+    near = lambda w: " ".join([*w[:-1], "else"])
+    rows = [(None, " ".join(a), "a"), (None, near(a), "a"), (5, " ".join(b), "b"), (None, near(b), "b"), (7, " ".join(c), "c"), (7, " ".join(d), "d"), (8, near(c), "c"), (9, near(d), "d"), (3, "x y", "e"), (3, "x y", "e")]
+    keyed = spark.createDataFrame([(k, i, t) for k, (i, t, _) in enumerate(rows)], f"{common.ROW} long, doc_id long, text string")
+    got = {r[common.ROW]: (r["class_id"], r["class_size"], r["kept"]) for r in near_dup.near_groups(keyed.repartition(3)).collect()}
+    assert len(got) == len(rows)
+    assert [got[k][:2] for k in range(10)] == [(None, 2), (None, 2), (5, 2), (5, 2), (7, 2), (7, 2), (7, 2), (7, 2), (3, 2), (3, 2)]
+    assert [k for k in range(10) if got[k][2]] == [0, 2, 4, 5, 8]
+
+
 def test_dart_signatures_agree_as_weighted_jaccard():
     rng = np.random.default_rng(1)
     items = rng.integers(1, 2**63, 300).astype(np.uint64)
