@@ -2,22 +2,16 @@
 
 Each stage is a function of (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. Stages are joined by Parquet in the shared folder, so a lost executor costs one stage's tasks at most.
+Verdicts are found per row and take effect on that row: rows have a key of their own, as ids may be null or repeated.
+A stage gives its rows keys where they have none; run() gives them once, for all stages up to the mix.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, mixing, near_dup, packing, quality
-from millrace.llm.common import documents, labels, stored
-
-
-def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among the kept ones; rows without an id go by the verdict of null."""
-    # Kept ids grow with the corpus, so they are dealt like the documents and never broadcast.
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("kept_id")).distinct().hint("shuffle_hash")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+from millrace.llm.common import ROW, documents, labels, rows_of, stored, with_row_key
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,18 +20,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id."""
-    return _only(docs, stored(exact_dedup.exact_groups(docs, keep="smallest"), "pipeline-exact"))
+    """Of equal texts one row, with the smallest doc_id."""
+    rows = with_row_key(docs, "pipeline-rows")
+    verdicts = stored(exact_dedup.exact_groups(rows, keep="smallest").select(ROW, "kept"), "pipeline-exact")
+    return rows_of(rows, verdicts.where("kept")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the one with the smallest doc_id."""
-    return _only(docs, stored(near_dup.near_groups(docs), "pipeline-near"))
+    """Of each class of near duplicates one row, with the smallest doc_id."""
+    rows = with_row_key(docs, "pipeline-rows")
+    verdicts = stored(near_dup.near_groups(rows).select(ROW, "kept"), "pipeline-near")
+    return rows_of(rows, verdicts.where("kept")).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.mixed(docs)
+    return mixing.mixed(docs.drop(ROW))  # copies are no rows of their own
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = with_row_key(documents(spark, sf_dir), "pipeline-rows")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import stored, text_of
+from millrace.llm.common import ROW, stored, text_of
 
 NORMALIZERS: dict[str, Callable[[Column], Column]] = {
     "none": lambda c: c,
@@ -32,13 +32,14 @@ NORMALIZERS: dict[str, Callable[[Column], Column]] = {
 _RUNS = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("sha", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("keep_id", T.LongType()), T.StructField("first", T.BooleanType()), T.StructField("edge", T.BooleanType())]
 )
+_NAMES = _RUNS.names
 
 
-def _runs(keep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Reads a sorted range and returns its rows with the size and the kept id of the run of equal texts they are in. Only ids are held for a run, never its texts."""
+def _runs(keep: str, carry: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Reads a sorted range and returns its rows with the size and the kept id of the run of equal texts they are in. Only ids are held for a run, never its texts. The columns in carry come along."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def closed(ids: list[np.ndarray], null: list[np.ndarray], sha: bytes, edge: bool) -> pa.RecordBatch:
+        def closed(ids: list[np.ndarray], null: list[np.ndarray], more: list[list[pa.Array]], sha: bytes, edge: bool) -> pa.RecordBatch:
             every, missing = np.concatenate(ids), np.concatenate(null)
             real = every[~missing]
             kept = None if not len(real) else int(real.max() if keep == "largest" else real.min())
@@ -46,11 +47,11 @@ def _runs(keep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             first = np.zeros(n, dtype=bool)
             first[int(np.flatnonzero(missing)[0]) if kept is None else int(np.flatnonzero((every == kept) & ~missing)[0])] = True
             return pa.record_batch(
-                [pa.array(every, mask=missing), pa.array([sha], pa.binary()).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, n)), pa.array([kept], pa.int64()).take(pa.array(np.zeros(n, np.int32))), pa.array(first), pa.array(np.full(n, edge))],
-                names=["doc_id", "sha", "n", "keep_id", "first", "edge"],
+                [pa.array(every, mask=missing), pa.array([sha], pa.binary()).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, n)), pa.array([kept], pa.int64()).take(pa.array(np.zeros(n, np.int32))), pa.array(first), pa.array(np.full(n, edge)), *(pa.concat_arrays(c) for c in zip(*more))],
+                names=[*_NAMES, *carry],
             )
 
-        text, sha, ids, null, head = None, b"", [], [], True
+        text, sha, ids, null, more, head = None, b"", [], [], [], True
         ready: list[pa.RecordBatch] = []
         held = 0
         for batch in batches:
@@ -59,6 +60,7 @@ def _runs(keep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 continue
             texts, raw = batch.column("content"), batch.column("doc_id")
             doc_ids, missing = raw.fill_null(0).to_numpy(zero_copy_only=False), raw.is_null().to_numpy(zero_copy_only=False)
+            others = [batch.column(c) for c in carry]
             differs = np.ones(n, dtype=bool)
             differs[0] = text is None or texts[0].as_py() != text
             if n > 1:
@@ -71,41 +73,47 @@ def _runs(keep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 stop = int(bounds[0]) if len(starts) else n
                 ids.append(doc_ids[:stop])
                 null.append(missing[:stop])
+                more.append([c.slice(0, stop) for c in others])
             single: list[int] = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if ids:
-                    ready.append(closed(ids, null, sha, head))
+                    ready.append(closed(ids, null, more, sha, head))
                     held += ready[-1].num_rows
                     head = False
-                    ids, null = [], []
+                    ids, null, more = [], [], []
                 if b < n and b - a == 1 and not head:
                     single.append(a)
                     continue
-                ids, null, sha = [doc_ids[a:b]], [missing[a:b]], shas[a].as_py()
+                ids, null, more, sha = [doc_ids[a:b]], [missing[a:b]], [[c.slice(a, b - a) for c in others]], shas[a].as_py()
             if single:
                 at = pa.array(single)
                 k = len(single)
-                ready.append(pa.record_batch([raw.take(at), shas.take(at), pa.array(np.ones(k, np.int64)), raw.take(at), pa.array(np.ones(k, bool)), pa.array(np.zeros(k, bool))], names=["doc_id", "sha", "n", "keep_id", "first", "edge"]))
+                ready.append(pa.record_batch([raw.take(at), shas.take(at), pa.array(np.ones(k, np.int64)), raw.take(at), pa.array(np.ones(k, bool)), pa.array(np.zeros(k, bool)), *(c.take(at) for c in others)], names=[*_NAMES, *carry]))
                 held += k
             text = texts[n - 1].as_py()
             if held >= 10_000:
                 yield from ready
                 ready, held = [], 0
         if ids:
-            ready.append(closed(ids, null, sha, True))
+            ready.append(closed(ids, null, more, sha, True))
         yield from ready
 
     return scan
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalize: str = "none", keep: str = "smallest") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs. keep: "smallest" or "largest" id of a group."""
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs, of which a group has one kept. keep: "smallest" or "largest" id of a group.
+
+    Where docs has a ROW column, the result has it too.
+    """
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep is smallest or largest, not {keep}")
     content = F.encode(NORMALIZERS[normalize](text_of(text_col)), "UTF-8")
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), content.alias("content")).withColumn("sha", F.unhex(F.sha2("content", 256))).withColumn("lead", F.substring("content", 1, 16))
-    ranges = keyed.repartitionByRange("lead", "sha", "doc_id").sortWithinPartitions("lead", "sha", "content", "doc_id").drop("lead")
-    runs = stored(ranges.mapInArrow(_runs(keep), _RUNS), "exact-runs")
+    carry = [ROW] if ROW in docs.columns else []
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), content.alias("content"), *carry).withColumn("sha", F.unhex(F.sha2("content", 256))).withColumn("lead", F.substring("content", 1, 16))
+    ranges = keyed.repartitionByRange("lead", "sha", "doc_id").sortWithinPartitions("lead", "sha", "content", "doc_id", *carry).drop("lead")
+    schema = T.StructType([*_RUNS, *(T.StructField(c, T.LongType()) for c in carry)])
+    runs = stored(ranges.mapInArrow(_runs(keep, carry), schema), "exact-runs")
     best = F.max if keep == "largest" else F.min
     # At most two groups per range reach a border, so this table has at most twice as many rows as there are ranges.
     edges = runs.where("edge").groupBy("sha").agg(F.count(F.lit(1)).alias("edge_n"), best("keep_id").alias("edge_id"))
@@ -119,6 +127,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("edge_n", "n").alias("group_size"),
         (F.col("first") & F.col("keep_id").eqNullSafe(keep_id)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *carry,
     )
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WHITE, stored, text_of, word_array
+from millrace.llm.common import ROW, WHITE, rows_of, stored, text_of, with_row_key, word_array
 
 BUCKETS = 1 << 18
 #: Documents of the trusted sample at most; the sample is the fitted part, everything else covers all rows.
@@ -136,7 +136,8 @@ def _scored(docs: DataFrame, carry: list[str], ratios: DataFrame, threshold: flo
 
 
 def kept_documents(docs: DataFrame, labelled: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that pass, with the columns of docs. The verdict is found per row and joined by a row's id."""
-    verdicts = stored(quality(docs, labelled, threshold).where("kept").select(F.col("doc_id").alias("k_id")).distinct(), "quality-kept")
-    # Kept ids grow with the corpus, so they are dealt like the documents and never broadcast.
-    return docs.join(verdicts.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(verdicts["k_id"]), "left_semi")
+    """The rows of docs that pass, with the columns of docs. The verdict is found and takes effect per row, whatever ids the rows have."""
+    rows = with_row_key(docs, "quality-rows")
+    ratios = stored(log_ratios(rows, labelled), "quality-ratios")
+    kept = stored(_scored(rows, [ROW], ratios, threshold, BUCKETS).where("kept").select(ROW), "quality-kept")
+    return rows_of(rows, kept).select(*docs.columns)

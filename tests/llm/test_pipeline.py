@@ -1,5 +1,7 @@
+import random
+
 import corpus_pipeline as pipeline
-from millrace.llm import near_dup, packing
+from millrace.llm import near_dup, packing, quality
 from millrace.llm.common import documents
 
 
@@ -26,3 +28,23 @@ def test_stages_hand_documents_on(spark, sf_dir):
 
 def test_run_gives_the_last_stage(spark, sf_dir):
     assert pipeline.run(spark, sf_dir).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_verdicts_take_effect_on_rows_and_not_on_ids(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice("kalemi nopura seti vozu mira tolu") + rng.choice("abcdefgh") for _ in range(80))
+    schema = "doc_id long, text string, source string"
+    labels = "doc_id long, quality int, toxic int"
+    clean, other, third = text(), text(), text()
+    rows = [(1, clean, "a"), (1, clean, "a"), (None, other, "a"), (None, other, "a"), (None, "too short", "a"), (7, third, "a"), (7, "short too", "a")]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    kept = quality.kept_documents(docs, spark.createDataFrame([], labels))
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, clean), (1, clean), (0, other), (0, other), (7, third)])
+    exact = pipeline.exact_duplicates(spark, kept.checkpoint(), "")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in exact.collect()) == sorted([(1, clean), (0, other), (7, third)])
+    words = other.split()
+    twin = " ".join([*words[:-1], "else"])
+    near = pipeline.near_duplicates(spark, spark.createDataFrame([(1, clean, "a"), (1, clean, "a"), (None, other, "a"), (None, twin, "a"), (7, third, "a"), (7, "short", "a")], schema), "")
+    got = near.collect()
+    assert sorted(r["doc_id"] or 0 for r in got) == [0, 1, 7, 7] and {"short", third, clean} <= {r["text"] for r in got}
