@@ -1,7 +1,8 @@
 """Quality rules: counts of plain faults, and a hashed n-gram log-likelihood ratio, with DataFrame functions only.
 
-Words and pairs of words are hashed into buckets. Over all documents the bucket counts give the multinomial of the
-raw corpus; over trusted documents (labels of quality 1, a bounded sample of them) the one of the target. A bucket's
+Words and pairs of words are hashed into buckets. Over all distinct texts the bucket counts give the multinomial of the
+raw corpus (a text that occurs often counts once, or its copies would speak against it; it is trusted if a copy is);
+over trusted documents (labels of quality 1, a bounded sample of them) the one of the target. A bucket's
 ratio compares its target count with the count that the raw multinomial leads to expect, both with PRIOR more, so
 that rare n-grams, of which the sample says nothing, do not count against a clean document. A document's score is the
 mean log ratio of its n-grams, so long documents weigh no more than short ones. Ratios are kept as whole millionths:
@@ -96,7 +97,9 @@ def trusted_ids(labelled: DataFrame, limit: int = TRUSTED) -> DataFrame:
 def log_ratios(docs: DataFrame, labelled: DataFrame, buckets: int = BUCKETS, limit: int = TRUSTED, prior: float = PRIOR) -> DataFrame:
     """bucket, ratio: the log ratio of target and raw probability in whole millionths. One row per bucket in use, `buckets` at most."""
     marked = docs.select(F.col("doc_id").cast("long").alias("d_id"), text_of("text").alias("q_text")).join(F.broadcast(trusted_ids(labelled, limit)), F.col("d_id") == F.col("t_id"), "left")
-    words = marked.select(F.col("t_id").isNotNull().cast("int").alias("good"), word_array(F.col("q_text")).alias("q_words"))
+    # Copies are put together on the map side first, so a group with a third of all rows is no hot key.
+    texts = marked.groupBy(F.unhex(F.sha2("q_text", 256)).alias("sha")).agg(F.max(F.col("t_id").isNotNull().cast("int")).alias("good"), F.first("q_text").alias("q_text"))
+    words = texts.select("good", word_array(F.col("q_text")).alias("q_words"))
     counts = _grams(words, ["good"], "q_words", buckets).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
     counts = stored(counts, "quality-counts")
     totals = counts.agg(F.sum("raw").alias("raw_all"), F.sum("target").alias("target_all"))

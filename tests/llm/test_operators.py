@@ -206,6 +206,15 @@ def test_ratio_keeps_clean_and_drops_junk(spark):
     assert all(kept[i] == (i % 5 != 0) for i in kept)
 
 
+def test_copies_of_a_clean_text_do_not_speak_against_it(spark):
+    rng = random.Random(8)
+    clean = lambda: " ".join(rng.choice(VOCABULARY) + rng.choice(VOCABULARY[:9]) for _ in range(150))
+    copied = " ".join(rng.choice(VOCABULARY) + rng.choice(VOCABULARY) + "x" for _ in range(150))
+    rows = [(i, clean(), "s") for i in range(300)] + [(1000 + i, copied, "s") for i in range(100)]
+    marked = spark.createDataFrame([(i, 1) for i in range(0, 300, 2)], "doc_id long, quality int")
+    assert all(r["kept"] for r in quality.quality(docs(spark, rows), marked).collect())
+
+
 # ---- packing and tokens ----
 
 
