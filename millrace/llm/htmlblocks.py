@@ -13,9 +13,13 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 #: Elements that a new one of the same family closes when their end tag was left out.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCES = frozenset("body article aside section main div td th ul ol dl table form header footer nav".split())
-_NO_TEXT = "script|style|noscript|template|title|svg|iframe|textarea|object"
+#: Elements whose content is not markup: it runs to their own end tag, or to the end of the page.
+_RAW = "script|style|title|textarea|iframe"
+#: Elements with markup that is not page text; without an end tag of their own they hide nothing.
+_HIDDEN = frozenset("noscript template svg object".split())
+_ANY_HIDDEN = re.compile(rf"<(?:{'|'.join(sorted(_HIDDEN))})(?=[\s/>])", re.I)
 _PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{_NO_TEXT})\b[^>]*(?<!/)>.*?(?:</(?:{_NO_TEXT})\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*(?<!/)>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -24,6 +28,20 @@ _SPACE = re.compile(r"\s+")
 Path = tuple[str, ...]
 
 
+def _hidden(page: str) -> dict[int, int]:
+    """Where each hidden element starts and ends: an end tag belongs to the last open element of the same name."""
+    ends: dict[int, int] = {}
+    if _ANY_HIDDEN.search(page):
+        opened: dict[str, list[int]] = {name: [] for name in _HIDDEN}
+        for m in _PIECE.finditer(page):
+            if m[3] and (tag := m[3].lower()) in _HIDDEN:
+                if not m[2] and not m[4].endswith("/"):
+                    opened[tag].append(m.start())
+                elif m[2] and opened[tag]:
+                    ends[opened[tag].pop()] = m.end()
+    return ends
+
+
 def blocks(page: str) -> list[tuple[str, Path, float]]:
     """(text, path, share of characters in links) of each block with text, in page order. A path holds tag names, and class, id and role names behind a dot."""
     out: list[tuple[str, Path, float]] = []
@@ -43,13 +61,16 @@ def blocks(page: str) -> list[tuple[str, Path, float]]:
         linked = 0
 
     last = 0
+    hidden = _hidden(page)
     for m in _PIECE.finditer(page):
+        if m.start() < last:
+            continue
         if m.start() > last:
             held.append(text := page[last : m.start()])
             linked += len(text) * (in_link > 0)
-        last = m.end()
-        tag = m[2]
-        if not tag:
+        last = hidden.get(m.start(), m.end())
+        tag = m[3]
+        if not tag or m.start() in hidden:
             continue
         tag = tag.lower()
         if tag == "br":
@@ -57,7 +78,7 @@ def blocks(page: str) -> list[tuple[str, Path, float]]:
             continue
         if tag in BLOCK_TAGS:
             close()
-        if m[1]:
+        if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
@@ -75,10 +96,10 @@ def blocks(page: str) -> list[tuple[str, Path, float]]:
                 if stack[k][0] in _FENCES:
                     break
             in_link = sum(t == "a" for t, _ in stack)
-        if tag not in VOID_TAGS and not m[3].endswith("/"):
+        if tag not in VOID_TAGS and not m[4].endswith("/"):
             names = [tag]
-            if m[3]:
-                for found in _NAMES.findall(m[3]):
+            if m[4]:
+                for found in _NAMES.findall(m[4]):
                     names += ["." + n for n in "".join(found).lower().split()]
             stack.append((tag, tuple(names)))
             in_link += tag == "a"

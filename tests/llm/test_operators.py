@@ -407,3 +407,19 @@ def test_words_of_many_texts():
 
 def test_shared_folder_is_that_of_the_session(spark):
     assert common.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ('<svg-icon name="x"></svg-icon><article><p>Main one.</p><p>Main two.</p></article>', ["Main one.", "Main two."]),
+        ("<template-card><p>a</p></template-card><title-bar>b</title-bar><p>c</p><script>x</script><p>d", ["a", "b", "c", "d"]),
+        ("<svg><p>a</p><object><p>b</p><template><p>c", ["a", "b", "c"]),
+        ("<svg><p>a</p><svg><text>i</text></svg><p>b</p>", ["a", "b"]),
+        ("<noscript><style>s</style>Enable JS</noscript><svg><title>i</title><text>label</text></svg><p>a</p>", ["a"]),
+        ("<object><object>x</object>y</object><p>a</p><svg/><p>b</p><SVG>t</Svg >c", ["a", "b", "c"]),
+        ("<script>if (a</style>) b</script ><p>a</p><textarea>t</p>", ["a"]),
+    ],
+)
+def test_elements_without_page_text_hide_no_more_than_themselves(page, texts):
+    assert [t for t, _, _ in blocks(page)] == texts
