@@ -33,7 +33,8 @@ BLOCK = 1 << 22
 
 def _flat(folder: str, name: str, end: int, width: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, last = tokenizer(name), np.array([end], width)
+        # An id of the separator inside a text would end its document, so special tokens are ordinary text here.
+        tok, last = tokenizer(name, plain_marks=True), np.array([end], width)
         stream = file = None
         ordinal = written = 0
         try:

@@ -19,15 +19,15 @@ from millrace.llm.wordbytes import steps, text_bytes, word_hashes, words
 DEFAULT = "word_bpe_49k.json"
 #: Chunks kept at most; a full store is emptied, which costs time and never changes a result.
 STORE = 3 << 19
-_open: dict[str, "ChunkTokenizer"] = {}
+_open: dict[tuple[str, bool], "ChunkTokenizer"] = {}
 
 
 class ChunkTokenizer:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain_marks: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._tokenizer.encode_special_tokens = plain_marks
         self._marks = {m: self._plain([m])[0] if m else [] for m in ("", ".", ",")}
         self._clear()
 
@@ -99,14 +99,18 @@ class ChunkTokenizer:
                 yield flat[s:e]
 
 
-def tokenizer(name_or_path: str) -> ChunkTokenizer:
-    """One per Python worker. A bare name is looked up among the installed public tokenizers, on the executor itself."""
+def tokenizer(name_or_path: str, plain_marks: bool = False) -> ChunkTokenizer:
+    """One per Python worker. A bare name is looked up among the installed public tokenizers, on the executor itself.
+
+    plain_marks: the strings of special tokens in a text are ordinary text; without it they get the special ids, as the library does.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if name_or_path not in _open:
+    key = (name_or_path, plain_marks)
+    if key not in _open:
         path = name_or_path
         if os.sep not in path:
             import public_tokenizers
 
             path = public_tokenizers.path(path)
-        _open[name_or_path] = ChunkTokenizer(path)
-    return _open[name_or_path]
+        _open[key] = ChunkTokenizer(path, plain_marks)
+    return _open[key]

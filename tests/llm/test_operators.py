@@ -268,6 +268,23 @@ def test_packed_pieces_hold_the_ids_of_the_tokenizer(spark):
         assert [r["ids_crc32"] for r in parts] == [zlib.crc32(np.array(ids[a : a + 50], "<u4").tobytes()) for a in range(0, len(ids), 50)]
 
 
+def test_special_tokens_in_a_text_get_the_ids_of_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["end of text <|endoftext|> more", "a<|startoftext|>b<|endoftext|><|endoftext|>.", "<|ENDOFTEXT|> <|endoftext|", "plain"]
+    table = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(table).collect()}
+    counted = {r["doc_id"]: r["n_tokens"] for r in token_counts.document_tokens(table).collect()}
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    plain.encode_special_tokens = True
+    for i, t in enumerate(texts):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 1]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert counted[i] == len(plain.encode(t, add_special_tokens=False).ids)
+
+
 def test_token_counts_across_blocks(spark, tmp_path):
     rng = random.Random(1)
     ids = [9 if rng.random() < 0.05 else rng.randint(10, 99) for _ in range(5000)] + [50, 51]
