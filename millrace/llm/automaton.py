@@ -2,6 +2,11 @@
 
 The dialect: literals, escapes (\\xNN and escaped punctuation), classes, groups, alternation, ?, *, +, {m}, {m,},
 {m,n}. Patterns are over bytes; `fold` lets letters match in either case.
+
+`starts` reads every byte of many texts once, from right to left, and tells where matches of which rules begin. Texts
+are cut into lanes that advance together, a byte of each lane at a time. A lane cannot know in which state the one to
+its right ends, so it first reads the last WARM bytes of that one; where that was not enough, its bytes are read again
+from the right state until both runs agree, which for rules without long gaps is at once.
 """
 
 from __future__ import annotations
@@ -10,7 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_FAR = -1
+#: Bytes of a lane, and bytes that it reads in advance.
+LANE = 512
+WARM = 24
 
 
 @dataclass
@@ -143,22 +150,34 @@ def _build(nfa: _Nfa, tree, start: int) -> int:
 
 @dataclass(frozen=True)
 class Automaton:
-    """table[state * 256 + byte] is the next state times 256; accepts[state] has a bit for each rule; state 0 is dead, `start` begins."""
+    """classes[byte] is a byte's class; table[state * width + class] the next state times width; accepts[state * width] has a bit for each rule. State 0 is dead, `start` (times width) begins."""
 
+    classes: np.ndarray
+    width: int
     table: np.ndarray
     accepts: np.ndarray
     start: int
 
 
-def compile_rules(rules: list[tuple[str, bool]], anywhere: bool) -> Automaton:
-    """One automaton for all (pattern, fold). anywhere: a match may begin at any byte, and a state that accepts is final and stays."""
+def _turned(tree):
+    """The tree of the same texts read from right to left."""
+    if tree[0] == "cat":
+        return ("cat", [_turned(t) for t in reversed(tree[1])])
+    if tree[0] == "alt":
+        return ("alt", [_turned(t) for t in tree[1]])
+    return ("rep", _turned(tree[1]), *tree[2:]) if tree[0] == "rep" else tree
+
+
+def compile_rules(rules: list[tuple[str, bool]], anywhere: bool, backward: bool = False) -> Automaton:
+    """One automaton for all (pattern, fold). anywhere: a match may begin at any byte. backward: texts are read from right to left."""
     nfa = _Nfa([], [])
     first = nfa.state()
     final: dict[int, int] = {}
     for k, (pattern, fold) in enumerate(rules):
         begin = nfa.state()
         nfa.empty[first].append(begin)
-        final[_build(nfa, _Parser(nfa, pattern, fold).alternation(), begin)] = 1 << k
+        tree = _Parser(nfa, pattern, fold).alternation()
+        final[_build(nfa, _turned(tree) if backward else tree, begin)] = 1 << k
     closures = []
     for s in range(len(nfa.moves)):
         seen, todo = {s}, [s]
@@ -184,16 +203,11 @@ def compile_rules(rules: list[tuple[str, bool]], anywhere: bool) -> Automaton:
         accepts.append(mask)
         row = []
         for c in range(len(sample)):
-            if anywhere and mask:
-                row.append(ids[states])
-                continue
             target = set(begin) if anywhere else set()
             for s in states:
                 for t in by_class[s][c]:
                     target |= t
             key = frozenset(target)
-            if anywhere and (hit := frozenset(s for s in key if s in final)):
-                key = hit  # final: nothing else matters any more
             if key not in ids:
                 ids[key] = len(order)
                 order.append(key)
@@ -219,22 +233,76 @@ def _minimal(rows: np.ndarray, accepts: np.ndarray, byte_class: list[int]) -> Au
     first = np.zeros(count, int)
     first[block[::-1]] = np.arange(len(block))[::-1]
     small = block[rows[first]]
-    table = small[:, np.array(byte_class)].astype(np.int32) * 256
-    return Automaton(np.ascontiguousarray(table.reshape(-1)), accepts[first], int(block[1]))
+    width = small.shape[1]
+    return Automaton(np.array(byte_class, np.uint8), width, np.ascontiguousarray(small.reshape(-1) * width).astype(np.int64), np.repeat(accepts[first], width).astype(np.uint8 if accepts.max() < 256 else np.int64), int(block[1]) * width)
+
+
+def longest(automaton: Automaton, lists: tuple[list[int], list[int], list[int]], text: bytes, at: int) -> int:
+    """Where the longest match that begins at `at` ends; `at` without one. lists: classes, table and accepts as lists."""
+    classes, table, accepts = lists
+    state, end = automaton.start, at
+    for i in range(at, len(text)):
+        state = table[state + classes[text[i]]]
+        if not state:
+            break
+        if accepts[state]:
+            end = i + 1
+    return end
 
 
-def scan(automaton: Automaton, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The state times 256 after each text. All texts advance together, a byte at a time, so one array step serves many texts."""
+def starts(automaton: Automaton, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in raw, ascending, where matches begin, and the rules (as bits) that begin there. The automaton reads backward and anywhere; raw has texts from offsets[k] to offsets[k + 1]."""
     lengths = np.diff(offsets)
-    order = np.argsort(-lengths, kind="stable")
-    at = offsets[:-1][order].copy()
-    ends = lengths[order]
-    state = np.full(len(order), automaton.start * 256, np.int32)
-    alive = np.searchsorted(-ends, -np.arange(int(ends[0]) if len(ends) else 0), "left")  # texts longer than i
-    table = automaton.table
-    for i, n in enumerate(alive.tolist()):
-        s = state[:n]
-        np.take(table, s + raw[at[:n] + i], out=s)
-    out = np.empty_like(state)
-    out[order] = state
-    return out
+    per = -(-lengths // LANE)
+    text = np.repeat(np.arange(len(lengths)), per)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)  # from the right
+    stop = offsets[1:][text] - nth * LANE
+    size = np.minimum(stop - offsets[:-1][text], LANE)
+    order = np.argsort(-size, kind="stable")
+    text, nth, stop, size = text[order], nth[order], stop[order], size[order]
+    lane_of = np.empty(len(order), np.int64)  # by order in the text
+    lane_of[order] = np.arange(len(order))
+    n = len(order)
+    table, state = automaton.table, np.full(n, automaton.start, np.int64)
+    late = np.flatnonzero(nth > 0)
+    warm = np.full(len(late), automaton.start, np.int64)
+    for i in range(WARM):
+        warm = table[warm + automaton.classes[raw[stop[late] + (WARM - 1 - i)]]]
+    state[late] = warm
+    begun = state.copy()
+    steps = int(size[0]) if n else 0
+    read = np.empty((steps, n), np.uint8)
+    for i in range(0, n, 4096):
+        at = stop[i : i + 4096] - 1 - np.arange(steps)[:, None]
+        read[:, i : i + 4096] = automaton.classes[raw[np.maximum(at, 0)]]
+    seen = np.zeros((steps, n), np.uint16 if len(table) < 1 << 16 else np.int32)
+    alive = np.searchsorted(-size, -np.arange(steps), "left")  # lanes longer than i
+    for i, k in enumerate(alive.tolist()):
+        s = state[:k]
+        np.take(table, s + read[i, :k], out=s)
+        seen[i, :k] = s
+    # Where a lane began in another state than the one to its right has ended in, it is read again from there.
+    place = np.flatnonzero(nth[lane_of] > 0)
+    right = lane_of[place - 1]
+    wrong = seen[LANE - 1, right] != begun[lane_of[place]] if len(place) else np.zeros(0, bool)
+    k = 0
+    wrong_places = place[wrong].tolist()
+    while k < len(wrong_places):
+        p = wrong_places[k]
+        k += 1
+        lane = int(lane_of[p])
+        s = int(seen[LANE - 1, lane_of[p - 1]])
+        for i in range(int(size[lane])):
+            s = int(table[s + int(read[i, lane])])
+            if s == seen[i, lane]:
+                break
+            seen[i, lane] = s
+        else:
+            # Its last state is new: so is where the lane to its left begins.
+            if p + 1 < n and nth[lane_of[p + 1]] > 0 and (k == len(wrong_places) or wrong_places[k] != p + 1):
+                wrong_places.insert(k, p + 1)
+    hit = automaton.accepts[seen]
+    i, lane = np.nonzero(hit)
+    at = stop[lane] - 1 - i
+    order = np.argsort(at, kind="stable")
+    return at[order], hit[i, lane][order]

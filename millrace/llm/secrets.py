@@ -1,16 +1,17 @@
 """Secrets by one combined automaton.
 
-All rules are compiled into deterministic automata with transition arrays (subset construction, then minimisation).
-The first reads every byte of every text once and tells whether any rule can hold in the text; it steps many texts
-together. In the few texts where one can, the second, anchored one is started at the bytes where a match can begin
-and gives the leftmost longest spans of every rule at once, without overlap inside a kind. Spans too short for their
-kind are dropped after they have been taken, as the rules say.
+All rules are compiled into one deterministic automaton with transition arrays (subset construction, then
+minimisation). It reads every byte of every text once, from right to left, and so tells where a match of which rule
+begins. From the leftmost of these places the rule's own automaton reads on to the end of its longest match, and goes on
+at the next place behind it: spans of a kind do not overlap, and no byte is read twice for a kind, however long a run of
+candidates is. Spans too short for their kind are dropped after they have been taken, as the rules say.
 
 Beyond the base kinds (assign, access, hex) the automaton has private-key headers (pem) and two prefixed token
 formats (gh, slack). Positions are code points, ends exclusive.
 
-Edge cases: null and empty texts have no spans; a text of any length is scanned whole in one pass; equal rows give
-equal results; an empty table gives an empty result.
+Edge cases: null and empty texts have no spans; a text of any length is scanned whole, in time linear in its length;
+equal rows give equal results; a null id stays null; an empty table gives an empty result; only doc_id and text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.automaton import Automaton, compile_rules, scan
+from millrace.llm.automaton import Automaton, compile_rules, longest, starts
 from millrace.llm.wordbytes import steps, text_bytes
 
 _VALUE = "[A-Za-z0-9+/_.=-]"
@@ -47,58 +49,32 @@ def _either_case(pattern: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def automata() -> tuple[Automaton, Automaton]:
-    """The scanning one, whose rules hold their least lengths where that keeps it small, and the anchored one."""
-    there = [
-        (_either_case(_NAME) + _HEAD + _VALUE, False),
-        ("AKIA[A-Z0-9]", False),
-        ("[0-9a-f]{16}", False),
-        ("-----BEGIN [A-Z ]*PRIVATE KEY-----", False),
-        ("gh[pousr]_[A-Za-z0-9]", False),
-        ("xox[abpr]-[0-9A-Za-z-]", False),
-    ]
-    return compile_rules(there, True), compile_rules([(_either_case(head) + rest, False) for _, head, rest, _ in RULES], False)
-
-
-_VALUE_BYTES = np.zeros(256, bool)
-_VALUE_BYTES[np.frombuffer(b"+/_.=-0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)] = True
-
-
-def spans(text: bytes) -> list[tuple[int, int, int]]:
-    """(start, end, rule) of all spans, in bytes, by start and rule."""
-    _, anchored = automata()
-    table, accepts = anchored.table, anchored.accepts
-    rows, flags = _lists()
-    free = [0] * len(RULES)  # where the next match of a rule may begin
-    found: list[tuple[int, int, int]] = []
-    begin = anchored.start * 256
-    alive = np.flatnonzero(table[begin + np.frombuffer(text, np.uint8).astype(np.int32)])  # bytes at which some rule can begin
-    n = len(text)
-    for p in alive.tolist():
-        if p < free[2] and p < free[0] and p < free[1]:
-            continue
-        s, i, last = begin, p, [0] * len(RULES)
-        while i < n:
-            s = rows[s + text[i]]
-            if not s:
-                break
-            i += 1
-            if mask := flags[s >> 8]:
-                for k in range(len(RULES)):
-                    if mask >> k & 1:
-                        last[k] = i
-        for k, end in enumerate(last):
-            if end and p >= free[k]:
-                free[k] = end
-                if _long_enough(text, p, end, k):
-                    found.append((p, end, k))
-    return sorted(found, key=lambda x: (x[0], x[2]))
+def scanner() -> Automaton:
+    """The automaton of all rules. Runs of hex digits below the least length are left out here: no other match can begin inside a run."""
+    there = [(_either_case(_NAME) + _HEAD + _VALUE, False), ("AKIA[A-Z0-9]", False), ("[0-9a-f]{16}", False), *((head + rest, False) for _, head, rest, _ in RULES[BASE:])]
+    return compile_rules(there, anywhere=True, backward=True)
 
 
 @lru_cache(maxsize=1)
-def _lists() -> tuple[list[int], list[int]]:
-    anchored = automata()[1]
-    return anchored.table.tolist(), anchored.accepts.tolist()
+def _ends() -> list[tuple[Automaton, tuple[list[int], list[int], list[int]]]]:
+    """Each rule's own automaton, for the ends of matches."""
+    made = [compile_rules([(_either_case(head) + rest, False)], anywhere=False) for _, head, rest, _ in RULES]
+    return [(a, (a.classes.tolist(), a.table.tolist(), a.accepts.tolist())) for a in made]
+
+
+def spans(text: bytes, at: np.ndarray, rules: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, rule) of all spans, in bytes, by start and rule. at, rules: where matches begin, and of which rules (bits)."""
+    found: list[tuple[int, int, int]] = []
+    for k, (automaton, lists) in enumerate(_ends()):
+        places = at[(rules >> k) & 1 == 1]
+        i = 0
+        while i < len(places):
+            start = int(places[i])
+            end = longest(automaton, lists, text, start)
+            if _long_enough(text, start, end, k):
+                found.append((start, end, k))
+            i = int(np.searchsorted(places, end))
+    return sorted(found, key=lambda x: (x[0], x[2]))
 
 
 def _long_enough(text: bytes, start: int, end: int, rule: int) -> bool:
@@ -117,13 +93,15 @@ def _long_enough(text: bytes, start: int, end: int, rule: int) -> bool:
     return end - i >= least
 
 
-def _row(text: bytes) -> tuple[int, int, int, str, str]:
-    found = spans(text)
-    if len(text) and found:
-        raw = np.frombuffer(text, np.uint8)
-        chars = np.cumsum((raw & 0xC0) != 0x80)  # code points up to and with each byte
-        at = lambda b: int(chars[b - 1]) if b else 0
-        found = [(at(s), at(e), k) for s, e, k in found]
+def _row(text: bytes, at: np.ndarray, rules: np.ndarray) -> tuple[int, int, int, str, str]:
+    found = spans(text, at, rules)
+    if found:
+        # Code points before each place: bytes that do not continue a character.
+        lead = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
+        bounds = sorted({0, *(x for s, e, _ in found for x in (s, e))})
+        chars = accumulate(int(np.count_nonzero(lead[a:b])) for a, b in pairwise(bounds))
+        before = dict(zip(bounds, [0, *chars]))
+        found = [(before[s], before[e], k) for s, e, k in found]
     joined = lambda rows: ",".join(f"{RULES[k][0]}:{s}:{e}" for s, e, k in rows)
     base = joined(x for x in found if x[2] < BASE)
     counts = [sum(k == j for _, _, k in found) for j in range(BASE)]
@@ -135,12 +113,13 @@ _NONE = (0, 0, 0, hashlib.sha256(b"").hexdigest(), "")
 
 def _scanned() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanning, _ = automata()
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
-            for a, b in steps(offsets, 1 << 23):
-                hit = scanning.accepts[scan(scanning, raw, offsets[a : b + 1]) >> 8] != 0
-                rows = [_row(raw[offsets[a + i] : offsets[a + i + 1]].tobytes()) if h else _NONE for i, h in enumerate(hit.tolist())]
+            for a, b in steps(offsets):
+                cut = offsets[a : b + 1]
+                at, rules = starts(scanner(), raw, cut)
+                limits = np.searchsorted(at, cut)
+                rows = [_row(raw[s:e].tobytes(), at[i:j] - s, rules[i:j]) if i < j else _NONE for s, e, i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), limits[:-1].tolist(), limits[1:].tolist())]
                 columns = list(zip(*rows)) if rows else [()] * 5
                 yield pa.record_batch(
                     [batch.column(0).slice(a, b - a), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:])],

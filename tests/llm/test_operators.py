@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -363,14 +364,25 @@ def test_secrets_are_those_of_the_expressions(spark):
         assert [got[i][f"n_{n}"] for n in ("assign", "access", "hex")] == [sum(k == j for _, k, _ in found) for j in range(3)]
 
 
-def test_automaton_agrees_with_expressions():
+@pytest.mark.parametrize("lane", [32, 512])
+def test_automaton_finds_where_matches_begin(lane, monkeypatch):
+    monkeypatch.setattr(automaton, "LANE", lane)
     rng = random.Random(2)
-    for pattern in ("a(b|c)*d", "[^a]b{2,3}", "x?y+|z{2}", "(ab?){1,2}c"):
-        a = automaton.compile_rules([(pattern, False)], True)
-        texts = ["".join(rng.choice("abcdxyz") for _ in range(rng.randint(0, 12))).encode() for _ in range(300)]
-        raw, offsets = wordbytes.text_bytes(pa.array([t.decode() for t in texts]))
-        hits = a.accepts[automaton.scan(a, raw, offsets) >> 8] != 0
-        assert hits.tolist() == [bool(re.search(pattern.encode(), t)) for t in texts]
+    for pattern in ("a(b|c)*d", "[^a]b{2,3}", "x?y+|z{2}", "(ab?){1,2}c", "a *d"):
+        a = automaton.compile_rules([(pattern, False)], anywhere=True, backward=True)
+        texts = ["".join(rng.choice("abcdxyz" + " " * rng.choice([0, 40])) for _ in range(rng.choice([0, 3, 12, 200]))) for _ in range(200)]
+        raw, offsets = wordbytes.text_bytes(pa.array(texts))
+        at, _ = automaton.starts(a, raw, offsets)
+        assert at.tolist() == [offsets[k] + i for k, t in enumerate(texts) for i in range(len(t)) if re.compile(pattern).match(t, i)]
+
+
+def test_secrets_of_long_texts_take_linear_time(spark):
+    """Ten megabytes of one run each: the quadratic way takes days."""
+    texts = ["0123456789abcdef" * 640 * 1024, "AKIA" * 2_500_000, "token=" + "x" * 10_000_000, "secret =" + " " * 1_000_000 + "abcdefghijkl", "token=abc " * 100_000]
+    began = time.monotonic()
+    got = [r["spans"] for r in secrets.secrets(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    assert got == [f"hex:0:{len(texts[0])}", f"access:0:{len(texts[1])}", f"assign:0:{len(texts[2])}", f"assign:0:{len(texts[3])}", ""]
+    assert time.monotonic() - began < 60
 
 
 # ---- toxicity ----
