@@ -2,7 +2,8 @@
 
 The tokenizer drops white space and never joins characters across it, so the ids of a text are those of its chunks
 between ASCII white space, one after the other. Chunks recur: each is encoded once per worker, kept under a 64-bit
-hash, and the ids of a whole batch are gathered by array indexing.
+hash, and the ids of a whole batch are gathered by array indexing. The bytes of each chunk are compared with those that
+the ids were made from: a text with a chunk whose hash belongs to another one is encoded by itself.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ class ChunkTokenizer:
         self._hashes = np.zeros(0, np.uint64)  # sorted
         self._starts, self._counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._flat = np.zeros(0, np.uint32)
+        self._bytes = np.zeros(0, np.uint8)
+        self._at, self._sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._letters: dict[str, list[int]] = {}
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
@@ -60,19 +63,37 @@ class ChunkTokenizer:
         letters = self._letters
         return [letters[h] + t if h is not None else next(rest) for h, t in zip(heads, tails)]
 
-    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        ids = self._encode(chunks)
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = len(self._flat) + np.cumsum(counts) - counts
+    def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        ids = self._encode([str(c, "utf-8") for c in chunks])
+        counts, sizes = np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(map(len, chunks), np.int64, len(chunks))
+        starts, at = len(self._flat) + np.cumsum(counts) - counts, len(self._bytes) + np.cumsum(sizes) - sizes
         self._flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))])
+        self._bytes = np.concatenate([self._bytes, np.frombuffer(b"".join(chunks), np.uint8)])
         place = np.searchsorted(self._hashes, hashes)  # hashes are sorted, so the store stays sorted
-        self._hashes, self._starts, self._counts = (np.insert(old, place, new) for old, new in ((self._hashes, hashes), (self._starts, starts), (self._counts, counts)))
+        olds = (self._hashes, self._starts, self._counts, self._at, self._sizes)
+        self._hashes, self._starts, self._counts, self._at, self._sizes = (np.insert(old, place, new) for old, new in zip(olds, (hashes, starts, counts, at, sizes)))
+
+    def _others(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The chunks whose bytes are not those of their entry in the store."""
+        sizes = ends - starts
+        differs = sizes != self._sizes[place]
+        if differs.any():  # compared with themselves below
+            place = np.where(differs, 0, place)
+        before = np.cumsum(sizes) - sizes
+        theirs = np.where(differs, 0, self._at[place])
+        step = np.arange(int(sizes.sum()))
+        mine = part[np.repeat(starts - before, sizes) + step]
+        stored = self._bytes[np.minimum(np.repeat(theirs - before, sizes) + step, max(len(self._bytes) - 1, 0))]
+        wrong = np.flatnonzero((mine != stored) & ~np.repeat(differs, sizes)) if differs.any() or not np.array_equal(mine, stored) else step[:0]
+        differs[np.searchsorted(before, wrong, "right") - 1] = True
+        return np.flatnonzero(differs)
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
         raw, offsets = text_bytes(column)
         for a, b in steps(offsets):
             cut = offsets[a : b + 1]
+            part = raw[int(cut[0]) : int(cut[-1])]
             starts, ends, per_text = words(raw, cut)
             if not len(starts):
                 yield from (np.zeros(0, np.uint32) for _ in range(b - a))
@@ -85,18 +106,23 @@ class ChunkTokenizer:
             inside = place < len(self._hashes)
             known[inside] = self._hashes[place[inside]] == hashes[inside]
             if not known.all():
-                view = memoryview(raw)[int(cut[0]) : int(cut[-1])]
                 fresh = np.flatnonzero(~known)
                 at = first[fresh]
-                self._learn(hashes[fresh], [str(view[s:e], "utf-8") for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+                self._learn(hashes[fresh], [part[s:e].tobytes() for s, e in zip(starts[at].tolist(), ends[at].tolist())])
                 place = np.searchsorted(self._hashes, hashes)
             counts = self._counts[place][inverse]
             begins = self._starts[place][inverse]
             before = np.cumsum(counts) - counts
             flat = self._flat[np.repeat(begins - before, counts) + np.arange(int(counts.sum()))]
-            limits = np.append(before, len(flat))[np.concatenate([[0], np.cumsum(per_text)])]
-            for s, e in zip(limits[:-1].tolist(), limits[1:].tolist()):
-                yield flat[s:e]
+            until = np.cumsum(per_text)
+            odd = set(np.searchsorted(until, self._others(part, starts, ends, place[inverse]), "right").tolist())
+            limits = np.append(before, len(flat))[np.concatenate([[0], until])]
+            for k, (s, e) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist())):
+                if k in odd:
+                    text = str(part[int(cut[k] - cut[0]) : int(cut[k + 1] - cut[0])].tobytes(), "utf-8")
+                    yield np.array(self._plain([text])[0], np.uint32)
+                else:
+                    yield flat[s:e]
 
 
 def tokenizer(name_or_path: str, plain_marks: bool = False) -> ChunkTokenizer:

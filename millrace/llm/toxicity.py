@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored
-from millrace.llm.wordbytes import mixed, prefix_sums, steps, text_bytes
+from millrace.llm.wordbytes import mixed, run_hashes, steps, text_bytes
 
 SAMPLE = 20_000
 UNITS = 1 << 16
@@ -68,11 +68,10 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 
 def _units(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind of unit the tokens that have it, and its hashes."""
-    between = prefix_sums(part)
-    out = [(np.arange(len(starts)), mixed(between(starts, ends) + np.uint64(99)))]
+    out = [(np.arange(len(starts)), mixed(run_hashes(part, starts, ends) + np.uint64(99)))]
     for k in PREFIXES:
         at = np.flatnonzero(ends - starts > k)
-        out.append((at, mixed(between(starts[at], starts[at] + k) + np.uint64(k))))
+        out.append((at, mixed(run_hashes(part, starts[at], starts[at] + k) + np.uint64(k))))
     return out
 
 

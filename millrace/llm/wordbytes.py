@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Masks for the lowest 0 to 8 bytes of a 64-bit value.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer runs of bytes are hashed one by one.
+_LONG = 1 << 12
 #: Bytes of text worked on at a time; a longer single text is taken whole.
 STEP = 1 << 21
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,16 +43,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, STEP + 1)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            full = np.full(size, base, np.uint64)
-            full[0] = 1
-            _powers[k] = np.cumprod(full, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words in raw[offsets[0]:offsets[-1]], counted from offsets[0], and the number of words in each text."""
     base = int(offsets[0])
@@ -70,13 +62,22 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    part = raw[int(offsets[0]) : int(offsets[-1])]
-    return mixed(prefix_sums(part)(starts, ends))
-
-
-def prefix_sums(part: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """A function of starts and ends that gives a hash (unmixed) of each run of bytes."""
-    power, inverse = _tables(len(part) + 1)
-    sums = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
-    return lambda starts, ends: (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
+    return run_hashes(raw[int(offsets[0]) : int(offsets[-1])], starts, ends)
+
+
+def run_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes: 8 bytes at a time, mixed in one after the other, so that no arithmetic of the bytes cancels out."""
+    padded = np.concatenate([part, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(part) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    left = np.asarray(ends - starts, np.int64)
+    out = left.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    who, at = np.arange(len(out)), np.asarray(starts, np.int64)
+    if len(out) and left.max() > _LONG:
+        long = left > _LONG
+        out[long] = [int.from_bytes(hashlib.blake2b(part[s:e].tobytes(), digest_size=8).digest(), "little") for s, e in zip(at[long].tolist(), np.asarray(ends)[long].tolist())]
+        who, at, left = who[~long], at[~long], left[~long]
+    while len(who):
+        out[who] = mixed(out[who] * np.uint64(0x9E3779B97F4A7C15) + (eight[at] & _LOW[np.minimum(left, 8)]))
+        more = left > 8
+        who, at, left = who[more], at[more] + 8, left[more] - 8
+    return out
