@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.storage import new_path, removed, shared_folder, stored
+
+__all__ = ["dealt", "documents", "labels", "new_path", "pages", "removed", "rows_of", "shared_folder", "stored", "text_of", "with_row_key", "word_array"]
+
 #: ASCII white space that separates words; every other character belongs to a word.
 WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,34 +26,13 @@ def word_array(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it; a temporary one only where none is set."""
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base.rstrip("/")
-    global _own
-    if _own is None:
-        _own = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _own
-
-
-_own: str | None = None
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends there and a lost executor costs no recomputation.
+def dealt(rows: DataFrame, n_bytes: int, *by: str, per_task: int = 1 << 27) -> DataFrame:
+    """rows that each stand for a part of a file, dealt by `by` over tasks of about per_task bytes of file.
 
-    small: a table far smaller than its input; it is written in a fifth as many files as a shuffle has partitions.
+    The rows themselves are tiny: only a fixed number of partitions keeps adaptive execution from putting them all into one task.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    if small:
-        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 5))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(1, usual, -(-n_bytes // per_task)), *by)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

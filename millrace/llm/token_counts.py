@@ -7,8 +7,9 @@ numbers per block go through a prefix scan (a window over one row per block), an
 document its ordinal, start and number of tokens, also where it lies across many blocks.
 
 Edge cases: an empty document (two end ids in a row, or null and empty texts when files are written) has 0 tokens;
-tokens behind the last end id are a document that is not complete; an empty file has no documents; rows with equal ids
-are documents each.
+tokens behind the last end id are a document that is not complete; an empty file has no documents; rows with equal or
+null ids are documents each; an id that the width cannot hold is an error, never a wrong id; an empty table gives an
+empty result; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import new_path, stored
+from millrace.llm.common import dealt, new_path, stored
 from millrace.llm.files import attempt_name, opened, output
 from millrace.llm.tokens import DEFAULT, tokenizer
 
@@ -35,6 +36,7 @@ def _flat(folder: str, name: str, end: int, width: str) -> Callable[[Iterator[pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # An id of the separator inside a text would end its document, so special tokens are ordinary text here.
         tok, last = tokenizer(name, plain_marks=True), np.array([end], width)
+        most = np.iinfo(width).max
         stream = file = None
         ordinal = written = 0
         try:
@@ -44,6 +46,8 @@ def _flat(folder: str, name: str, end: int, width: str) -> Callable[[Iterator[pa
                 if stream is None:
                     stream, file = output(folder, attempt_name(".tokens"))
                 for ids in tok.encode(batch.column(1)):
+                    if len(ids) and int(ids.max()) > most:
+                        raise ValueError(f"token id {ids.max()} does not fit into {width}")
                     data = ids.astype(width).tobytes() + last.tobytes()
                     stream.write(data)
                     written += len(data)
@@ -94,7 +98,9 @@ def count_tokens(files: DataFrame, end: int = END, width: str = WIDTH, block: in
     block -= block % size
     usable = F.col("bytes") - F.col("bytes") % size
     blocks = files.where(usable > 0).select("file", usable.alias("usable")).select("file", "usable", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("usable") - 1) / block))).alias("block"))
-    blocks = blocks.select("file", "block", (F.col("block") * block).alias("start"), F.least((F.col("block") + 1) * block, "usable").alias("stop")).repartition("file", "block")
+    blocks = blocks.select("file", "block", (F.col("block") * block).alias("start"), F.least((F.col("block") + 1) * block, "usable").alias("stop"))
+    total = files.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).collect()[0]["n"]
+    blocks = dealt(blocks, total, "file", "block")
     seen = stored(blocks.mapInArrow(_scan(end, width, block), "file string, block long, nth long, at long, before long, stop long"), "token-ends")
     earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     carried = seen.where("nth = -1").select(

@@ -4,14 +4,17 @@ Writing: each task writes gzip-compressed WARC 1.1 files, a member per record, a
 record: file, offset, length, URL and digest. The index is a Parquet table; it is made before anything is read, and
 only files of attempts that succeeded are in it. Pages with equal payloads (by SHA-1) are one response, that of the
 smallest page_id, and revisit records that refer to it; the groups are found by a count per digest on the map side,
-and only digests that occur twice or more are joined back.
+and only digests that occur twice or more are joined back. A digest with more than 1/HOT of all rows (of such there
+are less than HOT, so they are broadcast) never draws its pages into one task: these are dealt by page instead.
 
-Reading: the selected index rows are dealt by file and stretch of the file, sorted by offset, and neighbouring ranges
-are read in one request when the gap between them is small. Payloads of responses are checked against their digests.
+Reading: the selected index rows are dealt by file and stretch of the file, in tasks of about the same number of bytes,
+sorted by offset, and neighbouring ranges are read in one request when the gap between them is small. Payloads of
+responses are checked against their digests.
 
 Edge cases: null and empty payloads are equal payloads of 0 bytes; a null URL leaves its header out; rows with equal
 page_id and payload are responses each; a null page_id never is a group's response unless all are null (then each is
-a response); an empty table gives no archive and an empty index.
+a response); an empty table gives no archive and an empty index; only page_id, url and html are read, so other columns
+may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import new_path, stored
+from millrace.llm.common import dealt, new_path, stored
 from millrace.llm.files import attempt_name, opened, output
 
 DATE = "2024-01-01T00:00:00Z"
@@ -34,6 +37,8 @@ ROLL = 1 << 30
 #: Bytes between two records that are read rather than skipped, and bytes of one request at most.
 GAP = 1 << 16
 REQUEST = 1 << 23
+#: A digest of more than this part of all rows is hot.
+HOT = 1000
 _INDEX = "page_id long, url string, file string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -93,8 +98,15 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or new_path(pages.sparkSession, "warc")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("sha", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
-    groups = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sha").alias("g_sha"), "first")
-    marked = rows.join(groups, F.col("sha") == F.col("g_sha"), "left").select("page_id", "url", "html", "first")
+    groups = stored(rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")), "warc-digests")
+    many = (groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"]) // HOT
+    again = groups.where("n > 1")
+    hot = again.where(F.col("n") > many).where(F.col("n") >= HOT).select(F.col("sha").alias("h_sha"), F.col("first").alias("h_first"))
+    rest = again.where((F.col("n") <= many) | (F.col("n") < HOT)).select(F.col("sha").alias("g_sha"), F.col("first").alias("g_first"))
+    marked = rows.join(F.broadcast(hot), F.col("sha") == F.col("h_sha"), "left")
+    # Pages of a hot digest look for no further partner: a longer key, another for each page, matches none.
+    key = F.when(F.col("h_sha").isNull(), F.col("sha")).otherwise(F.concat("sha", F.encode(F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "UTF-8")))
+    marked = marked.withColumn("key", key).join(rest, F.col("key") == F.col("g_sha"), "left").select("page_id", "url", "html", F.coalesce("h_first", "g_first").alias("first"))
     return stored(marked.mapInArrow(_written(folder), _INDEX), "warc-index")
 
 
@@ -170,6 +182,8 @@ def _read(payloads: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 def read_warc(index: DataFrame, where: Column | None = None, payloads: bool = True, stretch: int = 1 << 25) -> DataFrame:
     """The records of the index rows that `where` selects: page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if asked for, payload (null for revisits)."""
     chosen = (index if where is None else index.where(where)).select("file", "offset", "length")
-    dealt = chosen.withColumn("stretch", F.floor(F.col("offset") / stretch)).repartition("file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    total = chosen.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).collect()[0]["n"]
+    parts = dealt(chosen.withColumn("stretch", F.floor(F.col("offset") / stretch)), total, "file", "stretch")
+    parts = parts.sortWithinPartitions("file", "offset").select("file", "offset", "length")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return dealt.mapInArrow(_read(payloads), schema + ", payload binary" * payloads)
+    return parts.mapInArrow(_read(payloads), schema + ", payload binary" * payloads)

@@ -286,6 +286,56 @@ def test_special_tokens_in_a_text_get_the_ids_of_the_library(spark):
         assert counted[i] == len(plain.encode(t, add_special_tokens=False).ids)
 
 
+def colliding_words():
+    """A Thue-Morse word and its complement: a polynomial hash with an odd base modulo a power of two gives both the same value."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_with_equal_hashes_keep_their_own_ids(spark, monkeypatch):
+    import public_tokenizers
+    from millrace.llm import tokens
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    rng = random.Random(9)
+    texts = [*colliding_words(), "", None, *(" ".join(rng.choice(VOCABULARY) + rng.choice(VOCABULARY) for _ in range(rng.randint(1, 60))) for _ in range(50))]
+    expected = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tokens.ChunkTokenizer(path).encode(pa.array(texts))] == expected
+    monkeypatch.setattr(tokens, "word_hashes", lambda *a: wordbytes.word_hashes(*a) % np.uint64(40))
+    assert [x.tolist() for x in tokens.ChunkTokenizer(path).encode(pa.array(texts))] == expected
+
+
+def test_colliding_words_are_different_texts(spark):
+    a, b = colliding_words()
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_groups(docs(spark, [(1, a, "s"), (2, b, "s"), (3, a, "s")])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_document_tokens_are_those_of_the_tokenizer(spark, sf_dir, odd):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for table in (common.documents(spark, sf_dir), odd):
+        expected = sorted((r["doc_id"] or 0, len(plain.encode(r["text"] or "", add_special_tokens=False).ids)) for r in table.collect())
+        assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in token_counts.document_tokens(table).collect()) == expected
+
+
+def test_ids_that_do_not_fit_are_an_error(spark):
+    with pytest.raises(Exception, match="does not fit"):
+        token_counts.document_tokens(docs(spark, [(1, "some words", "s")]), width="<u1")
+
+
+def test_parts_of_files_are_dealt_over_many_tasks(spark):
+    parts = common.dealt(spark.range(64).select(F.lit("f").alias("file"), F.col("id").alias("block")), 64 << 22, "file", "block")
+    assert parts.select(F.spark_partition_id().alias("p")).distinct().count() >= 6
+    assert common.dealt(spark.range(10), 100 << 27, "id").rdd.getNumPartitions() == 100
+
+
 def test_token_counts_across_blocks(spark, tmp_path):
     rng = random.Random(1)
     ids = [9 if rng.random() < 0.05 else rng.randint(10, 99) for _ in range(5000)] + [50, 51]
@@ -321,6 +371,21 @@ def test_archives_come_back(spark):
     assert warc.read_warc(warc.write_warc(pages.limit(0))).count() == 0
 
 
+def test_archives_of_odd_tables(spark):
+    """Null and equal ids, repeated rows, a digest that over a thousandth of the rows share, and columns with the names used inside."""
+    rows = [(k, "u", "" if k % 3 else f"<p>{k % 50}") for k in range(1800)] + [(None, None, ""), (None, "u", "only"), (None, "v", "only"), (7, "u", "twice"), (7, "u", "twice"), (9, "w", "twice")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"sha": F.lit(1), "first": F.lit("x"), "n": F.lit(None).cast("int"), "key": F.lit(0)})
+    got = sorted((r["page_id"] is None, r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in warc.read_warc(warc.write_warc(pages.repartition(4)), payloads=False).collect())
+    least = {}
+    for i, _, h in rows:
+        if i is not None:
+            least[h] = min(least.get(h, i), i)
+    expected = sorted((i is None, i or 0, len(h), "response" if least.get(h) in (None, i) else "revisit", 0 if least.get(h) in (None, i) else least[h]) for i, _, h in rows)
+    assert got == expected
+    texts = html_main.main_text(pages.limit(5).union(pages.limit(5))).collect()
+    assert len(texts) == 10 and html_main.main_text(pages.limit(0)).count() == 0
+
+
 def test_requests_cover_near_ranges_together():
     assert list(warc.coalesced([(0, 10), (12, 5), (100, 5)], gap=5, most=1000)) == [(0, 17, [0, 1]), (100, 105, [2])]
 
