@@ -327,7 +327,7 @@ def test_document_tokens_are_those_of_the_tokenizer(spark, sf_dir, odd):
 
 def test_ids_that_do_not_fit_are_an_error(spark):
     with pytest.raises(Exception, match="does not fit"):
-        token_counts.document_tokens(docs(spark, [(1, "some words", "s")]), width="<u1")
+        token_counts.document_tokens(docs(spark, [(1, "some words", "s")]), end=200, width="<u1")
 
 
 def test_parts_of_files_are_dealt_over_many_tasks(spark):
