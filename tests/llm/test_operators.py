@@ -21,6 +21,10 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY = [a + b for a in "ka le mi no pu ra se ti vo zu".split() for b in "na ro ti lu ke".split()]
 
 
+#: Names that operators use inside.
+CLASHING = "whole cut mix salt source_size target copies piece kept sha lead content bucket unit key keys a b d1 d2 x y p t_id q_text q_words at file ordinal toxic score part length".split()
+
+
 def docs(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS)
 
@@ -34,7 +38,7 @@ def odd_rows():
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return docs(spark, odd_rows()).withColumns({"size": F.lit("x"), "label": F.lit(1), "node": F.lit(0), "rank": F.lit(None).cast("int")})
+    return docs(spark, odd_rows()).withColumns({"size": F.lit("x"), "label": F.lit(1), "node": F.lit(0), "rank": F.lit(None).cast("int"), **{c: F.lit(1) for c in CLASHING}})
 
 
 @pytest.fixture(scope="module")
@@ -163,6 +167,41 @@ def test_parity_sketches_never_part_similar_sets(spark):
 # ---- mixing ----
 
 
+def test_running_sums_go_over_ranges(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(50), rng.choice([None, "a", "b"])) for k in range(500)]
+    table = spark.createDataFrame(rows, "k int, v int, s string").repartition(9)
+    order = lambda r: (r[2] is None, r[2] or "", r[0])
+    got = common.with_running_sums(table, [F.col("s").asc_nulls_last(), F.col("k").asc()], {"n": F.lit(1), "total": F.col("v")}, "sums").collect()
+    total = 0
+    for n, r in enumerate(sorted(rows, key=order)):
+        assert (r[0], n, total) in {(g["k"], g["n"], g["total"]) for g in got if g["n"] == n}
+        total += r[1]
+
+
+def test_mix_of_many_sources_without_broadcasts(spark):
+    rows = [(i, " ".join(["w"] * (i % 9)), f"s{0 if i % 3 == 0 else i % 700}") for i in range(4000)]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = mixing.mix(docs(spark, rows)).toPandas().sort_values("doc_id")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    again = mixing.mix(docs(spark, rows)).toPandas().sort_values("doc_id")
+    assert got["taken"].tolist() == again["taken"].tolist() and got["target"].tolist() == again["target"].tolist()
+    weight = {s: (3.0, 1.0, 2.0)[k % 3] for k, s in enumerate(sorted({r[2] for r in rows}))}
+    size = got.groupby("source")["size"].sum().to_dict()
+    left, budget, target = dict(size), 1.5 * sum(size.values()), {}
+    while True:
+        level = (budget - sum(target.values())) / sum(weight[s] for s in left)
+        over = [s for s in left if weight[s] * level > 2 * size[s]]
+        if not over:
+            break
+        target |= {s: 2.0 * left.pop(s) for s in over}
+    target |= {s: weight[s] * level for s in left}
+    assert all(abs(t - target[s]) < 1e-6 for s, t in zip(got["source"], got["target"]))
+
+
 def test_mix_comes_near_its_targets(spark):
     rows = [(i, " ".join(["w"] * (1 + i * 37 % 90)), f"s{i % 5}" if i % 11 else None) for i in range(2000)]
     out = mixing.mix(docs(spark, rows)).toPandas()
