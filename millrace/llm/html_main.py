@@ -10,7 +10,9 @@ makes up: articles of invented words in various containers, among menus, headers
 forms and reader comments. TRAIN_PAGES bounds it. The weights (some tens of kB) go to the tasks with the function.
 
 Edge cases: null, empty and textless pages give the empty text and 0 characters; cut-off pages are read as far as they
-go; white space in a block is one space, and blocks are joined by one line break; equal rows give equal results.
+go; white space in a block is one space, and blocks are joined by one line break; equal rows give equal results, and ids
+may be null or repeated; pages of any number of blocks are read in bounded stretches; an empty table gives an empty
+result; only page_id, url and html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ NUMBERS = 6
 HIDDEN = 16
 TRAIN_PAGES = 600
 EPOCHS = 6
-#: Blocks of several pages that go through the network together.
+#: Blocks that go through the network together: of several pages, or a stretch of a longer page.
 TOGETHER = 16_384
 
 Weights = dict[str, np.ndarray]
@@ -48,8 +50,8 @@ def _path_places(path: Path) -> tuple[int, ...]:
     return tuple(places)
 
 
-def vectors(found: list[tuple[str, Path, float]], lengths: list[int]) -> np.ndarray:
-    """A row for each block; lengths: number of blocks of each page."""
+def vectors(found: list[tuple[str, Path, float]], lengths: list[int], first: int = 0, whole: int = 0) -> np.ndarray:
+    """A row for each block; lengths: number of blocks of each page. first, whole: found is a stretch of one page of `whole` blocks, from that block on."""
     n = len(found)
     out = np.zeros((n, PATHS + WORDS + NUMBERS), np.float32)
     for i, (_, path, _) in enumerate(found):
@@ -61,8 +63,8 @@ def vectors(found: list[tuple[str, Path, float]], lengths: list[int]) -> np.ndar
         hashed = np.bincount(np.repeat(np.arange(n), counts) * WORDS + bucket, minlength=n * WORDS).reshape(n, WORDS)
         out[:, PATHS : PATHS + WORDS] = hashed / np.sqrt(np.maximum((hashed**2).sum(1, keepdims=True), 1)) * 0.5
     chars = np.array([len(t) for t, _, _ in found], float)
-    size = np.repeat(lengths, lengths)
-    place = np.concatenate([np.arange(k) for k in lengths]) if lengths else np.zeros(0)
+    size = np.repeat([whole] if whole else lengths, lengths)
+    place = first + np.concatenate([np.arange(k) for k in lengths]) if lengths else np.zeros(0)
     numbers = [np.log1p(chars) / 6, np.log1p(counts) / 5, np.array([s for _, _, s in found], float), place / np.maximum(size - 1, 1), np.array([t[-1:] in ".!?:;\"')" for t, _, _ in found], float), np.ones(n)]
     out[:, PATHS + WORDS :] = np.stack(numbers, 1)
     return out
@@ -72,11 +74,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _forward(w: Weights, side: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states (steps, pages, HIDDEN) of one direction over x (steps, pages, width), and what the backward pass needs."""
+def _forward(w: Weights, side: str, x: np.ndarray, mask: np.ndarray, state: tuple[np.ndarray, np.ndarray] | None = None, learn: bool = False) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+    """Hidden states (steps, pages, HIDDEN) of one direction over x (steps, pages, width) from a state on, what the backward pass needs (when learning), and the last state."""
     steps, pages, _ = x.shape
     into = x @ w[f"{side}x"] + w[f"{side}b"]
-    h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
+    h, c = state or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
     hs, kept = np.zeros((steps, pages, HIDDEN), np.float32), []
     for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
         gates = into[t] + h @ w[f"{side}h"]
@@ -85,10 +87,11 @@ def _forward(w: Weights, side: str, x: np.ndarray, mask: np.ndarray) -> tuple[np
         m = mask[t][:, None]
         new_c = f * c + i * g
         tanh_c = np.tanh(new_c)
-        kept.append((t, h, c, i, f, o, g, tanh_c, m))
+        if learn:
+            kept.append((t, h, c, i, f, o, g, tanh_c, m))
         h, c = np.where(m, o * tanh_c, h).astype(np.float32), np.where(m, new_c, c).astype(np.float32)
         hs[t] = h
-    return hs, kept
+    return hs, kept, (h, c)
 
 
 def _backward(w: Weights, side: str, x: np.ndarray, kept: list, dhs: np.ndarray, grads: Weights) -> None:
@@ -116,11 +119,24 @@ def _padded(rows: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarra
     return x, mask
 
 
-def _states(w: Weights, x: np.ndarray, mask: np.ndarray):
-    forth, a = _forward(w, "f", x, mask)
-    back, b = _forward(w, "b", x, mask)
-    both = np.concatenate([forth, back], 2)
-    return both, _sigmoid(both @ w["o"] + w["ob"]), a, b
+def _scores(w: Weights, found: list[tuple[str, Path, float]], lengths: list[int]) -> np.ndarray:
+    """Chances (steps, pages). One page may be longer than TOGETHER: it goes through in stretches that hand their state on, so memory is bounded by a stretch."""
+    steps = max(lengths)
+    out = np.zeros((steps, len(lengths)), np.float32)
+    if steps <= TOGETHER or len(lengths) > 1:
+        x, mask = _padded(vectors(found, lengths), lengths)
+        for side, half in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
+            out += _forward(w, side, x, mask)[0] @ w["o"][half]
+        return _sigmoid(out + w["ob"])
+    begins = range(0, steps, TOGETHER)
+    for side, half in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
+        state = None
+        for a in begins if side == "f" else reversed(begins):
+            part = found[a : a + TOGETHER]
+            x, mask = _padded(vectors(part, [len(part)], a, steps), [len(part)])
+            hs, _, state = _forward(w, side, x, mask, state)
+            out[a : a + len(part)] += hs @ w["o"][half]
+    return _sigmoid(out + w["ob"])
 
 
 def chances(w: Weights, found: list[tuple[str, Path, float]], lengths: list[int]) -> np.ndarray:
@@ -134,9 +150,7 @@ def chances(w: Weights, found: list[tuple[str, Path, float]], lengths: list[int]
         while b < len(order) and lengths[order[b]] * (b + 1 - a) <= TOGETHER:
             b += 1
         part = order[a:b]
-        sizes = [lengths[p] for p in part]
-        rows = vectors([found[i] for p in part for i in range(begins[p], begins[p + 1])], sizes)
-        p_all = _states(w, *_padded(rows, sizes))[1]
+        p_all = _scores(w, [found[i] for p in part for i in range(begins[p], begins[p + 1])], [lengths[p] for p in part])
         for k, p in enumerate(part):
             out[begins[p] : begins[p + 1]] = p_all[: lengths[p], k]
         a = b
@@ -249,8 +263,8 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11) -> d
     for _ in range(pages):
         page, labels = training_page(rng)
         found = blocks(page)
-        if len(found) == len(labels):
-            made.append((found, labels))
+        assert len(found) == len(labels), "a made-up page has other blocks than it was made of"
+        made.append((found, labels))
     width = PATHS + WORDS + NUMBERS
     w: Weights = {}
     for side in "fb":
@@ -267,7 +281,9 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11) -> d
             lengths = [len(f) for f, _ in part]
             x, mask = _padded(vectors([b for f, _ in part for b in f], lengths), lengths)
             y, _ = _padded(np.array([[v] for _, ls in part for v in ls], float), lengths)
-            both, p, fa, ba = _states(w, x, mask)
+            (forth, fa, _), (back, ba, _) = (_forward(w, side, x, mask, learn=True) for side in "fb")
+            both = np.concatenate([forth, back], 2)
+            p = _sigmoid(both @ w["o"] + w["ob"])
             d = np.where(mask, p - y[:, :, 0], 0) / mask.sum()
             grads = {k: np.zeros_like(v, dtype=float) for k, v in w.items()}
             grads["o"], grads["ob"] = np.tensordot(both, d, ([0, 1], [0, 1])), np.array([d.sum()])

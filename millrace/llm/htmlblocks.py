@@ -14,15 +14,18 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCES = frozenset("body article aside section main div td th ul ol dl table form header footer nav".split())
 #: Elements whose content is not markup: it runs to their own end tag, or to the end of the page.
-_RAW = "script|style|title|textarea|iframe"
+_RAW = "script|style|title|textarea|iframe|xmp|noembed|noframes"
 #: Elements with markup that is not page text; without an end tag of their own they hide nothing.
 _HIDDEN = frozenset("noscript template svg object".split())
 _ANY_HIDDEN = re.compile(rf"<(?:{'|'.join(sorted(_HIDDEN))})(?=[\s/>])", re.I)
+#: What stands between a tag's name and its end: a quote opens a value only behind "=", and only if it is closed
+#: somewhere; elsewhere it is part of a name or of an unquoted value, which end at white space or at the tag's end.
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?>"[^"]*"|'[^']*'|[^\s>]*+))?+)*+"""
 _PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*(?<!/)>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({_RAW})(?=[\s/>]){_ATTRIBUTES}(?:(?<=/)>|>.*?(?:</\1(?=[\s/>]){_ATTRIBUTES}>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""(?<![^\s/"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 
 Path = tuple[str, ...]
@@ -54,20 +57,25 @@ def blocks(page: str) -> list[tuple[str, Path, float]]:
     def close() -> None:
         nonlocal linked
         if held:
-            text = _SPACE.sub(" ", unescape("".join(held))).strip()
+            text = _SPACE.sub(" ", "".join(held)).strip()
             if text:
                 out.append((text, tuple(n for _, names in stack for n in names), min(1.0, linked / max(1, sum(map(len, held))))))
             held.clear()
         linked = 0
 
+    def hold(text: str) -> None:
+        nonlocal linked
+        # Each text is decoded by itself: a reference never goes on behind a tag.
+        held.append(text := unescape(text) if "&" in text else text)
+        linked += len(text) * (in_link > 0)
+
     last = 0
     hidden = _hidden(page)
     for m in _PIECE.finditer(page):
         if m.start() < last:
             continue
         if m.start() > last:
-            held.append(text := page[last : m.start()])
-            linked += len(text) * (in_link > 0)
+            hold(page[last : m.start()])
         last = hidden.get(m.start(), m.end())
         tag = m[3]
         if not tag or m.start() in hidden:
@@ -104,7 +112,6 @@ def blocks(page: str) -> list[tuple[str, Path, float]]:
             stack.append((tag, tuple(names)))
             in_link += tag == "a"
     if last < len(page):
-        held.append(page[last:])
-        linked += (len(page) - last) * (in_link > 0)
+        hold(page[last:])
     close()
     return out

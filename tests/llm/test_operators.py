@@ -439,6 +439,14 @@ def test_labeller_on_pages_it_has_not_seen():
     assert right / total > 0.97
 
 
+def test_long_pages_are_read_in_stretches(monkeypatch):
+    rng, w = random.Random(5), html_main.trained()
+    found = [b for _ in range(12) for b in blocks(html_main.training_page(rng)[0])]
+    whole = html_main.chances(w, found, [len(found)])
+    monkeypatch.setattr(html_main, "TOGETHER", 37)
+    assert len(found) > 100 and np.allclose(html_main.chances(w, found, [len(found)]), whole, atol=1e-5)
+
+
 def test_blocks_of_broken_pages():
     assert [t for t, _, _ in blocks("<p>a &amp; b<br>c<p><b>d  e<script>x</script><!-- y --><li>f<p")] == ["a & b c", "d e", "f"]
     assert blocks("") == [] and [t for t, _, _ in blocks("plain < text")] == ["plain < text"]
@@ -552,6 +560,13 @@ def test_shared_folder_is_that_of_the_session(spark):
         ("<noscript><style>s</style>Enable JS</noscript><svg><title>i</title><text>label</text></svg><p>a</p>", ["a"]),
         ("<object><object>x</object>y</object><p>a</p><svg/><p>b</p><SVG>t</Svg >c", ["a", "b", "c"]),
         ("<script>if (a</style>) b</script ><p>a</p><textarea>t</p>", ["a"]),
+        ("<p class=lead'>It was theirs.</p><p>b's</p>", ["It was theirs.", "b's"]),
+        ("<p \"x>a</p><p class=\"y>b</p><p>c</p>", ["a", "b", "c"]),
+        ("<p title='1 > 0' class=\"a'b\">a</p><img alt=\"<p>x\"><p data-x = y/>b", ["a", "b"]),
+        ("<!-->a<!--->b<!-- x --!>c<!-- -- > d -->e", ["abce"]),
+        ("&lt;p&gt; &am<b>p;</b> &ampx &copy 1</p>", ["<p> &amp; &x © 1"]),
+        ("</><?php x ?><![CDATA[y]]>a</ p>b<xmp><p>x</p></xmp><title/>c", ["abc"]),
+        ("<a-b c=d>a</a-b><p =x>b<p x==\">\">c", ["a", "b", '">c']),
     ],
 )
 def test_elements_without_page_text_hide_no_more_than_themselves(page, texts):
