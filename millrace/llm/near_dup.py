@@ -8,27 +8,37 @@ documents agree at a coordinate with the probability of their weighted Jaccard s
 elements costs n steps plus one for each dart, not n for each coordinate. When a coordinate has no dart yet, the
 document's bound is doubled and its darts are thrown again, so the bound never shows in the result.
 
+A shingle weighs as often as it occurs in its text. Two texts are linked if their weighted Jaccard similarity, or the
+plain one of their sets of shingles, is at least the threshold; the two differ only for texts that repeat a shingle.
+Such a text takes part under two views, the counts and the set, each with its own signature, and the two are linked.
+
 Links: texts with the same words are one node before anything else (counts are summed on the map side, so a group
-of copies with a third of all rows is no hot key). Signatures are cut into bands, and documents that share a band's
+of copies with a third of all rows is no hot key). Signatures are cut into bands, and views that share a band's
 value meet in a bucket. No bucket is expanded into its pairs: each round compares the members of a bucket with one
 of them, its pivot, and joins those of exact similarity >= threshold; buckets whose members are all in one class are
-done. After the rounds only members of a bucket that are still in different classes, and were not compared yet, are
-left, and these are compared one with another, so no link that shares a bucket is lost. Two tests inside these joins
-keep a bucket from turning into rows for its pairs. Each set has a parity sketch, in which a shingle flips one bit: the
-bits in which two sketches differ are never more than the shingles in which the sets differ, so a pair with too many is
-surely below the threshold. And four bits of each signature coordinate travel along: a pair whose coordinates differ at
-more places than DEVIATIONS standard deviations above what the threshold leads to expect is not one (3 in a million
-links at the very threshold); that one also works for long texts, whose parity sketches are full. Classes are connected
-components, found by joins; labels never leave the executors.
+done. After the rounds only members of a bucket that are still in different classes are left. These are compared one
+with another in cells: members of similar size (others cannot be similar), in groups of about CELL by hash, a cell for
+each two groups. So a bucket of many texts that look alike without being similar is spread over many tasks, whatever its
+size, and no link that shares a bucket is lost. Two tests come before a comparison. Each view has a parity sketch, in
+which an element flips one bit: the bits in which two sketches differ are never more than the elements in which the
+views differ, so a pair with too many is surely below the threshold. And four bits of each signature coordinate travel
+along: a pair whose coordinates differ at more places than DEVIATIONS standard deviations above what the threshold leads
+to expect is not one (3 in a million links at the very threshold); that one also works for long texts, whose parity
+sketches are full. Classes are connected components, found by joins; labels never leave the executors.
+
+Hot keys: pivots, counts and classes are written before they are joined, so each join stands on exchanges of its own and
+adaptive execution splits a partition in which the members of a large bucket, class or group of copies meet.
 
 Edge cases: a text of 1 to 4 words is one shingle of all its words; texts without a word (null, empty, white space)
 are equal to each other and form one class; nodes are named by a row key, never by an id, so texts without an id or with
 the id of another text are compared like all others; the class of texts without any id has no class_id; of the rows of
-a class exactly one is kept, also where ids are null or repeated; an empty table gives an empty result.
+a class exactly one is kept, also where ids are null or repeated; an empty table gives an empty result; other columns
+than doc_id, text and the row key are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -37,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ROW, stored, with_row_key
+from millrace.llm.common import ROW, removed, stored, with_row_key
 from millrace.llm.wordbytes import mixed, steps, text_bytes, word_hashes, words
 
 WORDS = 5
@@ -50,6 +60,8 @@ BITS = 4
 DEVIATIONS = 4.5
 #: Bits of a parity sketch.
 PARITY = 1024
+#: Members of a group in the last comparison of a bucket.
+CELL = 256
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -66,20 +78,35 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, n: int = WORDS) -> tuple[np
     return out, per
 
 
+def strips(elements: np.ndarray, which: np.ndarray | None = None, seed: int = 1) -> np.ndarray:
+    """Names of strips of unit weight in the elements' regions: the first ones, or those numbered by which."""
+    named = elements * np.uint64(3)
+    return mixed((named if which is None else named + which.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) + np.uint64(seed))
+
+
+def counted(elements: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct elements of each text, how often each occurs, and how many each text has."""
+    owner = np.repeat(np.arange(len(per)), per)
+    order = np.lexsort((elements, owner))
+    e, o = elements[order], owner[order]
+    first = np.flatnonzero(np.append(True, (e[1:] != e[:-1]) | (o[1:] != o[:-1]))) if len(e) else np.zeros(0, np.int64)
+    return e[first], np.diff(np.append(first, len(e))), np.bincount(o[first], minlength=len(per))
+
+
 def dart_signatures(elements: np.ndarray, weights: np.ndarray | None, per: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
-    """A row of `size` values for each text, from its elements and their weights (None: 1 each). Texts need an element each.
+    """A row of `size` values for each text, from its distinct elements and their weights (None: 1 each). Texts need an element each.
 
     A value packs the rank (upper half) and the hash (lower half) of the earliest dart of a coordinate.
     """
     n_texts = len(per)
     owner = np.repeat(np.arange(n_texts), per)
     if weights is None:
-        strip, room, total = mixed(elements + np.uint64(seed)), None, per.astype(float)
+        strip, room, total = strips(elements, None, seed), None, per.astype(float)
     else:
         # The region of an element is cut into strips of unit weight; the last one counts only up to the weight.
         cuts = np.ceil(weights).astype(np.int64)
         which = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        strip = mixed(np.repeat(elements, cuts) * np.uint64(3) + which.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
+        strip = strips(np.repeat(elements, cuts), which, seed)
         room = np.repeat(weights, cuts) - which
         total = np.bincount(owner, weights, n_texts)
         owner = np.repeat(owner, cuts)
@@ -145,6 +172,9 @@ def within_reach(a: str, b: str, a_size: str, b_size: str, threshold: float) ->
     return differ <= (F.col(a_size) + F.col(b_size)) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
 
 
+_SIGNED = [ROW, "doc_id", "d1", "d2", "keys", "sketch", "set_keys", "set_sketch"]
+
+
 def _signed(bands: int, rows: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
@@ -163,28 +193,38 @@ def _signed(bands: int, rows: int, n: int) -> Callable[[Iterator[pa.RecordBatch]
                     sums = np.zeros(len(hashes) + 1, np.uint64)
                     np.cumsum(mixed(hashes * np.uint64(m) + mixed(place + np.uint64(m))), out=sums[1:])
                     digest.append(sums[begins + counts] - sums[begins] + counts.astype(np.uint64))
-                some = np.flatnonzero(per)
-                keys: list[np.ndarray | None] = [None] * (b - a)
-                bits: list[np.ndarray | None] = [None] * (b - a)
-                for lo in range(0, len(some), 256):
-                    part = some[lo : lo + 256]
-                    first = int(per[: part[0]].sum())
-                    sig = dart_signatures(values[first : first + int(per[part].sum())], None, per[part], bands * rows)
-                    band = np.broadcast_to(salt, (len(part), bands)).copy()
-                    for r in range(rows):
-                        band = mixed(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::rows])
-                    for i, row, sketch in zip(part.tolist(), band.view(np.int64), sketches(sig)):
-                        keys[i], bits[i] = row, sketch
+                items, often, per = counted(values, per)
+                owner = np.repeat(np.arange(b - a), per)
+                repeats = np.bincount(owner, often > 1, b - a) > 0
+                # A text that repeats a shingle has two signatures: by counts, and of the set.
+                views: list[tuple[list, list]] = []
+                for texts, weights in ((np.flatnonzero(per), often.astype(float)), (np.flatnonzero(repeats), None)):
+                    keys: list[np.ndarray | None] = [None] * (b - a)
+                    bits: list[np.ndarray | None] = [None] * (b - a)
+                    starts_at = np.cumsum(per) - per
+                    for lo in range(0, len(texts), 256):
+                        part = texts[lo : lo + 256]
+                        at = np.repeat(starts_at[part] - (np.cumsum(per[part]) - per[part]), per[part]) + np.arange(int(per[part].sum()))
+                        # Without repeats all weights are 1, which needs no strips beyond the first.
+                        heavy = weights is not None and repeats[part].any()
+                        sig = dart_signatures(items[at], weights[at] if heavy else None, per[part], bands * rows)
+                        band = np.broadcast_to(salt, (len(part), bands)).copy()
+                        for r in range(rows):
+                            band = mixed(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::rows])
+                        for i, row, sketch in zip(part.tolist(), band.view(np.int64), sketches(sig)):
+                            keys[i], bits[i] = row, sketch
+                    views.append((keys, bits))
+                longs = pa.list_(pa.int64())
                 yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                    names=[ROW, "doc_id", "d1", "d2", "keys", "sketch"],
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *(pa.array(d.view(np.int64)) for d in digest), *(pa.array(x, longs) for view in views for x in view)],
+                    names=_SIGNED,
                 )
 
     return run
 
 
 def _sets(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The distinct shingles of each text in order, their number and their parity sketch."""
+    """The views of each text: unit (twice the row key, and one more for the set of a text that repeats a shingle), its elements in order, their number and their parity sketch."""
 
     def parity(items: np.ndarray) -> np.ndarray:
         flips = np.bincount((mixed(items.view(np.uint64)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
@@ -196,22 +236,33 @@ def _sets(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
             for a, b in steps(offsets):
                 cut = offsets[a : b + 1]
                 starts, ends, counts = words(raw, cut)
-                values, per = shingles(word_hashes(raw, cut, starts, ends), counts, n)
-                items = [np.unique(v.view(np.int64)) for v in np.split(values, np.cumsum(per)[:-1])]
+                items, often, per = counted(*shingles(word_hashes(raw, cut, starts, ends), counts, n))
+                limits = np.cumsum([0, *per]).tolist()
+                units, views = [], []
+                for row, lo, hi in zip(batch.column(0).slice(a, b - a).to_pylist(), limits[:-1], limits[1:]):
+                    one, times = items[lo:hi], often[lo:hi]
+                    plain = np.sort(strips(one).view(np.int64))
+                    if len(times) and times.max() > 1:
+                        which = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                        units += [2 * row, 2 * row + 1]
+                        views += [np.sort(strips(np.repeat(one, times), which).view(np.int64)), plain]
+                    else:
+                        units.append(2 * row)
+                        views.append(plain)
                 yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), pa.array(items, pa.list_(pa.int64())), pa.array([len(i) for i in items], pa.int64()), pa.array([parity(i) for i in items], pa.list_(pa.int64()))],
-                    names=["node", "items", "size", "parity"],
+                    [pa.array(units, pa.int64()), pa.array(views, pa.list_(pa.int64())), pa.array([len(v) for v in views], pa.int64()), pa.array([parity(v) for v in views], pa.list_(pa.int64()))],
+                    names=["unit", "items", "size", "parity"],
                 )
 
     return run
 
 
 def _similar(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of pairs with the sets of both sides, those of Jaccard similarity >= threshold."""
+    """Of pairs with the elements of both sides, those of Jaccard similarity >= threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = b.column("a_items"), b.column("b_items")
+            left, right = b.column("x_items"), b.column("y_items")
             keep = np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
                 x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
@@ -221,7 +272,7 @@ def _similar(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 both = int(np.count_nonzero(large[at] == small))
                 keep[i] = both >= threshold * (len(x) + len(y) - both) - 1e-9
-            yield pa.record_batch([b.column("a"), b.column("b"), pa.array(keep)], names=["a", "b", "linked"])
+            yield pa.record_batch([b.column("x"), b.column("y"), pa.array(keep)], names=["a", "b", "linked"])
 
     return run
 
@@ -249,58 +300,95 @@ def components(links: DataFrame, full: bool = True) -> DataFrame:
             return labels
 
 
+def cells(members: DataFrame, threshold: float, per: int = CELL) -> DataFrame:
+    """members (key, unit, size and more), each as often as there are cells that it is in, with `cell` and `side` (0, 1, or 2 where both sides are one group).
+
+    The members of a bucket are cut by size into classes so wide that similar ones are in one class or in neighbours, and each class by hash
+    into groups of about `per`. A cell is two groups: any two members that can be similar share exactly one, and no cell has more than two groups.
+    """
+    width = -math.log(threshold - 0.01)  # a little wider than need be, so that no rounding parts two members
+    rows = members.withColumn("c", F.floor(F.log("size") / width).cast("int"))
+    # As many classes as sizes have orders of magnitude, so the maps are small.
+    sizes = rows.groupBy("key", "c").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("g"))
+    sizes = stored(sizes.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("c", "g"))).alias("groups")), "near-cells", small=True)
+    rows = rows.join(sizes, "key").withColumn("h", F.pmod(F.xxhash64("unit"), F.element_at("groups", F.col("c"))).cast("int"))
+    others = lambda d: F.coalesce(F.try_element_at("groups", F.col("c") + d), F.lit(0))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: k < n)
+    name = lambda c1, h1, c2, h2: F.xxhash64("key", c1, h1, c2, h2)
+    c, h = F.col("c"), F.col("h")
+    own = F.transform(upto(others(0)), lambda k: F.struct(name(c, F.least(h, k), c, F.greatest(h, k)).alias("cell"), F.when(h == k, 2).when(h < k, 0).otherwise(1).alias("side")))
+    up = F.transform(upto(others(1)), lambda k: F.struct(name(c, h, c + 1, k).alias("cell"), F.lit(0).alias("side")))
+    down = F.transform(upto(others(-1)), lambda k: F.struct(name(c - 1, k, c, h).alias("cell"), F.lit(1).alias("side")))
+    return rows.select(*members.columns, F.inline(F.concat(own, up, down)))
+
+
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), class_size, kept: one row per row of docs. Of a class one row with the smallest id is kept.
 
-    Where docs has a ROW column, it must tell its rows apart, and the result has it too.
+    Where docs has a ROW column, it must tell its rows apart (by numbers from 0 to 2 ** 62), and the result has it too.
     """
     carry = [ROW] if ROW in docs.columns else []
     text = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry), "near-rows").select(ROW, "text", "doc_id")
-    signed = stored(text.mapInArrow(_signed(bands, rows, n), f"{ROW} long, doc_id long, d1 long, d2 long, keys array<long>, sketch array<long>"), "near-signed")
+    kinds = [*["long"] * 4, *["array<long>"] * 4]
+    signed = stored(text.mapInArrow(_signed(bands, rows, n), ", ".join(f"{name} {kind}" for name, kind in zip(_SIGNED, kinds))), "near-signed")
     # One node per sequence of words; its name is the key of the row that stands first in it, a row with the smallest id.
     best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)
-    nodes = signed.groupBy("d1", "d2").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    nodes = signed.groupBy("d1", "d2").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("copies"))
     nodes = stored(nodes.withColumn("node", F.col("best")[ROW]), "near-nodes")
-    keyed = nodes.where("keys IS NOT NULL").select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    met_once = stored(keyed.join(shared, "key"), "near-met")
-    live = met_once.select("node").distinct()
-    # Candidates grow with the corpus, so they are dealt like the texts and never broadcast.
+    # Nodes grow with the corpus, so they are dealt like the texts and never broadcast.
+    first = signed.where("keys IS NOT NULL").join(nodes.select("node").hint("shuffle_hash"), F.col(ROW) == F.col("node"), "left_semi")
+    views = F.array(F.struct((F.col(ROW) * 2).alias("unit"), "keys", "sketch"), F.struct((F.col(ROW) * 2 + 1).alias("unit"), F.col("set_keys").alias("keys"), F.col("set_sketch").alias("sketch")))
+    units = stored(first.select(F.inline(views)).where("keys IS NOT NULL"), "near-units")
+    keyed = units.select("unit", F.explode("keys").alias("key"))
+    shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "near-shared", small=True)
+    met = stored(keyed.join(shared, "key"), "near-met")
+    live = met.select(F.floor(F.col("unit") / 2).cast("long").alias("node")).distinct()
     nodes_text = text.join(live.hint("shuffle_hash"), F.col(ROW) == F.col("node"), "left_semi").select(ROW, "text")
-    sets = stored(nodes_text.mapInArrow(_sets(n), "node long, items array<long>, size long, parity array<long>"), "near-sets")
-    sketched = stored(nodes.where("sketch IS NOT NULL").select("node", "sketch").join(sets.select("node", "size", "parity"), "node"), "near-sketched", small=True)
+    sets = stored(nodes_text.mapInArrow(_sets(n), "unit long, items array<long>, size long, parity array<long>"), "near-sets")
+    sketched = stored(units.select("unit", "sketch").join(sets.select("unit", "size", "parity"), "unit"), "near-sketched", small=True)
+    about = ("size", "parity", "sketch")
+    of = lambda unit, mark: sketched.select(F.col("unit").alias(unit), *[F.col(c).alias(mark + c) for c in about])
     alike = within_reach("parity", "p_parity", "size", "p_size", threshold) & could_be_similar("sketch", "p_sketch", bands * rows, threshold)
+    union = lambda frames: reduce(DataFrame.union, frames)
+    found: list[DataFrame] = []  # of each round, its pairs and whether they are links
+    spent = [units, shared, sets, sketched, met]
 
     def compared(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
-        right = sets.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
-        return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "a_items", "b_items").mapInArrow(_similar(threshold), "a long, b long, linked boolean"), "near-compared", small=True)
-
-    found: list[DataFrame] = []  # of each round, its pairs and whether they are links
-    union = lambda frames: reduce(DataFrame.union, frames)
-    open_buckets = met_once.withColumn("label", F.col("node")).join(sketched, "node")
-    carried = ("node", "label", "size", "parity", "sketch")
-    for turn in range(rounds + 1):
-        other = [F.col("node").alias("y"), *[F.col(c).alias(f"p_{c}") for c in carried[1:]]]
-        if turn < rounds:
-            pivots = open_buckets.groupBy("key").agg(F.min_by(F.struct(*carried), F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("p"))
-            met = open_buckets.join(pivots.select("key", "p.*").select("key", *other), "key").where((F.col("label") != F.col("p_label")) & alike)
-        else:
-            met = open_buckets.join(open_buckets.select("key", *other), "key").where((F.col("node") < F.col("y")) & (F.col("label") != F.col("p_label")) & alike)
-        met = met.select(F.col("node").alias("x"), "y")
-        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        """Exact comparisons of the pairs (x, y) that were not compared before."""
         if found:
-            pairs = pairs.join(union(found).select("a", "b"), ["a", "b"], "left_anti")
-        found.append(compared(pairs))
-        if turn == rounds:
-            break
-        labels = components(union(found).where("linked"), full=False)
-        named = met_once.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+            before = union(found)
+            pairs = pairs.join(before.select(F.col("a").alias("x"), F.col("b").alias("y")).union(before.select(F.col("b").alias("x"), F.col("a").alias("y"))), ["x", "y"], "left_anti")
+        elements = lambda c: sets.select(F.col("unit").alias(c), F.col("items").alias(f"{c}_items"))
+        both = pairs.join(elements("x"), "x").join(elements("y"), "y").select("x", "y", "x_items", "y_items")
+        return stored(both.mapInArrow(_similar(threshold), "a long, b long, linked boolean"), "near-compared", small=True)
+
+    # The two views of a text are linked.
+    same = met.where("unit % 2 = 1").select((F.col("unit") - 1).alias("a"), F.col("unit").alias("b"), F.lit(True).alias("linked")).distinct()
+    links = lambda: union([same, *found]).where("linked")
+    open_buckets = met.withColumn("label", F.col("unit"))
+    for turn in range(rounds):
+        order = F.xxhash64("unit", F.lit(turn)) if turn else F.col("unit")
+        pivots = stored(open_buckets.groupBy("key").agg(F.min_by("unit", order).alias("y"), F.min_by("label", order).alias("y_label")), "near-pivots", small=True)
+        pairs = open_buckets.join(pivots, "key").where("label <> y_label").select(F.col("unit").alias("x"), "y").distinct()
+        pairs = pairs.join(of("x", ""), "x").join(of("y", "p_"), "y").where(alike).select("x", "y")
+        found.append(compared(stored(pairs, "near-pairs", small=True)))
+        labels = components(links(), full=False)
+        named = met.join(labels, F.col("unit") == F.col("node"), "left").select("key", "unit", F.coalesce("label", "unit").alias("label"))
+        named = stored(named, "near-named")
         mixed_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi AND n > 2").select("key")
-        open_buckets = stored(named.join(mixed_keys, "key").join(sketched, "node"), "near-open", small=True)
-    labels = components(union(found).where("linked"))
-    classed = nodes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("label"), "copies", "best")
-    total = classed.groupBy(F.col("label").alias("t_label")).agg(F.sum("copies").alias("class_size"), F.min("best").alias("first"))
-    classed = classed.join(total, F.col("label") == F.col("t_label")).select("d1", "d2", "class_size", F.col("first.doc_id").alias("class_id"), F.col("first")[ROW].alias("first_row"))
-    out = signed.select(ROW, "doc_id", "d1", "d2").join(classed, ["d1", "d2"])
+        open_buckets = stored(named.join(stored(mixed_keys, "near-mixed", small=True), "key", "left_semi"), "near-open", small=True)
+        spent += [pivots, named, open_buckets]
+    members = cells(open_buckets.join(sketched, "unit"), threshold)
+    left = members.where("side <> 1")
+    right = members.where("side <> 0").select("cell", F.col("unit").alias("y"), F.col("label").alias("y_label"), F.col("side").alias("y_side"), *[F.col(c).alias(f"p_{c}") for c in about])
+    once = (F.col("side") < 2) | (F.col("unit") < F.col("y"))
+    pairs = left.join(right, "cell").where((F.col("side") == F.col("y_side")) & (F.col("side") == 2) | (F.col("side") == 0) & (F.col("y_side") == 1)).where(once & (F.col("label") != F.col("y_label")) & alike)
+    found.append(compared(stored(pairs.select(F.col("unit").alias("x"), "y").distinct(), "near-pairs", small=True)))
+    labels = components(links())
+    labels = stored(labels.where("node % 2 = 0").select(F.floor(F.col("node") / 2).cast("long").alias("l_node"), F.floor(F.col("label") / 2).cast("long").alias("label")), "near-classes", small=True)
+    removed(*spent, *found)
+    classed = stored(nodes.join(labels, F.col("node") == F.col("l_node"), "left").select("d1", "d2", F.coalesce("label", "node").alias("label"), "copies", "best"), "near-classed")
+    total = stored(classed.groupBy(F.col("label").alias("t_label")).agg(F.sum("copies").alias("class_size"), F.min("best").alias("first")), "near-totals")
+    named = classed.join(total, F.col("label") == F.col("t_label")).select("d1", "d2", "class_size", F.col("first.doc_id").alias("class_id"), F.col("first")[ROW].alias("first_row"))
+    out = signed.select(ROW, "doc_id", "d1", "d2").join(named, ["d1", "d2"])
     return out.select("doc_id", "class_id", "class_size", (F.col(ROW) == F.col("first_row")).alias("kept"), *carry)

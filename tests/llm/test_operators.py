@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -92,27 +93,77 @@ def test_exact_groups_cross_ranges(spark):
 
 
 def jaccard_classes(rows, t=0.8):
-    sets = {}
+    """Components of texts whose shingles are similar as sets or as counts."""
+    bags = {}
     for i, text, _ in rows:
         w = WORDS.findall(text or "")
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {()}
-    parent = {i: i for i in sets}
+        bags[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter([()])
+    parent = {i: i for i in bags}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(sets)
+    def similar(x, y):
+        plain = len(x.keys() & y.keys()) >= t * len(x.keys() | y.keys()) - 1e-9
+        return plain or (x & y).total() >= t * (x | y).total() - 1e-9
+
+    ids = sorted(bags)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both >= t * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+            if similar(bags[a], bags[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {i: root(i) for i in ids}
 
 
+def test_near_groups_of_texts_that_repeat_themselves(spark):
+    """Similar as sets only, as counts only, and as neither."""
+    rng = random.Random(12)
+    line = lambda: " ".join(rng.choice(VOCABULARY) + rng.choice(VOCABULARY) for _ in range(20))
+    a, b = [line() for _ in range(6)], line()
+    rows = [(1, " ".join(a), "s"), (2, " ".join(a + a[:1] * 9), "s"), (3, " ".join([b] * 40 + [line() for _ in range(3)]), "s"), (4, " ".join([b] * 40 + [line() for _ in range(3)]), "s"), (5, " ".join([b] * 5 + [line() for _ in range(5)]), "s")]
+    expected = jaccard_classes(rows)
+    assert expected == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.near_groups(docs(spark, rows)).collect()} == expected
+
+
+def test_cells_bring_all_members_of_like_size_together_once(spark):
+    rng = random.Random(2)
+    rows = [(7, u, int(50 * 1.1 ** rng.randrange(20))) for u in range(300)] + [(8, u, 40) for u in range(3)]
+    out = near_dup.cells(spark.createDataFrame(rows, "key long, unit long, size long"), 0.8, per=16).collect()
+    per, met = Counter(r["cell"] for r in out), Counter()
+    assert max(per.values()) < 6 * 16
+    by_cell = {}
+    for r in out:
+        by_cell.setdefault(r["cell"], []).append(r)
+    for members in by_cell.values():
+        for x in members:
+            for y in members:
+                if x["side"] == 0 and y["side"] == 1 or x["side"] == y["side"] == 2 and x["unit"] < y["unit"]:
+                    met[(x["key"], *sorted((x["unit"], y["unit"])))] += 1
+    assert set(met.values()) == {1}
+    for k, u, m in rows:
+        for k2, v, m2 in rows:
+            if k == k2 and u < v and min(m, m2) >= 0.8 * max(m, m2):
+                assert met[(k, u, v)] == 1
+
+
+def test_a_bucket_of_look_alikes_is_compared_whole(spark):
+    """Texts that share most of their words without being similar, a few similar ones among them, in small cells."""
+    rng = random.Random(14)
+    base = [rng.choice(VOCABULARY) + rng.choice(VOCABULARY) for _ in range(120)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.choice([2, 3, 3])):
+            words[rng.randrange(120)] = f"odd{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words), "s"))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_groups(docs(spark, rows), rounds=1).collect()}
+    assert got == jaccard_classes(rows)
+
+
 def test_near_groups_are_components_of_similar_texts(spark):
     rng = random.Random(4)
     rows = []
