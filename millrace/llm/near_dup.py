@@ -16,15 +16,16 @@ Links: texts with the same words are one node before anything else (counts are s
 of copies with a third of all rows is no hot key). Signatures are cut into bands, and views that share a band's
 value meet in a bucket. No bucket is expanded into its pairs: each round compares the members of a bucket with one
 of them, its pivot, and joins those of exact similarity >= threshold; buckets whose members are all in one class are
-done. After the rounds only members of a bucket that are still in different classes are left. These are compared one
-with another in cells: members of similar size (others cannot be similar), in groups of about CELL by hash, a cell for
-each two groups. So a bucket of many texts that look alike without being similar is spread over many tasks, whatever its
-size, and no link that shares a bucket is lost. Two tests come before a comparison. Each view has a parity sketch, in
-which an element flips one bit: the bits in which two sketches differ are never more than the elements in which the
-views differ, so a pair with too many is surely below the threshold. And four bits of each signature coordinate travel
-along: a pair whose coordinates differ at more places than DEVIATIONS standard deviations above what the threshold leads
-to expect is not one (3 in a million links at the very threshold); that one also works for long texts, whose parity
-sketches are full. Classes are connected components, found by joins; labels never leave the executors.
+done, and classes found so far are carried along, so each round links classes and not texts. After the rounds only
+members of a bucket that are still in different classes are left. These are compared one with another in cells: members
+of similar size (others cannot be similar), in groups of about CELL by hash, a cell for each two groups. So a bucket of
+many texts that look alike without being similar is spread over many tasks, whatever its size, and no link that shares
+a bucket is lost. Two tests come before a comparison. Each view has a parity sketch, in which an element flips one bit:
+the bits in which two sketches differ are never more than the elements in which the views differ, so a pair with too
+many is surely below the threshold. And four bits of each signature coordinate travel along: a pair whose coordinates
+differ at more places than DEVIATIONS standard deviations above what the threshold leads to expect is not one (3 in a
+million links at the very threshold); that one also works for long texts, whose parity sketches are full. Classes are
+connected components, found by joins; labels never leave the executors.
 
 Hot keys: pivots, counts and classes are written before they are joined, so each join stands on exchanges of its own and
 adaptive execution splits a partition in which the members of a large bucket, class or group of copies meet.
@@ -40,7 +41,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +54,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS = 40
 ROWS = 6
-ROUNDS = 2
+ROUNDS = 3
 #: Bits of each coordinate in a sketch.
 BITS = 4
 DEVIATIONS = 4.5
@@ -258,7 +258,7 @@ def _sets(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
 
 def _similar(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of pairs with the elements of both sides, those of Jaccard similarity >= threshold."""
+    """The labels (smaller, greater) of pairs with Jaccard similarity >= threshold, from the elements of both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -272,7 +272,8 @@ def _similar(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 both = int(np.count_nonzero(large[at] == small))
                 keep[i] = both >= threshold * (len(x) + len(y) - both) - 1e-9
-            yield pa.record_batch([b.column("x"), b.column("y"), pa.array(keep)], names=["a", "b", "linked"])
+            x, y = (b.column(c).to_numpy(zero_copy_only=False)[keep] for c in ("x_label", "y_label"))
+            yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
 
@@ -285,41 +286,44 @@ def nearer_labels(labels: DataFrame, both: DataFrame) -> DataFrame:
     return lower.join(jump, "label").select("node", "old", F.least("label", "further").alias("label"))
 
 
-def components(links: DataFrame, full: bool = True) -> DataFrame:
-    """node, label of all nodes with links (a, b): the smallest node of the component; with full False only the smallest nearby."""
-    both = links.select("a", "b").union(links.select("b", "a")).distinct()
-    if not full:
-        return both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    both = stored(both, "near-links", small=True)
+def components(links: DataFrame) -> DataFrame:
+    """node, label of all nodes with links (a, b): the smallest node of the component."""
+    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-both", small=True)
     labels = both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("label"))
     while True:
         once = nearer_labels(labels, both).select("node", "label")
-        new = stored(nearer_labels(once, both), "near-labels", small=True)
+        new = stored(nearer_labels(once, both), "near-components", small=True)
         labels = new.select("node", "label")
         if new.where(F.col("old") != F.col("label")).isEmpty():
+            removed(both)
             return labels
 
 
 def cells(members: DataFrame, threshold: float, per: int = CELL) -> DataFrame:
-    """members (key, unit, size and more), each as often as there are cells that it is in, with `cell` and `side` (0, 1, or 2 where both sides are one group).
+    """members (key, unit, label, size and more), each as often as there are cells that it is in, with `cell` and `side` (0, 1, or 2 where both sides are one group).
 
-    The members of a bucket are cut by size into classes so wide that similar ones are in one class or in neighbours, and each class by hash
-    into groups of about `per`. A cell is two groups: any two members that can be similar share exactly one, and no cell has more than two groups.
+    The members of a bucket are cut by size into classes so wide that similar ones are in one class or in neighbours, by whether they have the
+    bucket's most frequent label, and by hash into groups of about `per`. A cell is two groups. Any two members of different labels that can be
+    similar share exactly one cell, no cell has more than two groups, and those of the most frequent label never meet each other.
     """
     width = -math.log(threshold - 0.01)  # a little wider than need be, so that no rounding parts two members
-    rows = members.withColumn("c", F.floor(F.log("size") / width).cast("int"))
+    often = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("often"))
+    rows = members.join(stored(often, "near-often", small=True), "key").withColumn("c", 2 * F.floor(F.log("size") / width).cast("int") + (F.col("label") == F.col("often")).cast("int"))
     # As many classes as sizes have orders of magnitude, so the maps are small.
     sizes = rows.groupBy("key", "c").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("g"))
     sizes = stored(sizes.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("c", "g"))).alias("groups")), "near-cells", small=True)
     rows = rows.join(sizes, "key").withColumn("h", F.pmod(F.xxhash64("unit"), F.element_at("groups", F.col("c"))).cast("int"))
-    others = lambda d: F.coalesce(F.try_element_at("groups", F.col("c") + d), F.lit(0))
-    upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: k < n)
-    name = lambda c1, h1, c2, h2: F.xxhash64("key", c1, h1, c2, h2)
     c, h = F.col("c"), F.col("h")
-    own = F.transform(upto(others(0)), lambda k: F.struct(name(c, F.least(h, k), c, F.greatest(h, k)).alias("cell"), F.when(h == k, 2).when(h < k, 0).otherwise(1).alias("side")))
-    up = F.transform(upto(others(1)), lambda k: F.struct(name(c, h, c + 1, k).alias("cell"), F.lit(0).alias("side")))
-    down = F.transform(upto(others(-1)), lambda k: F.struct(name(c - 1, k, c, h).alias("cell"), F.lit(1).alias("side")))
-    return rows.select(*members.columns, F.inline(F.concat(own, up, down)))
+    upto = lambda c2: F.filter(F.sequence(F.lit(0), F.greatest(F.coalesce(F.try_element_at("groups", c2), F.lit(0)), F.lit(1)) - 1), lambda k: k < F.coalesce(F.try_element_at("groups", c2), F.lit(0)))
+    cell = lambda first, k1, second, k2, side: F.struct(F.xxhash64("key", first, k1, second, k2).alias("cell"), side.alias("side"))
+    here, there = F.lit(0), F.lit(1)
+    below = lambda d: F.transform(upto(c + d), lambda k: cell(c, h, c + d, k, here))
+    above = lambda d: F.transform(upto(c + d), lambda k: cell(c + d, k, c, h, there))
+    own = F.transform(upto(c), lambda k: cell(c, F.least(h, k), c, F.greatest(h, k), F.when(h == k, 2).when(h < k, 0).otherwise(1)))
+    # An even class number: other labels. They meet their own size and both neighbours, and in all three those of the frequent label.
+    rare = [own, below(2), above(-2), below(1), below(3), below(-1)]
+    frequent = [above(-1), above(-3), above(1)]
+    return rows.select(*members.columns, F.inline(F.when(F.pmod(c, F.lit(2)) == 0, F.concat(*rare)).otherwise(F.concat(*frequent))))
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
@@ -349,44 +353,47 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, b
     about = ("size", "parity", "sketch")
     of = lambda unit, mark: sketched.select(F.col("unit").alias(unit), *[F.col(c).alias(mark + c) for c in about])
     alike = within_reach("parity", "p_parity", "size", "p_size", threshold) & could_be_similar("sketch", "p_sketch", bands * rows, threshold)
-    union = lambda frames: reduce(DataFrame.union, frames)
-    found: list[DataFrame] = []  # of each round, its pairs and whether they are links
-    spent = [units, shared, sets, sketched, met]
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        """Exact comparisons of the pairs (x, y) that were not compared before."""
-        if found:
-            before = union(found)
-            pairs = pairs.join(before.select(F.col("a").alias("x"), F.col("b").alias("y")).union(before.select(F.col("b").alias("x"), F.col("a").alias("y"))), ["x", "y"], "left_anti")
-        elements = lambda c: sets.select(F.col("unit").alias(c), F.col("items").alias(f"{c}_items"))
-        both = pairs.join(elements("x"), "x").join(elements("y"), "y").select("x", "y", "x_items", "y_items")
-        return stored(both.mapInArrow(_similar(threshold), "a long, b long, linked boolean"), "near-compared", small=True)
-
-    # The two views of a text are linked.
-    same = met.where("unit % 2 = 1").select((F.col("unit") - 1).alias("a"), F.col("unit").alias("b"), F.lit(True).alias("linked")).distinct()
-    links = lambda: union([same, *found]).where("linked")
-    open_buckets = met.withColumn("label", F.col("unit"))
+    pair = ("x", "y", "x_label", "y_label")
+    spent = [units, shared, sets, sketched]
+
+    def classes_of(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """labels (unit, label) after the pairs (x, y and their labels) were compared exactly and classes with a link between them were put together."""
+        pairs = stored(pairs.distinct(), "near-pairs", small=True)
+        units_met = pairs.select(F.col("x").alias("unit")).union(pairs.select("y")).distinct()
+        some = sets.join(units_met, "unit", "left_semi")
+        elements = lambda c: some.select(F.col("unit").alias(c), F.col("items").alias(f"{c}_items"))
+        both = pairs.join(elements("x"), "x").join(elements("y"), "y").select("x_label", "y_label", "x_items", "y_items")
+        links = stored(both.mapInArrow(_similar(threshold), "a long, b long").distinct(), "near-links", small=True)
+        joined = components(links).select(F.col("node").alias("label"), F.col("label").alias("into"))
+        out = stored(labels.join(joined, "label", "left").select("unit", F.coalesce("into", "label").alias("label")), "near-labels", small=True)
+        removed(pairs, links)
+        return out
+
+    # The two views of a text are in one class from the start.
+    labels = stored(met.select("unit").distinct().select("unit", (F.col("unit") - F.col("unit") % 2).alias("label")), "near-labels", small=True)
+    open_buckets = stored(met.join(labels, "unit").select("key", "unit", "label"), "near-open")
+    removed(met)
     for turn in range(rounds):
-        order = F.xxhash64("unit", F.lit(turn)) if turn else F.col("unit")
+        # First one and the same pivot for many buckets, which spares comparisons; then another one in each bucket.
+        order = F.xxhash64("unit", "key", F.lit(turn)) if turn else F.col("unit")
         pivots = stored(open_buckets.groupBy("key").agg(F.min_by("unit", order).alias("y"), F.min_by("label", order).alias("y_label")), "near-pivots", small=True)
-        pairs = open_buckets.join(pivots, "key").where("label <> y_label").select(F.col("unit").alias("x"), "y").distinct()
-        pairs = pairs.join(of("x", ""), "x").join(of("y", "p_"), "y").where(alike).select("x", "y")
-        found.append(compared(stored(pairs, "near-pairs", small=True)))
-        labels = components(links(), full=False)
-        named = met.join(labels, F.col("unit") == F.col("node"), "left").select("key", "unit", F.coalesce("label", "unit").alias("label"))
-        named = stored(named, "near-named")
+        pairs = open_buckets.join(pivots, "key").where("label <> y_label").select(F.col("unit").alias("x"), "y", F.col("label").alias("x_label"), "y_label").distinct()
+        pairs = pairs.join(of("x", ""), "x").join(of("y", "p_"), "y").where(alike).select(*pair)
+        labels = classes_of(pairs, labels)
+        named = open_buckets.select("key", "unit").join(labels, "unit")
         mixed_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi AND n > 2").select("key")
-        open_buckets = stored(named.join(stored(mixed_keys, "near-mixed", small=True), "key", "left_semi"), "near-open", small=True)
-        spent += [pivots, named, open_buckets]
+        mixed_keys = stored(mixed_keys, "near-mixed", small=True)
+        still = stored(named.join(mixed_keys, "key", "left_semi"), "near-open", small=True)
+        removed(open_buckets, pivots, mixed_keys)
+        open_buckets = still
     members = cells(open_buckets.join(sketched, "unit"), threshold)
-    left = members.where("side <> 1")
+    left = members.where("side <> 1").withColumnsRenamed({"unit": "x", "label": "x_label"})
     right = members.where("side <> 0").select("cell", F.col("unit").alias("y"), F.col("label").alias("y_label"), F.col("side").alias("y_side"), *[F.col(c).alias(f"p_{c}") for c in about])
-    once = (F.col("side") < 2) | (F.col("unit") < F.col("y"))
-    pairs = left.join(right, "cell").where((F.col("side") == F.col("y_side")) & (F.col("side") == 2) | (F.col("side") == 0) & (F.col("y_side") == 1)).where(once & (F.col("label") != F.col("y_label")) & alike)
-    found.append(compared(stored(pairs.select(F.col("unit").alias("x"), "y").distinct(), "near-pairs", small=True)))
-    labels = components(links())
-    labels = stored(labels.where("node % 2 = 0").select(F.floor(F.col("node") / 2).cast("long").alias("l_node"), F.floor(F.col("label") / 2).cast("long").alias("label")), "near-classes", small=True)
-    removed(*spent, *found)
+    met_here = (F.col("side") == 0) & (F.col("y_side") == 1) | (F.col("side") == 2) & (F.col("y_side") == 2) & (F.col("x") < F.col("y"))
+    pairs = left.join(right, "cell").where(met_here & (F.col("x_label") != F.col("y_label")) & alike)
+    labels = classes_of(pairs.select(*pair), labels)
+    labels = labels.where("unit % 2 = 0").select(F.floor(F.col("unit") / 2).cast("long").alias("l_node"), F.floor(F.col("label") / 2).cast("long").alias("label"))
+    removed(*spent, open_buckets)
     classed = stored(nodes.join(labels, F.col("node") == F.col("l_node"), "left").select("d1", "d2", F.coalesce("label", "node").alias("label"), "copies", "best"), "near-classed")
     total = stored(classed.groupBy(F.col("label").alias("t_label")).agg(F.sum("copies").alias("class_size"), F.min("best").alias("first")), "near-totals")
     named = classed.join(total, F.col("label") == F.col("t_label")).select("d1", "d2", "class_size", F.col("first.doc_id").alias("class_id"), F.col("first")[ROW].alias("first_row"))

@@ -129,25 +129,25 @@ def test_near_groups_of_texts_that_repeat_themselves(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dup.near_groups(docs(spark, rows)).collect()} == expected
 
 
-def test_cells_bring_all_members_of_like_size_together_once(spark):
+def test_cells_bring_all_members_of_like_size_and_other_label_together_once(spark):
     rng = random.Random(2)
-    rows = [(7, u, int(50 * 1.1 ** rng.randrange(20))) for u in range(300)] + [(8, u, 40) for u in range(3)]
-    out = near_dup.cells(spark.createDataFrame(rows, "key long, unit long, size long"), 0.8, per=16).collect()
-    per, met = Counter(r["cell"] for r in out), Counter()
-    assert max(per.values()) < 6 * 16
-    by_cell = {}
+    rows = [(7, u, rng.choice([0] * 8 + list(range(1, 30))), int(50 * 1.1 ** rng.randrange(20))) for u in range(300)] + [(8, u, u, 40) for u in range(3)]
+    out = near_dup.cells(spark.createDataFrame(rows, "key long, unit long, label long, size long"), 0.8, per=16).collect()
+    by_cell, met = {}, Counter()
     for r in out:
         by_cell.setdefault(r["cell"], []).append(r)
+    assert max(map(len, by_cell.values())) < 6 * 16
     for members in by_cell.values():
         for x in members:
             for y in members:
                 if x["side"] == 0 and y["side"] == 1 or x["side"] == y["side"] == 2 and x["unit"] < y["unit"]:
                     met[(x["key"], *sorted((x["unit"], y["unit"])))] += 1
     assert set(met.values()) == {1}
-    for k, u, m in rows:
-        for k2, v, m2 in rows:
-            if k == k2 and u < v and min(m, m2) >= 0.8 * max(m, m2):
+    for k, u, a, m in rows:
+        for k2, v, b, m2 in rows:
+            if k == k2 and u < v and a != b and min(m, m2) >= 0.8 * max(m, m2):
                 assert met[(k, u, v)] == 1
+            assert not (a == b == 0 and k == k2 == 7 and met[(k, u, v)])
 
 
 def test_a_bucket_of_look_alikes_is_compared_whole(spark):
