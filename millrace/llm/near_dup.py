@@ -223,8 +223,26 @@ def _signed(bands: int, rows: int, n: int) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
-def _sets(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The views of each text: unit (twice the row key, and one more for the set of a text that repeats a shingle), its elements in order, their number and their parity sketch."""
+def _views(column: pa.Array, n: int) -> Iterator[list[np.ndarray]]:
+    """The views of each text as elements in order: its counts (a strip for each occurrence of a shingle), and its set where that is another one."""
+    raw, offsets = text_bytes(column)
+    for a, b in steps(offsets):
+        cut = offsets[a : b + 1]
+        starts, ends, counts = words(raw, cut)
+        items, often, per = counted(*shingles(word_hashes(raw, cut, starts, ends), counts, n))
+        limits = np.cumsum([0, *per]).tolist()
+        for lo, hi in zip(limits[:-1], limits[1:]):
+            one, times = items[lo:hi], often[lo:hi]
+            plain = np.sort(strips(one).view(np.int64))
+            if hi > lo and times.max() > 1:
+                which = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                yield [np.sort(strips(np.repeat(one, times), which).view(np.int64)), plain]
+            else:
+                yield [plain]
+
+
+def _sized(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """unit (twice the row key, and one more for the set of a text that repeats a shingle), number of elements and parity sketch of each view."""
 
     def parity(items: np.ndarray) -> np.ndarray:
         flips = np.bincount((mixed(items.view(np.uint64)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
@@ -232,47 +250,33 @@ def _sets(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(1))
-            for a, b in steps(offsets):
-                cut = offsets[a : b + 1]
-                starts, ends, counts = words(raw, cut)
-                items, often, per = counted(*shingles(word_hashes(raw, cut, starts, ends), counts, n))
-                limits = np.cumsum([0, *per]).tolist()
-                units, views = [], []
-                for row, lo, hi in zip(batch.column(0).slice(a, b - a).to_pylist(), limits[:-1], limits[1:]):
-                    one, times = items[lo:hi], often[lo:hi]
-                    plain = np.sort(strips(one).view(np.int64))
-                    if len(times) and times.max() > 1:
-                        which = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-                        units += [2 * row, 2 * row + 1]
-                        views += [np.sort(strips(np.repeat(one, times), which).view(np.int64)), plain]
-                    else:
-                        units.append(2 * row)
-                        views.append(plain)
-                yield pa.record_batch(
-                    [pa.array(units, pa.int64()), pa.array(views, pa.list_(pa.int64())), pa.array([len(v) for v in views], pa.int64()), pa.array([parity(v) for v in views], pa.list_(pa.int64()))],
-                    names=["unit", "items", "size", "parity"],
-                )
+            rows = [(2 * node + k, len(v), parity(v)) for node, views in zip(batch.column(0).to_pylist(), _views(batch.column(1), n)) for k, v in enumerate(views)]
+            units, sizes, flips = zip(*rows) if rows else ((),) * 3
+            yield pa.record_batch([pa.array(units, pa.int64()), pa.array(sizes, pa.int64()), pa.array(flips, pa.list_(pa.int64()))], names=["unit", "size", "parity"])
 
     return run
 
 
-def _similar(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The labels (smaller, greater) of pairs with Jaccard similarity >= threshold, from the elements of both sides."""
+def _similar(threshold: float, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The labels (smaller, greater) of pairs with Jaccard similarity >= threshold, from the texts of both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = b.column("x_items"), b.column("y_items")
+            sides = []
+            for c in ("x", "y"):
+                # A pivot is in many pairs: each text is read once per batch.
+                nodes, first, where = np.unique(b.column(c).to_numpy() // 2, return_index=True, return_inverse=True)
+                views = list(_views(b.column(f"{c}_text").take(pa.array(first)), n))
+                sides.append([views[k][u] for k, u in zip(where.tolist(), (b.column(c).to_numpy() % 2).tolist())])
             keep = np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
+            for i, (x, y) in enumerate(zip(*sides)):
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 if len(small) < threshold * len(large) - 1e-9 or not len(small):
                     continue
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 both = int(np.count_nonzero(large[at] == small))
                 keep[i] = both >= threshold * (len(x) + len(y) - both) - 1e-9
-            x, y = (b.column(c).to_numpy(zero_copy_only=False)[keep] for c in ("x_label", "y_label"))
+            x, y = (b.column(c).to_numpy()[keep] for c in ("x_label", "y_label"))
             yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
@@ -347,23 +351,24 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, b
     shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "near-shared", small=True)
     met = stored(keyed.join(shared, "key"), "near-met")
     live = met.select(F.floor(F.col("unit") / 2).cast("long").alias("node")).distinct()
-    nodes_text = text.join(live.hint("shuffle_hash"), F.col(ROW) == F.col("node"), "left_semi").select(ROW, "text")
-    sets = stored(nodes_text.mapInArrow(_sets(n), "unit long, items array<long>, size long, parity array<long>"), "near-sets")
-    sketched = stored(units.select("unit", "sketch").join(sets.select("unit", "size", "parity"), "unit"), "near-sketched", small=True)
+    texts = stored(text.join(live.hint("shuffle_hash"), F.col(ROW) == F.col("node"), "left_semi").select(F.col(ROW).alias("node"), "text"), "near-texts")
+    sizes = texts.mapInArrow(_sized(n), "unit long, size long, parity array<long>")
+    sketched = stored(units.select("unit", "sketch").join(sizes, "unit"), "near-sketched", small=True)
     about = ("size", "parity", "sketch")
     of = lambda unit, mark: sketched.select(F.col("unit").alias(unit), *[F.col(c).alias(mark + c) for c in about])
     alike = within_reach("parity", "p_parity", "size", "p_size", threshold) & could_be_similar("sketch", "p_sketch", bands * rows, threshold)
     pair = ("x", "y", "x_label", "y_label")
-    spent = [units, shared, sets, sketched]
+    spent = [units, shared, texts, sketched]
 
     def classes_of(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """labels (unit, label) after the pairs (x, y and their labels) were compared exactly and classes with a link between them were put together."""
         pairs = stored(pairs.distinct(), "near-pairs", small=True)
-        units_met = pairs.select(F.col("x").alias("unit")).union(pairs.select("y")).distinct()
-        some = sets.join(units_met, "unit", "left_semi")
-        elements = lambda c: some.select(F.col("unit").alias(c), F.col("items").alias(f"{c}_items"))
-        both = pairs.join(elements("x"), "x").join(elements("y"), "y").select("x_label", "y_label", "x_items", "y_items")
-        links = stored(both.mapInArrow(_similar(threshold), "a long, b long").distinct(), "near-links", small=True)
+        node = lambda c: F.floor(F.col(c) / 2).cast("long")
+        met_nodes = pairs.select(node("x").alias("node")).union(pairs.select(node("y"))).distinct()
+        some = texts.join(met_nodes, "node", "left_semi")
+        text_of_side = lambda c: some.select(F.col("node").alias(f"{c}_node"), F.col("text").alias(f"{c}_text"))
+        both = pairs.withColumns({"x_node": node("x"), "y_node": node("y")}).join(text_of_side("x"), "x_node").join(text_of_side("y"), "y_node").select(*pair, "x_text", "y_text")
+        links = stored(both.mapInArrow(_similar(threshold, n), "a long, b long").distinct(), "near-links", small=True)
         joined = components(links).select(F.col("node").alias("label"), F.col("label").alias("into"))
         out = stored(labels.join(joined, "label", "left").select("unit", F.coalesce("into", "label").alias("label")), "near-labels", small=True)
         removed(pairs, links)
