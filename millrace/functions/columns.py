@@ -95,3 +95,28 @@ def name_uuid(name: Column) -> Column:
     h = F.md5(name)
     variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-3"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
+def murmur2(text: Column) -> Column:
+    """The 32-bit murmur2 hash of a text's UTF-8 bytes, with the seed that message brokers use for keys, as a signed number."""
+    #: Multiplier, seed, 32-bit mask.
+    m, seed, low = F.lit(0x5BD1E995), F.lit(0x9747B28C), F.lit(0xFFFFFFFF)
+    times = lambda x: (x * m).bitwiseAND(low)  # noqa: E731  below 2 ** 63
+    folded = lambda x, n: x.bitwiseXOR(F.shiftright(x, n))
+    code = F.hex(F.encode(text, "UTF-8"))
+    size = (F.length(code) / 2).cast("long")
+    byte = lambda at: F.conv(F.substring(code, (at * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long")
+    word = lambda at: byte(at) + F.shiftleft(byte(at + 1), 8) + F.shiftleft(byte(at + 2), 16) + F.shiftleft(byte(at + 3), 24)
+    blocks = F.floor(size / 4)
+    starts = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), blocks), lambda k: k < blocks), lambda k: k * 4)
+    hashed = F.aggregate(starts, seed.bitwiseXOR(size), lambda h, at: times(h).bitwiseXOR(times(folded(times(word(at)), 24))))
+    rest, at = size % 4, blocks * 4
+    tail = F.when(rest == 3, byte(at) + F.shiftleft(byte(at + 1), 8) + F.shiftleft(byte(at + 2), 16)).when(rest == 2, byte(at) + F.shiftleft(byte(at + 1), 8)).when(rest == 1, byte(at))
+    mixed = F.when(rest == 0, hashed).otherwise(times(hashed.bitwiseXOR(tail)))
+    done = folded(times(folded(mixed, 13)), 15)
+    return F.when(done >= 2**31, done - 2**32).otherwise(done).cast("int")
+
+
+def partition_of(key: Column, partitions: int) -> Column:
+    """Which partition of a topic a key goes to."""
+    return (murmur2(key).bitwiseAND(F.lit(0x7FFFFFFF)) % partitions).cast("int")

@@ -1,8 +1,10 @@
 """Task graphs as edge tables over many workflows at once.
 
-tasks: workflow_id, place (order of declaration), task_id, depends_on (array). Orders and reachability go level by
-level with a join per level; only what depends on the order of declaration inside one workflow (first-in-first-out
-order, the path of a cycle) runs per workflow in Python, on the definition of that one workflow.
+tasks: workflow_id, place (order of declaration), task_id, depends_on (array). Levels and reachability take a number
+of rounds that grows with the logarithm of the depth: paths of 2, 4, 8 ... edges are joined with each other, so a chain
+of 10,000 tasks takes 14 rounds and no depth is out of reach. Only what depends on the order of declaration inside one
+workflow (first-in-first-out order, the path of a cycle) runs per workflow in Python, on the definition of that one
+workflow, which is as small as what a user submits in one piece.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.storage import checkpointed
+from millrace.storage import removed, stored
 
 
 def dependencies(tasks: DataFrame) -> DataFrame:
@@ -70,40 +72,54 @@ def ready(tasks: DataFrame, states: DataFrame) -> DataFrame:
     return first_tasks(tasks).select(*keys).join(touched, keys, "left_anti").join(waiting, keys, "left_anti")
 
 
-def levels(tasks: DataFrame, most: int = 100_000) -> DataFrame:
+def _longest_chain(e: DataFrame) -> int:
+    """More edges than any path without a repeated task has."""
+    return (e.groupBy("workflow_id").agg(F.countDistinct("task_id").alias("n")).agg(F.max("n")).collect()[0][0] or 0) + 1
+
+
+def levels(tasks: DataFrame) -> DataFrame:
     """workflow_id, task_id, level: length of the longest path to a root. Tasks in or behind a cycle have none.
 
-    Each round takes the tasks whose open dependencies are all placed; edges that are done drop out.
+    walks[k] holds who can be reached by exactly 2^k edges. A path of some length has parts of every smaller one, so a task's
+    level is found bit by bit from the longest walks down. Walks longer than a workflow has tasks go round a cycle.
     """
-    open_edges = checkpointed(edges(tasks))
-    left = checkpointed(first_tasks(tasks).select("workflow_id", "task_id"))
-    placed = None
     keys = ["workflow_id", "task_id"]
-    for level in range(most):
-        now = checkpointed(left.join(open_edges, keys, "left_anti").withColumn("level", F.lit(level)))
-        if now.isEmpty():
+    walks = [stored(edges(tasks), "dag-walks")]
+    most = _longest_chain(walks[0])
+    ahead = lambda w: w.select("workflow_id", F.col("task_id").alias("dep"), F.col("dep").alias("further"))
+    step = lambda left, right: left.join(ahead(right), ["workflow_id", "dep"]).select(*keys, F.col("further").alias("dep")).distinct()
+    all_tasks = first_tasks(tasks).select(*keys)
+    while not walks[-1].isEmpty():
+        if 2 ** (len(walks) - 1) > most:
+            # Who still walks is in or behind a cycle: it has no level, and neither path to it is needed any more.
+            endless = stored(walks[-1].select(*keys).distinct(), "dag-endless")
+            all_tasks = all_tasks.join(endless, keys, "left_anti")
+            walks = [stored(w.join(endless, keys, "left_anti"), "dag-walks") for w in walks[:-1]]
             break
-        placed = now if placed is None else placed.union(now)
-        left = checkpointed(left.join(now, keys, "left_anti"))
-        open_edges = checkpointed(open_edges.join(now.select("workflow_id", F.col("task_id").alias("dep")), ["workflow_id", "dep"], "left_anti").select("workflow_id", "task_id", "dep"))
-    return placed if placed is not None else left.withColumn("level", F.lit(0)).limit(0)
-
-
-def downstream(tasks: DataFrame, of: DataFrame, most: int = 100_000) -> DataFrame:
-    """workflow_id, task_id, reached: all tasks that depend on the given ones (workflow_id, task_id), directly or not; not the task itself."""
-    e = checkpointed(edges(tasks).select("workflow_id", F.col("dep").alias("via"), F.col("task_id").alias("reached")))
-    frontier = of.select("workflow_id", "task_id", F.col("task_id").alias("via")).distinct()
-    found = None
-    for _ in range(most):
-        step = frontier.join(e, ["workflow_id", "via"]).select("workflow_id", "task_id", "reached").where("reached <> task_id").distinct()
-        if found is not None:
-            step = step.join(found, ["workflow_id", "task_id", "reached"], "left_anti")
-        step = checkpointed(step)
-        if step.isEmpty():
+        walks.append(stored(step(walks[-1], walks[-1]), "dag-walks"))
+    at = all_tasks.select(*keys, F.col("task_id").alias("dep"), F.lit(0).cast("long").alias("level"))
+    for k in range(len(walks) - 1, -1, -1):
+        further = at.join(ahead(walks[k]), ["workflow_id", "dep"]).select(*keys, F.col("further").alias("dep"), (F.col("level") + 2**k).alias("level")).distinct()
+        further = stored(further, "dag-levels")
+        at = stored(further.unionByName(at.join(further.select(*keys), keys, "left_anti")), "dag-levels")
+    return at.select(*keys, "level").distinct()
+
+
+def downstream(tasks: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """workflow_id, task_id, reached: all tasks that depend on a task, directly or not, without the task itself; of: only for these (workflow_id, task_id)."""
+    found = stored(edges(tasks).select("workflow_id", F.col("dep").alias("task_id"), F.col("task_id").alias("reached")), "dag-closure")
+    n = found.count()
+    while True:
+        # Paths so far are joined with each other, so their greatest length doubles.
+        on = found.select("workflow_id", F.col("task_id").alias("reached"), F.col("reached").alias("further"))
+        longer = found.join(on, ["workflow_id", "reached"]).select("workflow_id", "task_id", F.col("further").alias("reached"))
+        more = stored(found.union(longer).distinct(), "dag-closure")
+        removed(found)
+        found, before, n = more, n, more.count()
+        if n == before:
             break
-        found = step if found is None else found.union(step)
-        frontier = step.select("workflow_id", "task_id", F.col("reached").alias("via"))
-    return found if found is not None else frontier.select("workflow_id", "task_id", F.col("via").alias("reached")).limit(0)
+    found = found.where("task_id <> reached")
+    return found if of is None else found.join(of.select("workflow_id", "task_id").distinct(), ["workflow_id", "task_id"], "left_semi")
 
 
 def order_or_cycle(names: list[str], deps: list[list[str]]) -> tuple[list[str], list[str]]:
@@ -129,21 +145,35 @@ def order_or_cycle(names: list[str], deps: list[list[str]]) -> tuple[list[str],
                 queue.append(f)
     if len(order) == len(known):
         return order, []
-    done, path = set(order), []
-    at = next(n for n in known if n not in done)
-    while at not in path:
-        path.append(at)
-        at = next(d for d in known[at] if d in waits[path[-1]] and d not in done)
-    return order, [*path[path.index(at) :], at]
+    # Every task that is left waits for another one that is left: the first such dependencies lead into a cycle.
+    left_over = known.keys() - set(order)
+    onward = {n: next(d for d in known[n] if d in left_over and d in waits[n]) for n in left_over}
+    met: dict[str, int] = {}
+    at = next(n for n in known if n in left_over)
+    while at not in met:
+        met[at] = len(met)
+        at = onward[at]
+    return order, [*list(met)[met[at] :], at]
+
+
+def _per_workflow(tasks: DataFrame, one, schema: str) -> DataFrame:
+    """`one` for each workflow's definition (place, task_id, depends_on in order of place), in one pandas group per definition."""
+    kind = tasks.schema["workflow_id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        out = one(*order_or_cycle(pdf["task_id"].tolist(), [list(d) if d is not None else [] for d in pdf["depends_on"]]))
+        out.insert(0, "workflow_id", pdf["workflow_id"].iloc[0])
+        return out
+
+    return tasks.select("workflow_id", "place", "task_id", "depends_on").groupBy("workflow_id").applyInPandas(run, f"workflow_id {kind}, {schema}")
 
 
 def orders(tasks: DataFrame) -> DataFrame:
-    """workflow_id, topological_order, cycle (texts joined by " -> ", null without a cycle)."""
+    """workflow_id, position (from 0), task_id: first-in-first-out topological order, as far as it comes where there is a cycle."""
+    return _per_workflow(tasks, lambda order, _: pd.DataFrame({"position": pd.Series(range(len(order)), dtype="int64"), "task_id": pd.Series(order, dtype=object)}), "position long, task_id string")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        order, cycle = order_or_cycle(pdf["task_id"].tolist(), [list(d) if d is not None else [] for d in pdf["depends_on"]])
-        return pd.DataFrame({"workflow_id": [pdf["workflow_id"].iloc[0]], "topological_order": [" -> ".join(order)], "cycle": [" -> ".join(cycle) if cycle else None]})
 
-    kind = tasks.schema["workflow_id"].dataType.simpleString()
-    return tasks.select("workflow_id", "place", "task_id", "depends_on").groupBy("workflow_id").applyInPandas(one, f"workflow_id {kind}, topological_order string, cycle string")
+def cycles(tasks: DataFrame) -> DataFrame:
+    """workflow_id, position (from 0), task_id along the path of a cycle, whose first task comes again at the end; workflows without a cycle have no rows."""
+    return _per_workflow(tasks, lambda _, cycle: pd.DataFrame({"position": pd.Series(range(len(cycle)), dtype="int64"), "task_id": pd.Series(cycle, dtype=object)}), "position long, task_id string")

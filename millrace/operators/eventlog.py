@@ -98,6 +98,27 @@ def illegal_transitions(log: DataFrame) -> DataFrame:
     return rows.withColumn("why", why).where("why IS NOT NULL").select("workflow_id", "sequence", "task_id", "event_type", "from_status", "why")
 
 
+def before_start(log: DataFrame) -> DataFrame:
+    """Events before their workflow's first WorkflowStarted, which must be the first event of all: workflow_id, sequence, event_type."""
+    start = log.where("event_type = 'WorkflowStarted'").groupBy("workflow_id").agg(F.min("sequence").alias("start_sequence"))
+    early = F.col("start_sequence").isNull() | (F.col("sequence") < F.col("start_sequence"))
+    return log.join(start, "workflow_id", "left").where(early).select("workflow_id", "sequence", "event_type")
+
+
+#: Statuses that a task does not leave.
+TERMINAL = ("SUCCEEDED", "DEAD_LETTERED", "SKIPPED")
+
+
+def progress(states: DataFrame) -> DataFrame:
+    """workflow_id, all_terminal, any_dead_lettered, succeeded (task ids in order, joined by a comma), from states of tasks."""
+    status = F.col("status")
+    return states.groupBy("workflow_id").agg(
+        F.bool_and(status.isin(*TERMINAL)).alias("all_terminal"),
+        F.bool_or(status == "DEAD_LETTERED").alias("any_dead_lettered"),
+        F.array_join(F.array_sort(F.collect_set(F.when(status == "SUCCEEDED", F.col("task_id")))), ",").alias("succeeded"),
+    )
+
+
 def running_after_end(log: DataFrame) -> DataFrame:
     """Events of a workflow behind its terminal one."""
     end = log.where(F.col("event_type").isin("WorkflowCompleted", "WorkflowFailed", "WorkflowCancelled")).groupBy("workflow_id").agg(F.min("sequence").alias("end_sequence"))

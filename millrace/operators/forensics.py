@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators.staging import latest
-from millrace.storage import checkpointed
+from millrace.storage import stored
 
 
 def status_histogram(runs: DataFrame, by: list[str]) -> DataFrame:
@@ -80,6 +80,7 @@ def bucket_quantile(rows: DataFrame, value: str, bounds: list[float], q: float)
     b = [0.0, *bounds]
     index = sum((F.col(value) > x).cast("int") for x in bounds)
     counts = rows.groupBy(index.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    # One row per bucket, as many as there are bounds: windows without a key are fine here.
     counts = counts.withColumns({"upto": F.sum("n").over(W.orderBy("bucket")), "total": F.sum("n").over(W.partitionBy())})
     rank = F.col("total") * F.lit(q)
     lows, highs = F.array(*[F.lit(x) for x in b]), F.array(*[F.lit(x) for x in [*bounds, bounds[-1]]])
@@ -94,11 +95,31 @@ def peak_rate(events: DataFrame, ts: str = "ts", width: str = "1 hour", step: st
     return slides.groupBy(*by).agg(F.max("n").alias("peak"), F.max_by(F.col("window.start"), F.struct("n", -F.unix_micros(F.col("window.start").cast("timestamp")))).alias("peak_start"))
 
 
+def rates(events: DataFrame, ts: str, width: str, step: str, *by: str) -> DataFrame:
+    """start, increase, per_second: how many events each window of `width`, one every `step`, holds, and how many that is a second."""
+    window = F.window(ts, width, step)
+    counts = events.groupBy(*by, window).agg(F.count(F.lit(1)).alias("increase"))
+    seconds = F.unix_timestamp("window.end") - F.unix_timestamp("window.start")
+    return counts.select(*by, F.col("window.start").alias("start"), "increase", (F.col("increase") / seconds).alias("per_second"))
+
+
+def greatest_rates(events: DataFrame, ts: str, width: str, step: str, over: str, *by: str) -> DataFrame:
+    """The greatest rate of `width` windows in each stretch `over` in which they begin, as a monitoring query over a subquery gives it."""
+    rated = rates(events, ts, width, step, *by)
+    return rated.groupBy(*by, F.window("start", over).alias("stretch")).agg(F.max("per_second").alias("greatest")).select(*by, F.col("stretch.start").alias("start"), "greatest")
+
+
+def append_result(result: DataFrame, folder: str) -> None:
+    """Appends the rows of a result to a folder of JSON lines, an object each."""
+    result.write.mode("append").json(folder)
+
+
 def active_over_time(log: DataFrame) -> DataFrame:
     """Started and not ended workflows at each start or end: a running sum by day, carried from day to day."""
     kind = F.col("event_type")
     step = F.when(kind == "WorkflowStarted", 1).when(kind.isin("WorkflowCompleted", "WorkflowFailed", "WorkflowCancelled"), -1)
     moves = log.select("created_at", "workflow_id", "sequence", step.alias("step")).where("step IS NOT NULL").withColumn("day", F.to_date("created_at"))
+    # One row per day: the window without a key is as long as the log has days.
     carried = moves.groupBy("day").agg(F.sum("step").alias("net")).withColumn("before", F.coalesce(F.sum("net").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = F.sum("step").over(W.partitionBy("day").orderBy("created_at", "workflow_id", "sequence"))
     return moves.withColumn("inside", inside).join(carried.select("day", "before"), "day").select("created_at", "workflow_id", "sequence", (F.col("before") + F.col("inside")).alias("active"))
@@ -119,20 +140,27 @@ def flat_spans(traces: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def span_tree(spans: DataFrame, most_levels: int = 64) -> DataFrame:
-    """spans with depth and start_ms relative to the trace. A span whose parent is missing is a root."""
+def span_tree(spans: DataFrame) -> DataFrame:
+    """spans with depth and start_ms relative to the trace. A span whose parent is missing is a root; spans whose parents go round in a circle have no depth.
+
+    Each span points upward; pointers are followed twice as far in each round, so the rounds are the logarithm of the depth.
+    """
+    keys = ["trace_id", "span_id"]
     known = spans.select(F.col("trace_id").alias("k_trace"), F.col("span_id").alias("k_span"))
-    linked = spans.join(known, (F.col("trace_id") == F.col("k_trace")) & (F.col("parent_id") == F.col("k_span")), "left").withColumn("up", F.col("k_span")).drop("k_trace", "k_span")
-    linked = checkpointed(linked)
-    level = linked.where("up IS NULL").select("trace_id", "span_id", F.lit(0).alias("depth"))
-    found = level
-    for depth in range(1, most_levels):
-        level = checkpointed(linked.join(level.select("trace_id", F.col("span_id").alias("up")), ["trace_id", "up"]).select("trace_id", "span_id", F.lit(depth).alias("depth")))
-        if level.isEmpty():
-            break
-        found = found.union(level)
+    linked = spans.join(known, (F.col("trace_id") == F.col("k_trace")) & (F.col("parent_id") == F.col("k_span")), "left")
+    up = stored(linked.select(*keys, F.col("k_span").alias("up"), F.when(F.col("k_span").isNull(), 0).otherwise(1).cast("long").alias("depth")), "span-up")
+    most = up.groupBy("trace_id").count().agg(F.max("count")).collect()[0][0] or 0
+    reach, roots = 1, up.where("up IS NULL")
+    climbing = up.where("up IS NOT NULL")
+    while reach <= most and not climbing.isEmpty():
+        both = up.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
+        moved = climbing.join(both, ["trace_id", "up"]).select(*keys, F.col("further").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        up = stored(roots.unionByName(moved), "span-up")
+        reach, roots = 2 * reach, up.where("up IS NULL")
+        climbing = up.where("up IS NOT NULL")
+    depth = up.select(*keys, F.when(F.col("up").isNull(), F.col("depth").cast("int")).alias("depth"))
     first = spans.groupBy("trace_id").agg(F.min("start_ns").alias("t0"))
-    return spans.join(found, ["trace_id", "span_id"]).join(first, "trace_id").select(*spans.columns, "depth", ((F.col("start_ns") - F.col("t0")) / 1_000_000).alias("start_ms"))
+    return spans.join(depth, keys).join(first, "trace_id").select(*spans.columns, "depth", ((F.col("start_ns") - F.col("t0")) / 1_000_000).alias("start_ms"))
 
 
 def fullest_trace(spans: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.ranges import with_running_sums
+
 
 def newer(incoming: Column, existing: Column) -> Column:
     """Whether a version replaces another: strictly later, or a known one an unknown one."""
@@ -63,15 +65,17 @@ def update_names(existing: DataFrame, incoming: DataFrame, key: str, name: str)
     return both.select(key, F.coalesce("_new", "_old").alias(name), F.when(F.col("_there").isNull(), "insert").when(changed, "update").otherwise("keep").alias("_action"))
 
 
-def assign_keys(existing: DataFrame, incoming: DataFrame, natural: list[str], key: str) -> DataFrame:
-    """existing, and new natural keys numbered on from its greatest surrogate key in natural order, so reruns give the same keys.
-
-    The window without a key runs over new dimension members only, a small table by nature.
-    """
+def fresh_keys(existing: DataFrame, incoming: DataFrame, natural: list[str], key: str) -> DataFrame:
+    """New natural keys (key, natural), numbered on from existing's greatest surrogate key in natural order, so reruns give the same keys."""
     fresh = incoming.select(*natural).distinct().join(existing.select(*natural), natural, "left_anti")
-    top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    numbered = fresh.withColumn("_n", F.row_number().over(W.orderBy(*natural))).join(F.broadcast(top), F.lit(True))
-    return existing.select(key, *natural).unionByName(numbered.select((F.col("_top") + F.col("_n")).cast("int").alias(key), *natural))
+    top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))  # one row
+    numbered = with_running_sums(fresh, [F.col(c).asc() for c in natural], {"_n": F.lit(1)}, "keys").join(F.broadcast(top), F.lit(True))
+    return numbered.select((F.col("_top") + F.col("_n") + 1).cast("int").alias(key), *natural)
+
+
+def assign_keys(existing: DataFrame, incoming: DataFrame, natural: list[str], key: str) -> DataFrame:
+    """existing with the fresh keys of incoming behind it."""
+    return existing.select(key, *natural).unionByName(fresh_keys(existing, incoming, natural, key))
 
 
 def replace_range(existing: DataFrame, rebuilt: DataFrame, inside: Column) -> DataFrame:

@@ -73,20 +73,27 @@ def profile(raw: DataFrame, *by: str) -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         *[F.count_if(m).alias(f"missing_{c}") for c, m in zip(REQUIRED, missing)],
         F.count_if(anything).alias("missing_any"),
-        F.count_if(blank(F.col("borough"))).alias("missing_borough"),
+        F.count_if(blank(F.col("borough")) | (F.upper(F.trim("borough")) == "UNSPECIFIED")).alias("missing_borough"),
         F.count_if(F.coalesce(~F.trim("incident_zip").rlike(r"^\d{5}"), F.lit(True))).alias("invalid_zip"),
         (F.count(F.lit(1)) - F.countDistinct("unique_key")).alias("duplicates"),
     )
 
 
 def gate(profiled: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The profile with percentages, `failures` (texts joined by "; ") and `passed`."""
-    rated = profiled.withColumns({f"{c}_pct": percent(F.col(c), F.col("total")) for c in (*[f"missing_{c}" for c in REQUIRED], "missing_borough", "invalid_zip", "duplicates")})
-    checks: list[tuple[str, Column]] = [("row_count", F.col("total").between(limits.min_rows, limits.max_rows))]
-    checks += [(f"missing_{c}", F.col(f"missing_{c}_pct") <= limits.max_missing_pct) for c in REQUIRED]
-    checks += [("missing_borough", F.col("missing_borough_pct") <= limits.max_borough_pct), ("invalid_zip", F.col("invalid_zip_pct") <= limits.max_zip_pct), ("duplicates", F.col("duplicates_pct") <= limits.max_duplicate_pct)]
-    failures = F.concat_ws("; ", *[F.when(~ok, F.lit(name)) for name, ok in checks])
-    return rated.withColumn("failures", failures).withColumn("passed", F.col("failures") == "")
+    """The profile with percentages, `failures` (names joined by "; "), `reasons` (texts with the values) and `passed`."""
+    shares = {f"{c}_pct": percent(F.col(c), F.col("total")) for c in (*[f"missing_{c}" for c in REQUIRED], "missing_borough", "invalid_zip", "duplicates")}
+    rated = profiled.withColumns(shares)
+    text = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("string")
+    checks: list[tuple[str, Column, Column]] = [
+        ("row_count", F.col("total").between(limits.min_rows, limits.max_rows), F.concat(F.lit("row_count="), text(F.col("total")), F.lit(f" outside {limits.min_rows}..{limits.max_rows}")))
+    ]
+    most = [(f"missing_{c}", f"missing_{c}_pct", limits.max_missing_pct) for c in REQUIRED]
+    most += [("missing_borough", "missing_borough_pct", limits.max_borough_pct), ("invalid_zip", "invalid_zip_pct", limits.max_zip_pct), ("duplicates", "duplicate_pct", limits.max_duplicate_pct)]
+    for name, shown, limit in most:
+        share = F.col(f"{name}_pct")
+        checks.append((name, share <= limit, F.concat(F.lit(f"{shown}="), text(share), F.lit(f"% > {float(limit)}%"))))
+    joined = lambda k: F.concat_ws("; ", *[F.when(~c[1], c[k] if k else F.lit(c[0])) for c in checks])
+    return rated.withColumn("failures", joined(0)).withColumn("reasons", joined(2)).withColumn("passed", F.col("failures") == "")
 
 
 def volume_check(days: DataFrame, history: DataFrame, limits: Limits = Limits(), day: str = "day", rows: str = "n_rows") -> DataFrame:

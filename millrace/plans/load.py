@@ -1,35 +1,94 @@
 """A backfill or incremental run: all days of a range in one job per stage, from raw records to star schema and report.
 
 Days are rows of one DataFrame, not tasks: gates are per day, days that fail are left out (and reported), and the
-watermark moves only if none failed. Running the same range again inserts and updates nothing.
+watermark moves only if all days were loaded. Running the same range again inserts and updates nothing.
+
+Tables are folders of Parquet under one root. Those that grow are partitioned, facts and aggregates by the day (or
+month) of the request, and a run overwrites the partitions that it changes and no others: it reads two columns of the
+history to find them, and a rerun without news rewrites none. Writes follow one another so that a run that died is
+repaired by running its range again: dimensions, aggregates, then the facts that tell whether there is news, statistics,
+and the watermark and the run's status last.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import time
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import merge, quality_gate, staging, star, watermark
-from millrace.plans.warehouse import Warehouse
-from millrace.storage import checkpointed
+from millrace.storage import deleted, removed, stored
 
 FACT = (
     "unique_key string, created_date_key int, closed_date_key int, agency_key int, complaint_key int, location_key int, status string, created_at timestamp, closed_at timestamp, "
     "resolution_hours decimal(10,2), latitude decimal(9,6), longitude decimal(9,6), source_updated_at timestamp, run_id string, partition_date date"
 )
-DIMENSIONS = {"agency": "agency_key int, agency_code string", "complaint": "complaint_key int, complaint_type string, descriptor string", "location": "location_key int, borough string, zip string"}
-AGGREGATE = "date_key int, borough string, complaint_type string, requests bigint, closed bigint, avg_resolution_hours decimal(10,2)"
-STATS = "run_id string, partition_date date, rows_in bigint, rows_rejected bigint, rows_out bigint, duplicates_removed bigint, impossible_closes bigint"
+#: Columns of each table; `part` and the columns behind the bar are its partitions.
+TABLES = {
+    "raw": "partition_date date, row_num long, payload string, extracted_at timestamp | run_id string, part string",
+    "fact": f"{FACT} | part string",
+    "daily": "date_key int, borough string, complaint_type string, requests long, closed long, avg_resolution_hours decimal(10,2) | part string",
+    "stats": "run_id string, partition_date date, stage string, rows_in long, rows_out long, rows_rejected long, duplicates_removed long, rows_inserted long, rows_updated long, attempt int, checks string, updated_at timestamp | part string",
+    "rejected": "partition_date date, row_num long, unique_key string, reason string | run_id string",
+    "runs": "pipeline string, mode string, start_date date, end_date date, partitions int, status string, started_at timestamp, finished_at timestamp, report string | run_id string",
+    "watermark": "complete_through date, last_run_id string | pipeline string",
+    "agency": "agency_key int, agency_code string",
+    "agency_names": "agency_code string, agency_name string",
+    "complaint": "complaint_key int, complaint_type string, descriptor string",
+    "location": "location_key int, borough string, zip string",
+    "date": "date_key int, full_date date, year int, month int, day int, day_of_week int, is_weekend boolean",
+}
+NATURAL = {"agency": ["agency_code"], "complaint": ["complaint_type", "descriptor"], "location": ["borough", "zip"]}
+#: Days or months as partitions of the growing tables.
+GRAINS = {"day": "yyyyMMdd", "month": "yyyyMM"}
 
 
 class QualityError(RuntimeError):
     """Days that failed their gates, with the reasons."""
 
 
+def _columns(name: str) -> tuple[str, list[str]]:
+    """The schema of a table, and its partition columns."""
+    own, _, parts = TABLES[name].partition(" | ")
+    return f"{own}, {parts}" if parts else own, [p.split()[0] for p in parts.split(", ")] if parts else []
+
+
+def read(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table, empty where nothing was written yet."""
+    schema, _ = _columns(name)
+    try:
+        return spark.read.schema(schema).parquet(f"{root}/{name}")
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def replace(df: DataFrame, root: str, name: str) -> None:
+    """Overwrites the partitions of a table that df has rows in, with files of a good size; a table without partitions is overwritten whole."""
+    schema, parts = _columns(name)
+    names = df.sparkSession.createDataFrame([], schema).columns
+    df = df.select(*names)
+    if parts:
+        merge.replace_partitions(df.hint("rebalance", *parts), f"{root}/{name}", *parts)
+    else:
+        df.coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}")
+
+
+def _grown(spark: SparkSession, root: str, name: str, fresh: DataFrame) -> DataFrame:
+    """A dimension with fresh members behind it. New members are few, and rows that are there never change."""
+    old = read(spark, root, name)
+    fresh = stored(fresh.select(*old.columns), f"load-{name}", small=True)
+    old = stored(old, f"load-old-{name}", small=True)
+    if not fresh.isEmpty():
+        fresh.write.mode("append").parquet(f"{root}/{name}")
+    return old.unionByName(fresh)
+
+
 def run(
     spark: SparkSession,
     raw: DataFrame,
@@ -41,72 +100,142 @@ def run(
     pipeline: str = "requests",
     limits: quality_gate.Limits = quality_gate.Limits(),
     as_of: Column | None = None,
+    grain: str = "day",
+    page_size: int = 50_000,
+    fault: str = "none",
 ) -> Mapping[str, object]:
-    """Loads the raw days first..last (partition_date, row_num, payload) into the warehouse at root and returns the report."""
+    """Loads the raw days first..last (partition_date, row_num, payload) into the tables at root and returns the report.
+
+    fault "drop_created_date" takes that key out of all records: a change of the feed's schema, for tests of the gate.
+    """
     began = time.monotonic()
-    house = Warehouse(spark, root)
-    raw = raw.where(F.col("partition_date").between(first, last)).withColumn("run_id", F.lit(run_id)).select("run_id", "partition_date", "row_num", "payload")
-    # A row per day of the range: as bounded as the range.
-    gates = checkpointed(quality_gate.gate(quality_gate.profile(raw, "partition_date"), limits))
-    history = house.read("stats", STATS).groupBy("partition_date").agg(F.max_by("rows_in", "run_id").alias("n_rows")).withColumnRenamed("partition_date", "day")
+    part = lambda day: F.date_format(day, GRAINS[grain]).alias("part")
+    n_days = (last - first).days + 1
+    in_range = F.col("partition_date").between(first, last)
+    low, high = (int(d.strftime("%Y%m%d")) for d in (first, last))
+
+    # Plan: the run is known from its start on; running it again keeps the time of the first start.
+    before = read(spark, root, "runs").where(F.col("run_id") == run_id).collect()
+    started = before[0]["started_at"] if before else dt.datetime.now(dt.timezone.utc)
+
+    def told(status: str, report: str | None) -> None:
+        row = (pipeline, mode, first, last, n_days, status, started, None if status == "RUNNING" else dt.datetime.now(dt.timezone.utc), report, run_id)
+        replace(spark.createDataFrame([row], _columns("runs")[0]), root, "runs")
+
+    told("RUNNING", None)
+
+    # Extract: the records of the run, replacing what an earlier attempt has left.
+    payload = F.col("payload") if fault == "none" else F.to_json(F.map_filter(F.from_json("payload", "map<string,string>"), lambda k, v: k != "created_date"))
+    fetched = raw.where(in_range).select("partition_date", "row_num", payload.alias("payload"), F.current_timestamp().alias("extracted_at"), F.lit(run_id).alias("run_id"), part("partition_date"))
+    deleted(spark, f"{root}/raw/run_id={run_id}")
+    replace(fetched, root, "raw")
+    landed = read(spark, root, "raw").where(F.col("run_id") == run_id).select("run_id", "partition_date", "row_num", "payload")
+
+    # Validate: a row per day of the range, as bounded as the range; a day without records has a profile too.
+    days = spark.createDataFrame([(first, last)], "a date, b date").select(F.explode(F.sequence("a", "b")).alias("partition_date"))
+    profiled = quality_gate.profile(landed, "partition_date")
+    profiled = days.join(profiled, "partition_date", "left").fillna(0)
+    gates = quality_gate.gate(profiled, limits)
+    past = read(spark, root, "stats").where((F.col("stage") == "extract") & F.col("partition_date").between(first - dt.timedelta(limits.history_days), last - dt.timedelta(1)))
+    history = past.groupBy(F.col("partition_date").alias("day")).agg(F.max_by("rows_out", "updated_at").alias("n_rows"))
+    gates = stored(gates, "load-gates", small=True)
     volume = quality_gate.volume_check(gates.select(F.col("partition_date").alias("day"), F.col("total").alias("n_rows")), history, limits)
-    verdicts = gates.join(volume.select(F.col("day").alias("partition_date"), "status"), "partition_date", "left")
-    verdicts = checkpointed(verdicts.withColumn("passed", F.col("passed") & (F.coalesce("status", F.lit("skipped")) != "failed")))
-    bad = verdicts.where("NOT passed").select("partition_date", "failures", "status").orderBy("partition_date").collect()
-
-    good = raw.join(F.broadcast(verdicts.where("passed").select("partition_date")), "partition_date", "left_semi")
-    reasoned = checkpointed(staging.with_reason(staging.parse(good, as_of)))
-    staged = staging.stage(reasoned)
-    stats = staging.transform_stats(reasoned, staged)
+    low_text = F.when(F.col("status") == "failed", F.concat(F.lit("volume "), F.col("total").cast("string"), F.lit(" rows = "), F.col("ratio").cast("string"), F.lit("x the trailing "), F.lit(str(limits.history_days)), F.lit("-day median ("), F.floor("median").cast("string"), F.lit(f"), below {limits.min_volume_ratio}x: source likely not fully published")))
+    verdicts = gates.join(volume.select(F.col("day").alias("partition_date"), "status", "ratio", "median", "history"), "partition_date")
+    verdicts = verdicts.withColumn("reasons", F.concat_ws("; ", F.nullif("reasons", F.lit("")), low_text)).withColumn("passed", F.col("reasons") == "")
+    verdicts = stored(verdicts, "load-verdicts", small=True)
+    bad = verdicts.where("NOT passed").select("partition_date", "reasons").orderBy("partition_date").collect()
+
+    # Transform: records are parsed once; rejects and statistics are read from what was kept of that.
+    good = landed.join(F.broadcast(verdicts.where("passed").select("partition_date")), "partition_date", "left_semi")
+    reasoned = stored(staging.with_reason(staging.parse(good, as_of)), "load-reasoned")
+    staged = staging.stage(reasoned.repartition("unique_key"))
     # One key may come in several days: the latest version, then the later day, then the later row, meets the facts.
-    incoming = checkpointed(staging.latest(staged, ["unique_key"], [F.col("source_updated_at").desc_nulls_last(), F.col("partition_date").desc(), F.col("row_num").desc()]))
-    dims = {name: house.read(name, schema) for name, schema in DIMENSIONS.items()}
-    dims = {k: checkpointed(v) for k, v in star.dimensions(incoming, dims["agency"], dims["complaint"], dims["location"]).items()}
-    names = house.read("agency_names", "agency_code string, agency_name string")
-    names = merge.update_names(names, star.best_names(incoming), "agency_code", "agency_name").drop("_action")
-    old = house.read("fact", FACT)
-    merged = checkpointed(merge.merge_newest_wins(old, star.facts(incoming, dims), ["unique_key"], "source_updated_at"))
-    fact = merged.drop("_action")
-    outcome = merge.outcome_counts(merged).collect()[0]
-
-    low, high = (int(d.strftime("%Y%m%d")) for d in (first, last))
-    in_range = F.col("created_date_key").between(low, high)
-    # Days outside the range lose or gain a fact when an update moves it: they are rebuilt too.
-    moved = merged.where(F.col("_action") == "update").select("unique_key").join(old.select("unique_key", "created_date_key"), "unique_key").select("created_date_key")
-    touched = moved.union(merged.where(F.col("_action").isin("insert", "update")).select("created_date_key")).distinct().select(F.col("created_date_key").alias("date_key"))
-    aggregate = house.read("daily", AGGREGATE)
-    kept = aggregate.where(~F.col("date_key").between(low, high)).join(touched, "date_key", "left_anti")
-    again = fact.join(touched.select(F.col("date_key").alias("created_date_key")), "created_date_key", "left_semi").unionByName(fact.where(in_range)).dropDuplicates(["unique_key"])
-    aggregate = kept.unionByName(star.daily_aggregate(again, dims))
-
-    before = house.read("watermark", "pipeline string, complete_through date, last_run_id string")
-    current = before.where(F.col("pipeline") == pipeline).select("complete_through").collect()
-    current_day = current[0][0] if current else None
-    span = spark.createDataFrame([(current_day, first, last)], "current date, start_day date, end_day date")
-    after = current_day if bad else watermark.advance(span).collect()[0]["after"]
-    mark = spark.createDataFrame([(pipeline, after, run_id if after != current_day else None)], before.schema) if after else before.limit(0)
-    tables = {
-        **dims, "agency_names": names, "fact": fact, "daily": aggregate, "stats": house.read("stats", STATS).unionByName(stats.select(*[c.split()[0] for c in STATS.split(", ")])),
-        "rejected": house.read("rejected", "run_id string, partition_date date, row_num bigint, unique_key string, reason string").unionByName(staging.rejected(reasoned)),
-        "watermark": before.where(F.col("pipeline") != pipeline).unionByName(mark),
-    }
-    paths = house.write(run_id, tables)
-    house.commit(run_id, paths)
-
-    total = stats.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows_in", "rows_rejected", "rows_out", "duplicates_removed")]).collect()[0]
-    ranged = house.read("fact", FACT).where(in_range)
-    keys = [F.col(c).cast("string") for c in ("agency_key", "complaint_key", "location_key")]
-    days = star.checksum_by_day(ranged, keys)
-    digest = days.agg(F.count(F.lit(1)).alias("days"), F.coalesce(F.sum("facts"), F.lit(0)).alias("facts"), F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("created_date_key").cast("string"), "day_checksum"))), ",")).alias("sum")).collect()[0]
+    newest = F.row_number().over(staging.W.partitionBy("unique_key").orderBy(F.col("source_updated_at").desc_nulls_last(), F.col("partition_date").desc(), F.col("row_num").desc()))
+    staged = stored(staged.withColumn("newest", newest == 1), "load-staged")
+    incoming = staged.where("newest")
+
+    # Load: dimensions grow, then the facts that changed replace their partitions.
+    def names_grown() -> DataFrame:
+        names = stored(merge.update_names(read(spark, root, "agency_names"), star.best_names(incoming), "agency_code", "agency_name"), "load-names", small=True)
+        if not names.where("_action <> 'keep'").isEmpty():
+            replace(names, root, "agency_names")
+        return names
+
+    new_days = lambda: star.dim_date(star.request_days(incoming)).join(read(spark, root, "date").select("date_key"), "date_key", "left_anti")
+    with ThreadPoolExecutor(6) as pool:  # small independent jobs
+        growing = {name: pool.submit(lambda name=name, keys=keys: _grown(spark, root, name, merge.fresh_keys(read(spark, root, name), incoming, keys, f"{name}_key"))) for name, keys in NATURAL.items()}
+        others = [pool.submit(lambda: _grown(spark, root, "date", new_days())), pool.submit(names_grown), pool.submit(lambda: replace(staging.rejected(reasoned), root, "rejected"))]
+        dims = {name: f.result() for name, f in growing.items()}
+        names = [f.result() for f in others][1]
+    new = stored(star.facts(incoming, dims).withColumn("part", F.substring(F.col("created_date_key").cast("string"), 1, 8 if grain == "day" else 6)), "load-facts")
+    old = read(spark, root, "fact")
+    known = old.select("unique_key", F.col("source_updated_at").alias("old_version"), F.col("part").alias("old_part"), F.lit(True).alias("there"))
+    outcome = new.select("unique_key", "partition_date", "part", "source_updated_at").join(known, "unique_key", "left")
+    action = F.when(F.col("there").isNull(), "insert").when(merge.newer(F.col("source_updated_at"), F.col("old_version")), "update").otherwise("unchanged")
+    outcome = stored(outcome.select("unique_key", "partition_date", "part", "old_part", action.alias("action")), "load-outcome")
+    changed = outcome.where("action <> 'unchanged'")
+    # As many partitions as days or months: a short list.
+    touched = {r[0] for r in changed.select(F.explode(F.array_compact(F.array("part", F.when(F.col("action") == "update", F.col("old_part"))))).alias("p")).distinct().collect()}
+    if touched:
+        ours = old.where(F.col("part").isin(sorted(touched))).join(changed.select("unique_key"), "unique_key", "left_anti")
+        contents = stored(ours.unionByName(new.join(changed.select("unique_key"), "unique_key", "left_semi")), "load-contents")
+        left = {r[0] for r in contents.select("part").distinct().collect()}
+        again = star.daily_aggregate(contents, dims).withColumn("part", F.substring(F.col("date_key").cast("string"), 1, 8 if grain == "day" else 6))
+        replace(again, root, "daily")
+        replace(contents, root, "fact")
+        for name in ("fact", "daily"):
+            for p in touched - left:  # all its facts have moved to other days
+                deleted(spark, f"{root}/{name}/part={p}")
+        removed(contents)
+
+    # Statistics by day and stage: written again by a rerun of the run, so nothing counts twice.
+    now = F.current_timestamp()
+    of = lambda df, stage, checks, **c: df.select(F.lit(run_id).alias("run_id"), "partition_date", F.lit(stage).alias("stage"), *[c.get(k, F.lit(0 if k in ("rows_rejected", "duplicates_removed") else None)).cast("long").alias(k) for k in ("rows_in", "rows_out", "rows_rejected", "duplicates_removed", "rows_inserted", "rows_updated")], F.to_json(checks).alias("checks"))
+    total = F.col("total")
+    extract = of(verdicts, "extract", F.struct((F.floor(total / page_size) + 1).alias("pages"), F.lit(fault).alias("injected_fault")), rows_in=total, rows_out=total)
+    shown = F.struct("total", *[c for c in verdicts.columns if c.endswith("_pct")], F.col("status").alias("volume"), "ratio", "median", F.col("history").alias("history_days"), "reasons", "passed")
+    validate = of(verdicts, "validate", shown, rows_in=total, rows_out=total - F.col("missing_any"), rows_rejected=F.col("missing_any"), duplicates_removed=F.col("duplicates"))
+    # A day that passed without records was loaded too.
+    per_day = verdicts.where("passed").select("partition_date").join(staging.transform_stats(reasoned, staged).drop("run_id"), "partition_date", "left").fillna(0)
+    transform = of(per_day, "transform", F.struct("impossible_closes"), rows_in=F.col("rows_in"), rows_out=F.col("rows_out"), rows_rejected=F.col("rows_rejected"), duplicates_removed=F.col("duplicates_removed"))
+    counted = outcome.groupBy("partition_date").agg(*[F.count_if(F.col("action") == a).alias(n) for a, n in (("insert", "inserted"), ("update", "updated"))])
+    loaded = per_day.select("partition_date", "rows_out").join(counted, "partition_date", "left").fillna(0)
+    load = of(loaded, "load", F.struct((F.col("rows_out") - F.col("inserted") - F.col("updated")).alias("unchanged")), rows_in=F.col("rows_out"), rows_out=F.col("inserted") + F.col("updated"), rows_inserted=F.col("inserted"), rows_updated=F.col("updated"))
+    fresh = extract.unionByName(validate).unionByName(transform).unionByName(load).withColumn("part", part("partition_date"))
+    keys = ["run_id", "partition_date", "stage"]
+    held = stored(read(spark, root, "stats").where(F.col("part").between(first.strftime("%Y%m%d" if grain == "day" else "%Y%m"), last.strftime("%Y%m%d" if grain == "day" else "%Y%m"))), "load-held", small=True)
+    attempts = held.select(*keys, F.col("attempt").alias("tried"))
+    fresh = stored(fresh.join(attempts, keys, "left").withColumns({"attempt": (F.coalesce("tried", F.lit(0)) + 1).cast("int"), "updated_at": now}).drop("tried"), "load-stats", small=True)
+    replace(held.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh), root, "stats")
+
+    # Finalize: all days must have been loaded before the watermark moves.
+    complete = fresh.where("stage = 'load'").select("partition_date").distinct().count() == n_days
+    mark = read(spark, root, "watermark").where(F.col("pipeline") == pipeline).collect()
+    current = mark[0]["complete_through"] if mark else None
+    after = current
+    if complete:
+        after = watermark.advance(spark.createDataFrame([(current, first, last)], "current date, start_day date, end_day date")).collect()[0]["after"]
+    if after != current:
+        replace(spark.createDataFrame([(after, run_id, pipeline)], _columns("watermark")[0]), root, "watermark")
+    when = lambda stage, column: F.coalesce(F.sum(F.when(F.col("stage") == stage, F.col(column))), F.lit(0))
+    sums = fresh.agg(when("extract", "rows_out").alias("rows_extracted"), when("transform", "rows_rejected").alias("rows_rejected"), when("transform", "duplicates_removed").alias("duplicates_removed"), when("transform", "rows_out").alias("rows_accepted"), when("load", "rows_inserted").alias("rows_inserted"), when("load", "rows_updated").alias("rows_updated"))
+    parts = (low, high) if grain == "day" else (low // 100, high // 100)
+    pruned = lambda name: read(spark, root, name).where(F.col("part").between(*map(str, parts)))
+    ranged = pruned("fact").where(F.col("created_date_key").between(low, high))
+    facts = ranged.agg(F.count(F.lit(1)).alias("fact_rows_in_range"))
+    digest = star.checksum(ranged, [F.col(c).cast("string") for c in ("agency_key", "complaint_key", "location_key")])
+    aggregates = pruned("daily").where(F.col("date_key").between(low, high)).agg(F.count(F.lit(1)).alias("aggregate_rows"))
+    one = sums.join(facts, F.lit(True)).join(digest, F.lit(True)).join(aggregates, F.lit(True)).collect()[0]  # one row each
     seconds = time.monotonic() - began
-    extracted = raw.count()
     report = {
-        "run_id": run_id, "mode": mode, "range": f"{first} to {last}", "partitions": (last - first).days + 1, "rows_extracted": extracted, "rows_rejected": total["rows_rejected"],
-        "duplicates_removed": total["duplicates_removed"], "rows_accepted": total["rows_out"], "rows_inserted": outcome["inserted"], "rows_updated": outcome["updated"], "rows_unchanged": outcome["unchanged"],
-        "fact_rows_in_range": digest["facts"], "fact_checksum": digest["sum"], "aggregate_rows": house.read("daily", AGGREGATE).where(F.col("date_key").between(low, high)).count(),
-        "duration_s": round(seconds, 2), "rows_per_s": round(extracted / seconds) if seconds else 0, "watermark_before": str(current_day) if current_day else None, "watermark_after": str(after) if after else None,
-        "failed_days": [f"{r['partition_date']}: {r['failures'] or 'volume'}" for r in bad],
+        "run_id": run_id, "mode": mode, "range": f"{first} to {last}", "partitions": n_days, **{k: one[k] for k in ("rows_extracted", "rows_rejected", "duplicates_removed", "rows_accepted", "rows_inserted", "rows_updated")},
+        "rows_unchanged": one["rows_accepted"] - one["rows_inserted"] - one["rows_updated"], **{k: one[k] for k in ("fact_rows_in_range", "fact_checksum", "aggregate_rows")},
+        "duration_s": round(seconds, 2), "rows_per_s": round(one["rows_extracted"] / seconds) if seconds else 0, "watermark_before": str(current) if current else None, "watermark_after": str(after) if after else None,
+        "failed_days": [f"data quality gate failed for {r['partition_date']}: {r['reasons']}" for r in bad],
     }
+    told("COMPLETED" if complete else "FAILED", json.dumps(report))
+    removed(gates, verdicts, reasoned, staged, new, outcome, held, fresh, names)
     return report
 
 

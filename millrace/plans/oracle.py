@@ -82,7 +82,7 @@ _PROFILE = """count(*) AS total, count(*) FILTER (unique_key IS NULL OR trim(uni
   count(*) FILTER (complaint_type IS NULL OR trim(complaint_type, ' ') = '') AS missing_complaint_type,
   count(*) FILTER (unique_key IS NULL OR trim(unique_key, ' ') = '' OR created_date IS NULL OR trim(created_date, ' ') = '' OR agency IS NULL OR trim(agency, ' ') = ''
     OR complaint_type IS NULL OR trim(complaint_type, ' ') = '') AS missing_any,
-  count(*) FILTER (borough IS NULL OR trim(borough, ' ') = '') AS missing_borough, count(*) FILTER (coalesce(NOT regexp_matches(trim(incident_zip, ' '), '^\\d{5}'), true)) AS invalid_zip,
+  count(*) FILTER (coalesce(upper(trim(borough, ' ')), '') IN ('', 'UNSPECIFIED')) AS missing_borough, count(*) FILTER (coalesce(NOT regexp_matches(trim(incident_zip, ' '), '^\\d{5}'), true)) AS invalid_zip,
   count(*) - count(DISTINCT unique_key) AS duplicates"""
 
 
@@ -138,7 +138,7 @@ merged AS (
 """
 
 _TASKS = """
-placed AS (SELECT c_nationkey AS workflow_id, c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place, 'c' || c_custkey AS task_id FROM customer),
+placed AS (SELECT c_custkey // 20000 * 100 + c_nationkey AS workflow_id, c_custkey AS k, row_number() OVER (PARTITION BY c_custkey // 20000 * 100 + c_nationkey ORDER BY c_custkey) - 1 AS place, 'c' || c_custkey AS task_id FROM customer),
 half AS (SELECT p.workflow_id, p.place, p.task_id, q.task_id AS dep FROM placed p JOIN placed q ON p.workflow_id = q.workflow_id AND q.place = (p.place - 1) // 2 AND p.place > 0),
 up AS (SELECT p.workflow_id, p.place, p.task_id, q.task_id AS dep FROM placed p JOIN placed q ON p.workflow_id = q.workflow_id AND q.place = p.place - 3 AND p.place % 5 = 0),
 edges AS (SELECT workflow_id, task_id, dep FROM half UNION SELECT workflow_id, task_id, dep FROM up)
@@ -154,6 +154,24 @@ lines AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS s, max(l_shipdate)
 spans AS (SELECT l_orderkey AS trace_id, CAST(l_linenumber AS BIGINT) AS span_id, CASE WHEN l_linenumber > 1 THEN CAST(l_linenumber // 2 AS BIGINT) END AS parent_id, 's' || (s % 3) AS service, epoch_us(d) * 1000 AS start_ns FROM lines)
 """
 
+
+
+def _load_report(number: str, inserted: str, updated: str, unchanged: str) -> str:
+    """The report of a run over all days: facts are the latest version of each key over all days."""
+    return f"""WITH {PARSED}, span AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) + 1 AS b FROM orders),
+latest AS (SELECT * FROM staged QUALIFY row_number() OVER (PARTITION BY unique_key ORDER BY version DESC NULLS LAST, partition_date DESC, row_num DESC) = 1),
+counts AS (SELECT (SELECT count(*) FROM raw) AS extracted, (SELECT count(*) FROM reasoned WHERE reject_reason IS NOT NULL) AS rejected, (SELECT count(*) FROM staged) AS accepted, (SELECT count(*) FROM latest) AS n,
+  (SELECT count(*) FROM (SELECT DISTINCT CAST(created_local AS DATE), borough, complaint_type FROM latest)) AS aggregates)
+SELECT 'run-{number}' AS run_id, b - a + 1 AS partitions, extracted AS rows_extracted, rejected AS rows_rejected, extracted - rejected - accepted AS duplicates_removed, accepted AS rows_accepted,
+  CAST({inserted} AS BIGINT) AS rows_inserted, CAST({updated} AS BIGINT) AS rows_updated, CAST({unchanged} AS BIGINT) AS rows_unchanged, n AS fact_rows_in_range, aggregates AS aggregate_rows, CAST(b AS VARCHAR) AS watermark_after
+FROM counts, span"""
+
+
+def _reasons(most: float) -> str:
+    texts = [f"CASE WHEN {_pct(f'missing_{c}')} > {most} THEN 'missing_{c}_pct=' || {_pct(f'missing_{c}')} || '% > {most}%' END" for c in ("unique_key", "created_date", "agency", "complaint_type")]
+    return f"concat_ws('; ', {', '.join(texts)})"
+
+
 ORACLE: dict[str, str] = {
     "dq_profile": f"WITH {RAW} SELECT {_PROFILE} FROM raw",
     "dq_profile_by_month": f"WITH {RAW} SELECT strftime(partition_date, '%Y-%m') AS month, {_PROFILE} FROM raw GROUP BY 1",
@@ -176,7 +194,7 @@ SELECT day, n_rows, history, CAST(median AS DOUBLE) AS median, ratio, CASE WHEN
     "dim_location": f"WITH {PARSED} SELECT CAST(row_number() OVER (ORDER BY borough, zip) AS INT) AS location_key, borough, zip FROM (SELECT DISTINCT borough, zip FROM staged)",
     "fact_star_join": f"WITH {PARSED} SELECT unique_key, {_key('created_local')} AS created_date_key, CASE WHEN closed_at IS NOT NULL THEN {_key('closed_local')} END AS closed_date_key, agency_code, complaint_type, descriptor, borough, zip, status, CAST(resolution_hours AS DOUBLE) AS resolution_hours FROM staged",
     "agg_daily": f"WITH {PARSED} SELECT {_key('created_local')} AS date_key, borough, complaint_type, count(*) AS requests, count(closed_at) AS closed, CASE WHEN count(closed_at) > 0 THEN ((2 * sum(CAST(round(resolution_hours * 100) AS BIGINT)) + count(closed_at)) // (2 * count(closed_at))) / 100.0::DOUBLE END AS avg_resolution_hours FROM staged GROUP BY 1, 2, 3",
-    "fact_checksum": f"WITH {PARSED} SELECT md5(coalesce(string_agg({_LINE}, ',' ORDER BY unique_key, {_LINE}), '')) AS fact_checksum FROM staged",
+    "fact_checksum": f"WITH {PARSED}, d AS (SELECT {_key('created_local')} AS k, md5(string_agg({_LINE}, ',' ORDER BY unique_key, {_LINE})) AS h FROM staged GROUP BY 1) SELECT md5(coalesce(string_agg(k || ':' || h, ',' ORDER BY k), '')) AS fact_checksum FROM d",
     "fact_checksum_by_day": f"WITH {PARSED}, d AS (SELECT {_key('created_local')} AS created_date_key, {_DIGEST} AS h FROM staged) SELECT created_date_key, count(*) AS facts, CAST(sum(('0x' || substr(h, 1, 15))::BIGINT) AS VARCHAR) || '-' || CAST(sum(('0x' || substr(h, 16, 15))::BIGINT) AS VARCHAR) AS day_checksum FROM d GROUP BY 1",
     "merge_newest_wins": f"WITH {VERSIONS} SELECT key, status, version, action FROM merged",
     "merge_outcome_counts": f"WITH {VERSIONS} SELECT count(*) FILTER (action = 'insert') AS inserted, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action = 'unchanged') AS unchanged FROM merged",
@@ -187,7 +205,7 @@ SELECT day, n_rows, history, CAST(median AS DOUBLE) AS median, ratio, CASE WHEN
 n AS (SELECT c_custkey AS code, CASE WHEN c_custkey % 9 <> 0 THEN c_name || CASE WHEN c_custkey % 2 = 0 THEN '!' ELSE '' END END AS name FROM customer WHERE c_custkey % 3 = 0)
 SELECT coalesce(o.code, n.code) AS code, coalesce(n.name, o.name) AS name, CASE WHEN o.code IS NULL THEN 'insert' WHEN n.name IS NOT NULL AND n.name IS DISTINCT FROM o.name THEN 'update' ELSE 'keep' END AS action FROM o FULL JOIN n ON o.code = n.code""",
     "replace_date_range": f"WITH d AS (SELECT {_key('o_orderdate')} AS date_key, count(*) AS n FROM orders GROUP BY 1) SELECT * FROM d WHERE date_key NOT BETWEEN 19960101 AND 19961231 UNION ALL SELECT date_key, n * 10 FROM d WHERE date_key % 3 <> 0 AND date_key BETWEEN 19960101 AND 19961231",
-    "append_conflicts": f"WITH {LOG} SELECT workflow_id, sequence, event_type FROM log WHERE event_id % 40 = 0",
+    "append_conflicts": f"WITH {LOG} SELECT workflow_id, sequence, event_type FROM log WHERE event_id % 2 = 0",
     "numbered_appends": "WITH v AS (SELECT user_id, CASE WHEN user_id % 3 <> 0 THEN max(event_id) % 100 ELSE 0 END AS v FROM events GROUP BY 1) SELECT user_id AS workflow_id, event_id, v + row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events JOIN v USING (user_id)",
     "watermark_advance_matrix": """SELECT name, CAST(current AS DATE) AS current, CAST(a AS DATE) AS start_day, CAST(b AS DATE) AS end_day,
 CASE WHEN current IS NULL OR (CAST(current AS DATE) >= CAST(a AS DATE) - 1 AND CAST(b AS DATE) > CAST(current AS DATE)) THEN CAST(b AS DATE) ELSE CAST(current AS DATE) END AS after
@@ -241,10 +259,37 @@ SELECT workflow_id, sequence, task_id, event_type, from_status, why FROM r WHERE
     "dag_indegree": f"WITH {_TASKS}, i AS (SELECT workflow_id, task_id, count(*) AS n FROM edges GROUP BY 1, 2), o AS (SELECT workflow_id, dep AS task_id, count(*) AS n FROM edges GROUP BY 1, 2) SELECT p.workflow_id, p.task_id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM placed p LEFT JOIN i USING (workflow_id, task_id) LEFT JOIN o USING (workflow_id, task_id)",
     "dag_ready": f"WITH {_TASKS}, s AS (SELECT workflow_id, task_id, CASE WHEN place % 4 <> 3 THEN 'SUCCEEDED' ELSE 'PENDING' END AS status FROM placed WHERE place < 12), u AS (SELECT e.workflow_id, e.task_id FROM edges e LEFT JOIN s ON s.workflow_id = e.workflow_id AND s.task_id = e.dep AND s.status = 'SUCCEEDED' WHERE s.status IS NULL) SELECT workflow_id, task_id FROM placed p WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.workflow_id = p.workflow_id AND u.task_id = p.task_id) AND NOT EXISTS (SELECT 1 FROM s WHERE s.workflow_id = p.workflow_id AND s.task_id = p.task_id AND status <> 'PENDING')",
     "dag_levels": f"WITH RECURSIVE {_TASKS}, paths AS (SELECT workflow_id, task_id, 0 AS level FROM placed WHERE place = 0 UNION SELECT e.workflow_id, e.task_id, level + 1 FROM paths p JOIN edges e ON e.workflow_id = p.workflow_id AND e.dep = p.task_id) SELECT workflow_id, task_id, max(level) AS level FROM paths GROUP BY 1, 2",
-    "dag_downstream": f"WITH RECURSIVE {_TASKS}, reach AS (SELECT p.workflow_id, p.task_id, e.task_id AS reached FROM placed p JOIN edges e ON e.workflow_id = p.workflow_id AND e.dep = p.task_id WHERE p.place < 5 UNION SELECT r.workflow_id, r.task_id, e.task_id FROM reach r JOIN edges e ON e.workflow_id = r.workflow_id AND e.dep = r.reached) SELECT * FROM reach",
+    "dag_downstream": f"WITH RECURSIVE {_TASKS}, reach AS (SELECT p.workflow_id, p.task_id, e.task_id AS reached FROM placed p JOIN edges e ON e.workflow_id = p.workflow_id AND e.dep = p.task_id UNION SELECT r.workflow_id, r.task_id, e.task_id FROM reach r JOIN edges e ON e.workflow_id = r.workflow_id AND e.dep = r.reached) SELECT * FROM reach",
     "span_tree": f"WITH RECURSIVE {_SPANS}, kept AS (SELECT * FROM spans WHERE NOT (span_id = 2 AND trace_id % 5 = 0)), tree AS (SELECT trace_id, span_id, 0 AS depth FROM kept k WHERE NOT EXISTS (SELECT 1 FROM kept q WHERE q.trace_id = k.trace_id AND q.span_id = k.parent_id) UNION ALL SELECT k.trace_id, k.span_id, depth + 1 FROM tree t JOIN kept k ON k.trace_id = t.trace_id AND k.parent_id = t.span_id) SELECT t.trace_id, t.span_id, depth, (k.start_ns - min(k.start_ns) OVER (PARTITION BY t.trace_id)) / 1000000 AS start_ms FROM tree t JOIN kept k USING (trace_id, span_id)",
     "fullest_trace": f"WITH {_SPANS} SELECT trace_id, count(DISTINCT service) AS services, count(*) AS spans FROM spans GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 1",
-    "stream_windowed_counts": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "dag_orders": f"""WITH RECURSIVE {_TASKS}, paths AS (SELECT workflow_id, task_id, 0 AS level FROM placed WHERE place = 0 UNION SELECT e.workflow_id, e.task_id, level + 1 FROM paths p JOIN edges e ON e.workflow_id = p.workflow_id AND e.dep = p.task_id),
+lv AS (SELECT p.workflow_id, p.task_id, p.place, max(level) AS level FROM paths JOIN placed p USING (workflow_id, task_id) GROUP BY ALL),
+keyed AS (SELECT workflow_id, task_id, level, [place] AS way FROM lv WHERE level = 0
+  UNION ALL SELECT l.workflow_id, l.task_id, l.level, list_append(max(k.way), any_value(l.place)) FROM keyed k JOIN edges e ON e.workflow_id = k.workflow_id AND e.dep = k.task_id JOIN lv l ON l.workflow_id = e.workflow_id AND l.task_id = e.task_id AND l.level = k.level + 1 GROUP BY l.workflow_id, l.task_id, l.level)
+SELECT workflow_id, row_number() OVER (PARTITION BY workflow_id ORDER BY level, way) - 1 AS position, task_id FROM keyed""",
+    "dag_cycle_path": f"WITH {_TASKS}, way AS (SELECT unnest([0, 1, 2, 3]) AS position, unnest([0, 4, 1, 0]) AS place) SELECT workflow_id, CAST(position AS BIGINT) AS position, task_id FROM way JOIN placed USING (place) WHERE workflow_id IN (SELECT workflow_id FROM placed WHERE place = 4)",
+    "exported_spans": "WITH lines AS (SELECT l_orderkey AS t, l_linenumber AS n, min(l_suppkey) AS s, epoch_us(max(l_shipdate)) * 1000 AS ns FROM lineitem GROUP BY 1, 2) SELECT 's' || (s % 3) AS service, CAST(t AS VARCHAR) AS trace_id, CAST(n AS VARCHAR) AS span_id, CASE WHEN n > 1 THEN CAST(n // 2 AS VARCHAR) END AS parent_id, 'op' || n AS name, ns AS start_ns, ns + n * 1000 AS end_ns FROM lines",
+    "events_before_start": f"WITH {LOG}, f AS (SELECT workflow_id, min(sequence) FILTER (event_type = 'WorkflowStarted') AS s FROM log GROUP BY 1) SELECT workflow_id, sequence, event_type FROM log JOIN f USING (workflow_id) WHERE s IS NULL OR sequence < s",
+    "workflow_progress": f"WITH {LOG}, t AS (SELECT workflow_id, task_id, {_STATUS.format(x='arg_max(event_type, sequence)')} AS status FROM log WHERE event_type LIKE 'Task%' GROUP BY 1, 2) SELECT workflow_id, bool_and(status IN ('SUCCEEDED', 'DEAD_LETTERED', 'SKIPPED')) AS all_terminal, bool_or(status = 'DEAD_LETTERED') AS any_dead_lettered, coalesce(string_agg(task_id, ',' ORDER BY task_id) FILTER (status = 'SUCCEEDED'), '') AS succeeded FROM t GROUP BY 1",
+    "run_events": f"WITH {LOG} SELECT workflow_id, sequence, event_type, task_id FROM log WHERE workflow_id = 7",
+    "run_tasks": f"WITH {LOG}, d AS (SELECT 't' || n AS task_id FROM range(6) r(n) WHERE EXISTS (SELECT 1 FROM log WHERE workflow_id = 7)), t AS (SELECT task_id, {_STATUS.format(x='arg_max(event_type, sequence)')} AS status, arg_max(attempt, sequence) FILTER (event_type = 'TaskQueued') AS attempt, count(*) AS n FROM log WHERE event_type LIKE 'Task%' AND workflow_id = 7 GROUP BY 1) SELECT CAST(7 AS BIGINT) AS workflow_id, task_id, coalesce(status, 'PENDING') AS status, coalesce(attempt, 0) AS attempt, coalesce(n, 0) AS n_events FROM d LEFT JOIN t USING (task_id)",
+    "list_page_by_status": f"WITH {RUNS}, r AS (SELECT * FROM runs WHERE owner = 'u3' AND status = 'COMPLETED') SELECT workflow_id, owner, status, (SELECT count(*) FROM r) AS total_elements, CAST(ceil((SELECT count(*) FROM r) / 5) AS BIGINT) AS total_pages FROM r ORDER BY created_at DESC, workflow_id LIMIT 5",
+    "event_rates": "SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS increase, count(*) / 3600 AS per_second FROM events GROUP BY 1, 2",
+    "greatest_rates": """WITH s AS (SELECT event_type, time_bucket(INTERVAL 5 MINUTES, ts) - to_minutes(CAST(5 * k AS INT)) AS start FROM events, range(2) r(k)), c AS (SELECT event_type, start, count(*) / 600 AS rate FROM s GROUP BY 1, 2)
+SELECT event_type, CAST(date_trunc('day', start) AS TIMESTAMP) AS start, max(rate) AS greatest FROM c GROUP BY 1, 2""",
+    "json_lines_results": "SELECT event_type, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1), range(2)",
+    "poison_records": "SELECT CASE WHEN event_id % 10 <> 0 THEN event_id END AS event_id, CASE WHEN event_id % 10 <> 0 THEN event_type END AS event_type, CASE WHEN event_id % 10 = 0 THEN 'broken ' || event_id END AS poison FROM events",
+    "key_partitions": """WITH b AS (SELECT c_custkey, list_transform(range(1, length(c_name) + 1), lambda i: CAST(ascii(substr(c_name, CAST(i AS INT), 1)) AS HUGEINT)) AS b FROM customer),
+k AS (SELECT c_custkey, b, list_transform(range(0, len(b) // 4), lambda i: b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216) AS words FROM b),
+m AS (SELECT c_custkey, b, list_transform(list_transform(words, lambda x: (x * 1540483477) % 4294967296), lambda x: (xor(x, x // 16777216) * 1540483477) % 4294967296) AS words FROM k),
+h AS (SELECT c_custkey, b, list_reduce(list_prepend(xor(2538058380::HUGEINT, len(b)::HUGEINT), words), lambda a, x: xor((a * 1540483477) % 4294967296, x)) AS h FROM m),
+t AS (SELECT c_custkey, CASE len(b) % 4 WHEN 0 THEN h ELSE (xor(h, b[len(b) // 4 * 4 + 1] + CASE WHEN len(b) % 4 > 1 THEN b[len(b) // 4 * 4 + 2] * 256 ELSE 0 END + CASE WHEN len(b) % 4 > 2 THEN b[len(b) // 4 * 4 + 3] * 65536 ELSE 0 END) * 1540483477) % 4294967296 END AS h FROM h),
+u AS (SELECT c_custkey, (xor(h, h // 8192) * 1540483477) % 4294967296 AS h FROM t)
+SELECT c_custkey, CAST((xor(h, h // 32768) % 2147483648) % 12 AS INT) AS partition FROM u""",
+    "load_backfill_report": _load_report("1", "n", "0", "accepted - n"),
+    "load_rerun_is_noop": _load_report("2", "0", "0", "accepted").replace("AS watermark_after", "AS watermark_after, true AS same_checksum"),
+    "load_failed_days": f"WITH {RAW}, p AS (SELECT partition_date, {_PROFILE} FROM raw GROUP BY 1), r AS (SELECT CAST(unnest(range(min(o_orderdate), max(o_orderdate) + INTERVAL 2 DAY, INTERVAL 1 DAY)) AS DATE) AS partition_date FROM orders), d AS (SELECT r.partition_date, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('total', 'missing_unique_key', 'missing_created_date', 'missing_agency', 'missing_complaint_type'))} FROM r LEFT JOIN p USING (partition_date)), c AS (SELECT partition_date, {_reasons(10.0)} AS reasons FROM d) SELECT 'data quality gate failed for ' || partition_date || ': ' || reasons AS failure, CAST(NULL AS VARCHAR) AS watermark_after FROM c WHERE reasons <> ''",
+    "stream_windowed_counts": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
     "stream_first_deliveries": "SELECT event_id, user_id, event_type FROM events",
     "stream_task_states": f"WITH {LOG} SELECT workflow_id, task_id, arg_max(event_type, sequence) AS last_type, count(*) AS n_events FROM log WHERE event_type LIKE 'Task%' GROUP BY 1, 2",
 }

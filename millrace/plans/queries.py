@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
 from millrace.operators import dag, eventlog, forensics, merge, quality_gate, staging, star, watermark
+from millrace.plans import load, runs
 from millrace.sources import adapters, raw
+from millrace.storage import new_path
 from millrace.streaming import folds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,7 +230,7 @@ def replace_date_range(spark, sf_dir):
 @query
 def append_conflicts(spark, sf_dir):
     log = adapters.event_log(spark, sf_dir)
-    late = log.where("event_id % 20 = 0").withColumn("sequence", F.col("sequence") + F.when(F.col("event_id") % 40 == 0, 0).otherwise(1_000_000))
+    late = log.withColumn("sequence", F.col("sequence") + F.when(F.col("event_id") % 2 == 0, 0).otherwise(1_000_000_000))
     return merge.conflicts(log, late).select("workflow_id", "sequence", "event_type")
 
 
@@ -382,6 +385,72 @@ def events_after_end(spark, sf_dir):
     return eventlog.running_after_end(adapters.event_log(spark, sf_dir))
 
 
+@query
+def events_before_start(spark, sf_dir):
+    return eventlog.before_start(adapters.event_log(spark, sf_dir))
+
+
+@query
+def workflow_progress(spark, sf_dir):
+    return eventlog.progress(eventlog.task_states(adapters.event_log(spark, sf_dir)))
+
+
+@query
+def run_events(spark, sf_dir):
+    """The events of one run, in order."""
+    return runs.events(adapters.event_log(spark, sf_dir), 7).select("workflow_id", "sequence", "event_type", "task_id")
+
+
+@query
+def run_tasks(spark, sf_dir):
+    """The tasks of one run, those without events too."""
+    log = adapters.event_log(spark, sf_dir)
+    defined = log.select("workflow_id").distinct().select("workflow_id", F.explode(F.array(*[F.lit(f"t{n}") for n in range(6)])).alias("task_id"))
+    return runs.view(log, defined, 7).select("workflow_id", "task_id", "status", "attempt", "n_events")
+
+
+@query
+def list_page_by_status(spark, sf_dir):
+    """A user's own completed runs, newest first."""
+    listed = adapters.run_table(adapters.event_log(spark, sf_dir))
+    return eventlog.page(listed, size=5, status="completed", user="u3").select("workflow_id", "owner", "status", "total_elements", "total_pages")
+
+
+@query
+def event_rates(spark, sf_dir):
+    return forensics.rates(raw.table(spark, sf_dir, "events"), "ts", "1 hour", "1 hour", "event_type")
+
+
+@query
+def greatest_rates(spark, sf_dir):
+    return forensics.greatest_rates(raw.table(spark, sf_dir, "events"), "ts", "10 minutes", "5 minutes", "1 day", "event_type")
+
+
+@query
+def json_lines_results(spark, sf_dir):
+    """Results appended twice to a folder of JSON lines, and read again."""
+    result = raw.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    folder = new_path(spark, "results")
+    for _ in range(2):
+        forensics.append_result(result, folder)
+    return spark.read.schema(result.schema).json(folder)
+
+
+@query
+def poison_records(spark, sf_dir):
+    """Messages by schema, and those that do not parse."""
+    e = raw.table(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("broken "), F.col("event_id").cast("string"))).otherwise(F.to_json(F.struct("event_id", "event_type")))
+    good, bad = folds.decoded(e.select(text.alias("value")), spark.createDataFrame([], "event_id long, event_type string").schema)
+    return good.select("event_id", "event_type", F.lit(None).cast("string").alias("poison")).unionByName(bad.select(F.col("value").alias("poison")), allowMissingColumns=True)
+
+
+@query
+def key_partitions(spark, sf_dir):
+    """The partition of twelve that each key goes to."""
+    return raw.table(spark, sf_dir, "customer").select("c_custkey", C.partition_of(F.col("c_name"), 12).alias("partition"))
+
+
 @query
 def ignored_kinds(spark, sf_dir):
     reasons = F.element_at(F.array(*[F.lit(x) for x in ("stale attempt 1 for a (current 2)", "workflow already started", "workflow is FAILED", "workflow not started", "retry for a not due until x", "lease for a valid until x", "task a is RUNNING", "else")]), (F.col("event_id") % 8 + 1).cast("int"))
@@ -445,8 +514,7 @@ def dag_levels(spark, sf_dir):
 
 @query
 def dag_downstream(spark, sf_dir):
-    tasks = adapters.task_graphs(spark, sf_dir)
-    return dag.downstream(tasks, tasks.where("place < 5").select("workflow_id", "task_id"))
+    return dag.downstream(adapters.task_graphs(spark, sf_dir))
 
 
 @query
@@ -459,8 +527,19 @@ def dag_cycle_path(spark, sf_dir):
     """The graphs with one edge turned back, so that each has a cycle."""
     tasks = adapters.task_graphs(spark, sf_dir)
     back = tasks.where("place = 4").select("workflow_id", F.col("task_id").alias("far"))
-    turned = tasks.join(back, "workflow_id").withColumn("depends_on", F.when(F.col("place") == 0, F.array("far")).otherwise(F.col("depends_on")))
-    return dag.orders(turned).select("workflow_id", "cycle")
+    return dag.cycles(tasks.join(back, "workflow_id").withColumn("depends_on", F.when(F.col("place") == 0, F.array("far")).otherwise(F.col("depends_on"))))
+
+
+@query
+def exported_spans(spark, sf_dir):
+    """Spans flattened from one JSON body per trace, as collectors export them."""
+    spans = adapters.spans(spark, sf_dir)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    one = F.struct(text("trace_id").alias("traceId"), text("span_id").alias("spanId"), text("parent_id").alias("parentSpanId"), "name", text("start_ns").alias("startTimeUnixNano"), text("end_ns").alias("endTimeUnixNano"))
+    resource = F.struct(F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.col("service").alias("stringValue")).alias("value"))).alias("attributes"))
+    by_service = spans.groupBy("trace_id", "service").agg(F.collect_list(one).alias("spans")).select("trace_id", F.struct(resource.alias("resource"), F.array(F.struct("spans")).alias("scopeSpans")).alias("r"))
+    bodies = by_service.groupBy("trace_id").agg(F.to_json(F.struct(F.collect_list("r").alias("resourceSpans"))).alias("body"))
+    return forensics.flat_spans(bodies)
 
 
 @query
@@ -474,6 +553,46 @@ def fullest_trace(spark, sf_dir):
     return forensics.fullest_trace(adapters.spans(spark, sf_dir))
 
 
+# ---- a whole load ----
+
+
+def _loaded(spark: SparkSession, sf_dir: str, times: int, limits: quality_gate.Limits) -> list[Mapping[str, object]]:
+    first, last = raw.table(spark, sf_dir, "orders").select(F.min(F.to_date("o_orderdate")), F.date_add(F.max(F.to_date("o_orderdate")), 1)).collect()[0]
+    root = new_path(spark, "star")
+    return [load.run(spark, raw.requests_from_orders(spark, sf_dir).drop("run_id"), root, f"run-{n}", first, last, limits=limits, as_of=as_of(), grain="month") for n in range(1, times + 1)]
+
+
+#: Limits that let days of any size through.
+OPEN = quality_gate.Limits(min_rows=0, max_missing_pct=100.0, max_borough_pct=100.0, max_zip_pct=100.0, max_duplicate_pct=100.0, min_volume_ratio=0.0)
+SHOWN = ("run_id", "partitions", "rows_extracted", "rows_rejected", "duplicates_removed", "rows_accepted", "rows_inserted", "rows_updated", "rows_unchanged", "fact_rows_in_range", "aggregate_rows", "watermark_after")
+
+
+def _reports(spark: SparkSession, reports: list[Mapping[str, object]]) -> DataFrame:
+    kinds = {"run_id": "string", "watermark_after": "string"}
+    return spark.createDataFrame([tuple(r[k] for k in SHOWN) for r in reports], ", ".join(f"{k} {kinds.get(k, 'long')}" for k in SHOWN))
+
+
+@query
+def load_backfill_report(spark, sf_dir):
+    """All days of the feed, from raw records to the report of the run."""
+    return _reports(spark, _loaded(spark, sf_dir, 1, OPEN))
+
+
+@query
+def load_rerun_is_noop(spark, sf_dir):
+    """The report of a second run of the same days, and whether the checksum is that of the first."""
+    one, two = _loaded(spark, sf_dir, 2, OPEN)
+    return _reports(spark, [two]).withColumn("same_checksum", F.lit(one["fact_checksum"] == two["fact_checksum"]))
+
+
+@query
+def load_failed_days(spark, sf_dir):
+    """Days that the gate holds back, with the reasons; the watermark stays where it was."""
+    report = _loaded(spark, sf_dir, 1, dataclasses.replace(OPEN, max_missing_pct=10.0))[0]
+    rows = [(text, report["watermark_after"]) for text in report["failed_days"]]
+    return spark.createDataFrame(rows, "failure string, watermark_after string")
+
+
 # ---- streams ----
 
 
@@ -483,19 +602,23 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_windowed_counts(spark, sf_dir):
-    counts = _event_stream(spark, sf_dir).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return folds.drained(counts, "complete", "rates").select(F.col("window.start").alias("day"), "event_type", "n")
+    """Counts of the days that are closed: those that end an hour or more before the newest event."""
+    timed = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = folds.windowed_counts(timed, "ts", "1 day", "1 hour", "event_type")
+    return folds.drained(counts, "rates").select(F.to_timestamp_ntz(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss")).alias("day"), "event_type", "n")
 
 
 @query
 def stream_first_deliveries(spark, sf_dir):
     twice = _event_stream(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("ts", F.col("ts").cast("timestamp"))
-    return folds.drained(folds.first_deliveries(twice, ["event_id"], "ts", "40 days"), "append", "first").select("event_id", "user_id", "event_type")
+    return folds.drained(folds.first_deliveries(twice, ["event_id"], "ts", "40 days"), "first").select("event_id", "user_id", "event_type")
 
 
 @query
 def stream_task_states(spark, sf_dir):
-    """The fold of task_state_fold over a stream: the last event of each task by time, kept as state."""
+    """The fold of task_state_fold as a read model that a stream keeps: the last event of each task by time."""
+    keys = ["workflow_id", "task_id"]
     log = adapters.log_columns(_event_stream(spark, sf_dir)).where(F.col("event_type").isin(*eventlog.TASK_STATUS))
-    last = log.groupBy("workflow_id", "task_id").agg(F.max_by("event_type", F.struct("created_at", "event_id")).alias("last_type"), F.count(F.lit(1)).alias("n_events"))
-    return folds.drained(last, "complete", "states")
+    last = F.struct("created_at", "event_id", "event_type").alias("last")
+    model = folds.upserted(log, keys, lambda rows: rows.groupBy(*keys).agg(F.max(last).alias("last"), F.count(F.lit(1)).alias("n_events")), lambda rows: rows.groupBy(*keys).agg(F.max("last").alias("last"), F.sum("n_events").alias("n_events")), "states")
+    return model.select(*keys, F.col("last.event_type").alias("last_type"), "n_events")

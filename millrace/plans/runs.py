@@ -1,89 +1,49 @@
-"""Workflows as a user meets them: submit a definition, look at a run, list runs and events, cancel; and task types by name."""
+"""Workflow runs as a user looks at them: faults of a definition, ids of runs, the view of a run, its events, pages of runs."""
 
 from __future__ import annotations
 
 import hashlib
-import json
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import dag, eventlog
 
-COMMAND = "workflow_id string, kind string, task_id string, attempt int, more string, at_ms long, arrival long"
-Handler = Callable[[SparkSession, dict], dict]
-_handlers: dict[str, Handler] = {}
-
-
-class InvalidWorkflow(ValueError):
-    """All faults of a definition, in order."""
-
-
-def task(kind: str) -> Callable[[Handler], Handler]:
-    """Registers a function (spark, input) -> output for a task type."""
-
-    def register(f: Handler) -> Handler:
-        _handlers[kind] = f
-        return f
-
-    return register
-
-
-def execute(spark: SparkSession, kind: str, inputs: dict, tag: str) -> dict:
-    """Runs a task under a job tag, so that spark.interruptTag(tag) ends its Spark work when its time is up."""
-    if kind not in _handlers:
-        raise KeyError(f"no handler for task type {kind}")
-    spark.addTag(tag)
-    try:
-        return _handlers[kind](spark, inputs)
-    finally:
-        spark.removeTag(tag)
-
 
 def run_id(owner: str, key: str | None = None) -> str:
     """The same id for the same owner and key; a random one without a key."""
     if key is None:
         return str(uuid.uuid4())
-    d = bytearray(hashlib.md5(f"{owner}:{key}".encode()).digest())
-    d[6], d[8] = d[6] & 0x0F | 0x30, d[8] & 0x3F | 0x80
-    return str(uuid.UUID(bytes=bytes(d)))
+    return str(uuid.UUID(bytes=hashlib.md5(f"{owner}:{key}".encode()).digest(), version=3))
 
 
 def errors(definition: dict) -> list[str]:
     """Duplicate ids, then self and unknown dependencies by task, then a cycle. A definition is small: no Spark job."""
     names = [t["id"] for t in definition["tasks"]]
-    out = [f"duplicate task id '{n}'" for k, n in enumerate(names) if n in names[:k]]
+    out, known, seen = [], set(names), set()
+    for n in names:
+        if n in seen:
+            out.append(f"duplicate task id '{n}'")
+        seen.add(n)
     for t in definition["tasks"]:
         for d in t.get("dependsOn", []):
             if d == t["id"]:
                 out.append(f"task '{d}' depends on itself")
-            elif d not in names:
+            elif d not in known:
                 out.append(f"task '{t['id']}' depends on unknown task '{d}'")
     _, cycle = dag.order_or_cycle(names, [t.get("dependsOn", []) for t in definition["tasks"]])
     return out + ([f"cycle detected (depends on): {' -> '.join(cycle)}"] if cycle else [])
 
 
-def submit(spark: SparkSession, definition: dict, owner: str, at_ms: int, key: str | None = None) -> tuple[str, DataFrame]:
-    """The id of a run, and the command row that starts it in `streaming.decider`. Raises with all faults at once."""
-    if faults := errors(definition):
-        raise InvalidWorkflow("; ".join(faults))
-    run = run_id(owner, key)
-    return run, spark.createDataFrame([(run, "start", None, None, json.dumps({"definition": definition, "owner": owner}), at_ms, 0)], COMMAND)
-
-
-def cancel(spark: SparkSession, run: str, at_ms: int, reason: str = "cancelled by user") -> DataFrame:
-    return spark.createDataFrame([(run, "cancel", None, None, json.dumps({"reason": reason}), at_ms, 0)], COMMAND)
-
-
-def view(log: DataFrame, definitions: DataFrame, run: str) -> DataFrame:
+def view(log: DataFrame, definitions: DataFrame, run: str | int) -> DataFrame:
     """The tasks of one run with their states, replayed from its events; tasks without events are pending."""
     one = F.col("workflow_id") == run
     return eventlog.with_pending(eventlog.task_states(log.where(one)), definitions.where(one))
 
 
-def events(log: DataFrame, run: str) -> DataFrame:
+def events(log: DataFrame, run: str | int) -> DataFrame:
+    """The events of one run in order."""
     return log.where(F.col("workflow_id") == run).orderBy("sequence")
 
 

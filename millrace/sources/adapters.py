@@ -39,9 +39,14 @@ def run_table(log: DataFrame) -> DataFrame:
     return workflow_states(log).withColumns({"name": F.concat(F.lit("wf"), (w % 7).cast("string")), "owner": F.when(w % 11 != 0, F.concat(F.lit("u"), (w % 5).cast("string")))})
 
 
+#: Customers whose keys share a graph, of all nations: no graph has more tasks, whatever the size of the table.
+GRAPH = 20_000
+
+
 def task_graphs(spark: SparkSession, sf_dir: str, faults: bool = False) -> DataFrame:
-    """A graph per nation over its customers: each task waits for the one at half its place, each fifth also for the one three places up. With faults: ids given twice, unknown and self dependencies."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("workflow_id"), "c_custkey")
+    """Graphs by nation and stretch of keys over all customers: each task waits for the one at half its place, each fifth also for the one three places up. With faults: ids given twice, unknown and self dependencies."""
+    workflow = F.floor(F.col("c_custkey") / GRAPH) * 100 + F.col("c_nationkey")
+    c = table(spark, sf_dir, "customer").select(workflow.cast("long").alias("workflow_id"), "c_custkey")
     placed = c.withColumn("place", (F.row_number().over(W.partitionBy("workflow_id").orderBy("c_custkey")) - 1).cast("long")).withColumn("task_id", F.concat(F.lit("c"), F.col("c_custkey").cast("string")))
     name = lambda alias: placed.select(F.col("workflow_id").alias(f"{alias}_w"), F.col("place").alias(f"{alias}_p"), F.col("task_id").alias(alias))
     half, up = name("half"), name("up")

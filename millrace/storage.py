@@ -48,6 +48,12 @@ def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def removed(*tables: DataFrame) -> None:
     """Deletes the files of `stored` tables. Only for tables that nothing reads any more; tables from elsewhere are left alone."""
     for table in tables:
@@ -56,5 +62,4 @@ def removed(*tables: DataFrame) -> None:
         folders = {f.rpartition("/")[0] for f in table.inputFiles()}
         for folder in folders:
             if re.sub("^file:/+", "/", folder).startswith(re.sub("^file:/+", "/", base) + "/"):
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                deleted(spark, folder)

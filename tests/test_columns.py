@@ -65,3 +65,10 @@ def test_name_uuid_is_version_3_without_a_namespace(spark):
         d = bytearray(hashlib.md5(name.encode()).digest())
         d[6], d[8] = d[6] & 0x0F | 0x30, d[8] & 0x3F | 0x80
         assert one(spark, C.name_uuid(F.lit(name))) == str(uuid.UUID(bytes=bytes(d)))
+
+
+def test_murmur2_has_the_published_values(spark):
+    """Hashes that the message broker's own tests name."""
+    known = {"21": -973932308, "foobar": -790332482, "a-little-bit-long-string": -985981536, "a-little-bit-longer-string": -1486304829, "lkjh234lh9fiuh90y23oiuhsafujhadof229phr9h19h89h8": -58897971, "abc": 479470107}
+    rows = spark.createDataFrame([(k,) for k in known], "k string").select("k", C.murmur2(F.col("k")).alias("h"), C.partition_of(F.col("k"), 12).alias("p")).collect()
+    assert {r["k"]: r["h"] for r in rows} == known and all(r["p"] == (r["h"] & 0x7FFFFFFF) % 12 for r in rows)

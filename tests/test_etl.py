@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from millrace.operators import merge, quality_gate, staging, star, watermark
 from millrace.plans import load
-from millrace.plans.warehouse import Warehouse
 from millrace.sources import raw, rest
 
 DAY = dt.date(2026, 10, 5)
@@ -117,7 +116,7 @@ def test_plan_has_a_chain_per_day():
 
 def test_checksum_of_nothing_is_that_of_the_empty_text(spark):
     empty = staging.stage(reasoned(spark, {"agency": None}))
-    assert star.checksum(empty, [F.col("agency_code")]).collect()[0][0] == "d41d8cd98f00b204e9800998ecf8427e"
+    assert star.checksum(empty, [F.col("agency_code")], "created_day").collect()[0][0] == "d41d8cd98f00b204e9800998ecf8427e"
 
 
 LIMITS = quality_gate.Limits(min_rows=1, max_duplicate_pct=60.0)
@@ -133,31 +132,65 @@ def week(spark, change=lambda r: r):
     return out
 
 
-def test_backfill_rerun_update_and_bad_day(spark, tmp_path):
+@pytest.mark.parametrize("grain", ["day", "month"])
+def test_backfill_rerun_update_and_bad_day(spark, tmp_path, grain):
     root = str(tmp_path / "house")
     days = (DAY, DAY + dt.timedelta(2))
-    first = load.checked(load.run(spark, week(spark), root, "r1", *days, limits=LIMITS, as_of=as_of()))
+    go = lambda rows, where, run_id, **more: load.run(spark, rows, where, run_id, *days, limits=LIMITS, as_of=as_of(), grain=grain, **more)
+    first = load.checked(go(week(spark), root, "r1"))
     assert (first["rows_inserted"], first["rows_updated"], first["fact_rows_in_range"], first["watermark_after"]) == (12, 0, 12, str(days[1]))
-    again = load.run(spark, week(spark), root, "r2", *days, limits=LIMITS, as_of=as_of())
+    files = sorted(load.read(spark, root, "fact").inputFiles())
+    again = go(week(spark), root, "r2")
     assert (again["rows_inserted"], again["rows_updated"], again["rows_unchanged"], again["fact_checksum"]) == (0, 0, 12, first["fact_checksum"])
-    newer = week(spark, lambda r: r | ({":updated_at": "2026-12-01T00:00:00Z", "status": "open"} if r["unique_key"].endswith("-1") else {}))
-    third = load.run(spark, newer, root, "r3", *days, limits=LIMITS, as_of=as_of())
-    assert (third["rows_inserted"], third["rows_updated"]) == (0, 3) and third["fact_checksum"] != first["fact_checksum"]
-    assert Warehouse(spark, root).number == 3
+    assert sorted(load.read(spark, root, "fact").inputFiles()) == files  # nothing new: no partition is written
+    newer = week(spark, lambda r: r | ({":updated_at": "2026-12-01T00:00:00Z", "status": "open"} if r["unique_key"] == "1-1" else {}))
+    third = go(newer, root, "r3")
+    assert (third["rows_inserted"], third["rows_updated"]) == (0, 1) and third["fact_checksum"] != first["fact_checksum"]
+    if grain == "day":
+        assert len(set(load.read(spark, root, "fact").inputFiles()) & set(files)) == len(files) - 1
+    # The same run again: its statistics are replaced and not added.
+    fourth = go(newer, root, "r3")
+    stats = load.read(spark, root, "stats")
+    assert fourth["rows_extracted"] == 12 and stats.where("run_id = 'r3'").count() == 12 and {r[0] for r in stats.where("run_id = 'r3'").select("attempt").collect()} == {2}
+    assert {(r["run_id"], r["status"]) for r in load.read(spark, root, "runs").collect()} == {("r1", "COMPLETED"), ("r2", "COMPLETED"), ("r3", "COMPLETED")}
     bad = week(spark, lambda r: r | ({"agency": None} if r["unique_key"].startswith("1-") else {}))
     fresh = str(tmp_path / "fresh")
-    report = load.run(spark, bad, fresh, "r1", *days, limits=LIMITS, as_of=as_of())
-    assert report["rows_inserted"] == 8 and report["watermark_after"] is None and len(report["failed_days"]) == 1
+    report = go(bad, fresh, "r1")
+    assert report["rows_inserted"] == 8 and report["watermark_after"] is None and report["failed_days"] == [f"data quality gate failed for {DAY + dt.timedelta(1)}: missing_agency_pct=100.0% > 1.0%"]
+    assert {r["stage"] for r in load.read(spark, fresh, "stats").where(F.col("partition_date") == DAY + dt.timedelta(1)).collect()} == {"extract", "validate"}
+    assert load.read(spark, fresh, "runs").collect()[0]["status"] == "FAILED"
     with pytest.raises(load.QualityError):
         load.checked(report)
 
 
-def test_second_writer_is_rejected(spark, tmp_path):
-    one, two = Warehouse(spark, str(tmp_path)), Warehouse(spark, str(tmp_path))
-    one.commit("a", one.write("a", {"t": spark.range(1)}))
-    with pytest.raises(Exception):
-        two.commit("b", two.write("b", {"t": spark.range(2)}))
-    assert Warehouse(spark, str(tmp_path)).read("t", "id long").count() == 1
+def test_facts_that_move_leave_no_empty_day_behind(spark, tmp_path):
+    root, days = str(tmp_path / "house"), (DAY, DAY + dt.timedelta(1))
+    go = lambda rows, run_id: load.run(spark, rows, root, run_id, *days, limits=quality_gate.Limits(min_rows=0, max_missing_pct=100.0, max_borough_pct=100.0, max_zip_pct=100.0), as_of=as_of())
+    at = lambda day, version: rows(spark, {"unique_key": "k", "created_date": f"{day}T10:00:00", ":updated_at": version}, day=day).drop("run_id")
+    assert go(at(days[0], "2026-11-01T00:00:00Z"), "r1")["fact_rows_in_range"] == 1
+    moved = go(at(days[1], "2026-11-02T00:00:00Z"), "r2")
+    assert (moved["rows_updated"], moved["fact_rows_in_range"], moved["aggregate_rows"]) == (1, 1, 1)
+    assert [r["created_date_key"] for r in load.read(spark, root, "fact").collect()] == [int(days[1].strftime("%Y%m%d"))]
+
+
+def test_days_without_records_and_faults_fail(spark, tmp_path):
+    days = (DAY, DAY + dt.timedelta(3))
+    report = load.run(spark, week(spark), str(tmp_path / "a"), "r", *days, limits=LIMITS, as_of=as_of())
+    assert len(report["failed_days"]) == 1 and "row_count=0 outside 1..100000" in report["failed_days"][0]
+    report = load.run(spark, week(spark), str(tmp_path / "b"), "r", *days, limits=LIMITS, as_of=as_of(), fault="drop_created_date")
+    assert len(report["failed_days"]) == 4 and "missing_created_date_pct=100.0% > 1.0%" in report["failed_days"][0]
+
+
+def test_volume_is_held_against_the_median_of_earlier_runs(spark, tmp_path):
+    root = str(tmp_path / "house")
+    many = None
+    for n in range(7):
+        day = DAY + dt.timedelta(n)
+        part = rows(spark, *[{"unique_key": f"{n}-{k}", "created_date": f"{day}T10:00:00", "closed_date": None} for k in range(10 if n < 6 else 4)], day=day).drop("run_id")
+        many = part if many is None else many.union(part)
+    go = lambda run_id, a, b: load.run(spark, many, root, run_id, DAY + dt.timedelta(a), DAY + dt.timedelta(b), limits=LIMITS, as_of=as_of())
+    assert not go("r1", 0, 5)["failed_days"]
+    assert go("r2", 6, 6)["failed_days"] == [f"data quality gate failed for {DAY + dt.timedelta(6)}: volume 4 rows = 0.4x the trailing 14-day median (10), below 0.5x: source likely not fully published"]
 
 
 def test_pages_end_at_the_first_that_is_not_full():

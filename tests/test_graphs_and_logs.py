@@ -1,14 +1,14 @@
 import datetime as dt
 import json
-import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from millrace.operators import dag, eventlog, forensics
-from millrace.streaming import decider, folds
-from millrace.streaming.decider import Workflow
+from millrace.streaming import folds
 
 
 def graph(spark, **deps):
@@ -27,7 +27,8 @@ def test_diamond(spark):
     assert pairs(dag.roots(g), "task_id") == [("a",)]
     assert pairs(dag.levels(g), "task_id", "level") == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
     assert pairs(dag.downstream(g, spark.createDataFrame([("w", "a")], "workflow_id string, task_id string")), "reached") == [("b",), ("c",), ("d",)]
-    assert dag.orders(g).collect()[0]["topological_order"] == "a -> b -> c -> d"
+    assert pairs(dag.orders(g), "position", "task_id") == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+    assert dag.cycles(g).count() == 0
     states = spark.createDataFrame([("w", "a", "SUCCEEDED"), ("w", "b", "SUCCEEDED")], "workflow_id string, task_id string, status string")
     assert pairs(dag.ready(g, states), "task_id") == [("c",)]
 
@@ -44,6 +45,26 @@ def test_cycles():
     assert len(order) == 10_000 and not cycle
 
 
+def test_levels_of_a_long_chain_take_few_rounds(spark):
+    chain = spark.range(10_000).select(F.lit("w").alias("workflow_id"), F.col("id").alias("place"), F.concat(F.lit("t"), "id").alias("task_id"), F.when(F.col("id") > 0, F.array(F.concat(F.lit("t"), (F.col("id") - 1).cast("string")))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
+    out = dag.levels(chain)
+    assert out.count() == 10_000 and out.where("task_id <> concat('t', level)").count() == 0
+
+
+def test_tasks_in_or_behind_a_cycle_have_no_level(spark):
+    g = graph(spark, r=[], x=["r", "y"], y=["x"], behind=["y"], free=["r"], late=["free", "r"])
+    assert pairs(dag.levels(g), "task_id", "level") == [("free", 1), ("late", 2), ("r", 0)]
+    assert pairs(dag.cycles(g), "position", "task_id") == [(0, "x"), (1, "y"), (2, "x")]
+    assert pairs(dag.downstream(g), "task_id", "reached") == [("free", "late"), ("r", "behind"), ("r", "free"), ("r", "late"), ("r", "x"), ("r", "y"), ("x", "behind"), ("x", "y"), ("y", "behind"), ("y", "x")]
+
+
+def test_deep_spans_and_spans_in_a_circle(spark):
+    rows = [("t", f"s{n}", f"s{n - 1}" if n else None, n * 1_000_000) for n in range(100)] + [("u", "a", "b", 0), ("u", "b", "a", 0), ("u", "c", None, 5_000_000)]
+    out = forensics.span_tree(spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string, start_ns long"))
+    assert {r["span_id"]: (r["depth"], r["start_ms"]) for r in out.where("trace_id = 't'").collect()} == {f"s{n}": (n, float(n)) for n in range(100)}
+    assert sorted((r["span_id"], r["depth"]) for r in out.where("trace_id = 'u'").collect()) == [("a", None), ("b", None), ("c", 0)]
+
+
 def test_duplicate_dependency_is_harmless(spark):
     assert pairs(dag.in_degrees(graph(spark, a=[], b=["a", "a"])), "task_id", "in_degree") == [("a", 0), ("b", 1)]
 
@@ -57,84 +78,6 @@ def test_orders_put_dependencies_first(deps):
     assert all(order.index(f"t{d}") < order.index(f"t{n}") for n, ds in enumerate(deps) for d in ds if d < n)
 
 
-def definition(retries=0, **deps):
-    return {"tasks": [{"id": t, "dependsOn": d, "maxRetries": retries, "backoff": {"jitter": True}} for t, d in deps.items()]}
-
-
-def kinds(events):
-    return [e["event_type"] for e in events]
-
-
-def test_happy_diamond_has_fourteen_events():
-    w = Workflow(chance=lambda: 0.5)
-    assert kinds(w.decide("start", 0, definition=definition(**DIAMOND))[0]) == ["WorkflowStarted", "TaskQueued"]
-    for task in "abcd":
-        w.decide("started", 1, task, 1, worker="x", lease_at=99)
-        w.decide("succeeded", 2, task, 1)
-    assert w.state["status"] == "COMPLETED" and w.state["version"] == 14
-
-
-def test_dead_letter_skips_what_is_behind():
-    w = Workflow()
-    w.decide("start", 0, definition=definition(**DIAMOND))
-    events, _ = w.decide("failed", 1, "a", 1, error="boom")
-    assert kinds(events) == ["TaskDeadLettered", "TaskSkipped", "TaskSkipped", "TaskSkipped", "WorkflowFailed"]
-
-
-def test_independent_branch_goes_on():
-    w = Workflow()
-    w.decide("start", 0, definition=definition(x=[], y=[]))
-    assert kinds(w.decide("failed", 1, "x", 1)[0]) == ["TaskDeadLettered"]
-    assert kinds(w.decide("succeeded", 2, "y", 1)[0]) == ["TaskSucceeded", "WorkflowFailed"]
-
-
-def test_retry_waits_for_its_time_and_leases_run_out():
-    w = Workflow(chance=lambda: 0.5)
-    w.decide("start", 0, definition=definition(retries=3, a=[]))
-    w.decide("failed", 1000, "a", 1)
-    assert w.state["tasks"]["a"]["retry_at"] == 1250 and w.wakes() == [1250]
-    assert "not due" in w.decide("retry", 1100, "a")[1]
-    assert kinds(w.decide("retry", 1250, "a")[0]) == ["TaskQueued"]
-    w.decide("started", 1300, "a", 2, worker="w1", lease_at=31_300)
-    assert "valid until" in w.decide("lease", 11_300, "a", 2)[1] and w.due(11_300) == []
-    events, _ = w.decide("lease", 32_000, "a", 2)
-    assert events[0]["detail"] == "lease expired (worker w1)"
-
-
-def test_stale_late_and_cancelled_inputs_change_nothing():
-    w = Workflow()
-    assert w.decide("succeeded", 0, "a", 1)[1] == "workflow not started"
-    w.decide("start", 0, definition=definition(a=[], b=["a"]))
-    version = w.state["version"]
-    assert "already started" in w.decide("start", 1, definition=definition(a=[]))[1]
-    assert w.decide("started", 1, "a", 7)[1].startswith("stale attempt") and w.decide("started", 1, "b", 0)[1] == "task b is PENDING"
-    assert w.state["version"] == version
-    w.decide("cancel", 2, reason="stop")
-    assert w.decide("succeeded", 3, "a", 1)[1] == "workflow is CANCELLED"
-
-
-def test_stream_takes_the_same_decisions(spark, tmp_path):
-    rows = [("w1", "start", None, None, json.dumps({"definition": definition(**DIAMOND)}), 0, 0)]
-    at = 0
-    for task in "abcd":
-        rows += [("w1", "started", task, 1, json.dumps({"worker": "x", "lease_at": 10**15}), at := at + 1, at), ("w1", "succeeded", task, 1, None, at := at + 1, at)]
-    rows += [("w2", "start", None, None, json.dumps({"definition": definition(x=[])}), 0, 0), ("w2", "failed", "x", 1, json.dumps({"error": "boom"}), 1, 1), ("w2", "failed", "x", 1, None, 2, 2), ("w3", "cancel", None, None, None, 0, 0)]
-    schema = "workflow_id string, kind string, task_id string, attempt int, more string, at_ms long, arrival long"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    inputs = folds.file_stream(spark, str(tmp_path / "in"), "*.parquet", spark.createDataFrame([], schema).schema)
-    # Timers keep such a stream alive for as long as workflows may wake, so it is stopped once all inputs are answered.
-    stream = decider.decisions(inputs).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
-    until = time.monotonic() + 90
-    while time.monotonic() < until and spark.table("decided").count() < 20:
-        time.sleep(0.5)
-    stream.stop()
-    out = spark.table("decided").collect()
-    log = sorted((r["workflow_id"], r["sequence"], r["event_type"]) for r in out if r["ignored"] is None)
-    assert [k for w, _, k in log if w == "w1"][-1] == "WorkflowCompleted" and sum(w == "w1" for w, _, _ in log) == 14
-    assert [k for w, _, k in log if w == "w2"] == ["WorkflowStarted", "TaskQueued", "TaskDeadLettered", "WorkflowFailed"]
-    assert sorted(r["ignored"] for r in out if r["ignored"]) == ["workflow is FAILED", "workflow not started"]
-
-
 def log_of(spark, *events):
     full = [(w, n, k, t, a, "x", "err" if k == "TaskFailed" else None, None, None, None, dt.datetime(2026, 1, 1, 0, 0, n)) for n, (w, k, t, a) in enumerate(events, 1)]
     return spark.createDataFrame(full, "workflow_id string, sequence long, event_type string, task_id string, attempt int, worker_id string, error string, lease_at timestamp, retry_at timestamp, output string, created_at timestamp")
@@ -155,6 +98,25 @@ def test_illegal_events_are_found(spark, events, why):
     assert [r["why"] for r in eventlog.illegal_transitions(log_of(spark, *events)).collect()] == [why]
 
 
+def test_the_first_event_must_start_the_workflow(spark):
+    log = log_of(spark, ("w", "TaskQueued", "a", 1), ("w", "WorkflowStarted", None, None), ("w", "TaskQueued", "a", 1), ("v", "TaskQueued", "a", 1), ("u", "WorkflowStarted", None, None))
+    assert pairs(eventlog.before_start(log), "workflow_id", "sequence") == [("v", 4), ("w", 1)]
+
+
+def test_progress_over_all_tasks(spark):
+    states = spark.createDataFrame([("w", "a", "SUCCEEDED"), ("w", "b", "SKIPPED"), ("v", "a", "DEAD_LETTERED"), ("v", "b", "RUNNING")], "workflow_id string, task_id string, status string")
+    assert pairs(eventlog.progress(states), "workflow_id", "all_terminal", "any_dead_lettered", "succeeded") == [("v", False, True, ""), ("w", True, False, "a")]
+
+
+def test_a_read_model_counts_a_repeated_batch_once(spark, tmp_path):
+    for n, rows in enumerate([[("a", 1), ("b", 2)], [("a", 5)], [("c", 1), ("a", 3)]]):
+        spark.createDataFrame(rows, "k string, v long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = folds.file_stream(spark, str(tmp_path / "in"), "*.parquet", spark.createDataFrame([], "k string, v long").schema, per_batch=1)
+    fold = lambda rows: rows.groupBy("k").agg(F.max("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    model = folds.upserted(stream, ["k"], fold, lambda rows: rows.groupBy("k").agg(F.max("v").alias("v"), F.sum("n").alias("n")), buckets=2)
+    assert pairs(model, "k", "v", "n") == [("a", 5, 3), ("b", 2, 1), ("c", 1, 1)]
+
+
 def test_owners_see_their_own(spark):
     runs = spark.createDataFrame([("1", "a", "RUNNING", 1), ("2", None, "RUNNING", 2), ("3", "b", "FAILED", 3)], "workflow_id string, owner string, status string, created_at long")
     assert pairs(eventlog.visible(runs, "a"), "workflow_id") == [("1",)]
