@@ -4,6 +4,9 @@ Each stage is a function of (spark, docs, sf_dir) and returns a DataFrame; all b
 documents. Stages are joined by Parquet in the shared folder, so a lost executor costs one stage's tasks at most.
 Verdicts are found per row and take effect on that row: rows have a key of their own, as ids may be null or repeated.
 A stage gives its rows keys where they have none; run() gives them once, for all stages up to the mix.
+
+In every stage null and empty texts, null and repeated ids, repeated rows and further columns are rows like others: each
+stage says what it does with them. An empty table stays empty. Columns come out as they went in, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,31 +18,31 @@ from millrace.llm.common import ROW, documents, labels, rows_of, stored, with_ro
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the n-gram ratio."""
+    """Documents that pass the base rules and the n-gram ratio; null, empty and short texts go, and repeated rows share a verdict."""
     return quality.kept_documents(docs, labels(spark, sf_dir))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row, with the smallest doc_id."""
+    """Of equal texts one row, with the smallest doc_id; a row without an id stays only where no copy has one, and of rows that tie one stays. Null equals the empty text."""
     rows = with_row_key(docs, "pipeline-rows")
     verdicts = stored(exact_dedup.exact_groups(rows, keep="smallest").select(ROW, "kept"), "pipeline-exact")
     return rows_of(rows, verdicts.where("kept")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates one row, with the smallest doc_id."""
+    """Of each class of near duplicates one row, with the smallest doc_id; a row without an id stays only where the class has none, and of rows that tie one stays. Texts without words are one class."""
     rows = with_row_key(docs, "pipeline-rows")
     verdicts = stored(near_dup.near_groups(rows).select(ROW, "kept"), "pipeline-near")
     return rows_of(rows, verdicts.where("kept")).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, twice at most; null is a source of its own, texts without words are not taken, and rows with the same id are taken together."""
     return mixing.mixed(docs.drop(ROW))  # copies are no rows of their own
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all pieces in sequences."""
+    """The places of all pieces in sequences; null and empty texts are one end id, and repeated rows are packed each."""
     return packing.pack(docs)
 
 
