@@ -5,10 +5,12 @@ sort places equal texts next to each other, and one pass compares each text in f
 is that of a text's first bytes, its SHA-256 digest, the text and the identifier: the digest keeps the sampled keys
 short, and the identifier lets a splitter fall inside a group of copies, so that a group with a third of all rows
 is cut over many tasks. Only the first and last group of a range can go on in the next one. They are at most two
-per range and are put together by digest; that small table is all that is broadcast.
+per range and are put together by digest: across a border equality rests on SHA-256, everywhere else on the full
+texts. That small table is all that is broadcast.
 
 Edge cases: null counts as the empty text and equals it; rows with equal ids and texts are one group, of which one
-row (any, they are alike) stays; a group of one row keeps itself; an empty table gives an empty result.
+row (any, they are alike) stays; a group without any id keeps one of its rows and has no keep_id; a group of one row
+keeps itself; an empty table gives an empty result; columns beside id, text and row key are not read.
 """
 
 from __future__ import annotations

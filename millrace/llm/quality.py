@@ -12,8 +12,9 @@ The counts are summed on the map side before the shuffle (a row per bucket and t
 as many rows as there are buckets, and the scores are summed by document where the document is read.
 
 Edge cases: null and empty texts have no words, fail the base rules and are not kept; without trusted documents all
-ratios are 0 and the base rules decide; rows with equal ids are scored by themselves; an empty table gives an empty
-result.
+ratios are 0 and the base rules decide; rows with equal or null ids are scored by themselves; an empty table gives an
+empty result; only doc_id, text and the row key are read, so other columns may have any name. Repeated windows of words
+are told by a 64-bit hash of their words, inside one text only.
 """
 
 from __future__ import annotations

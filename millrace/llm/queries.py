@@ -63,4 +63,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_mix_sources": mixing.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_warc_roundtrip": warc.ORACLE, "op5_mix_sources": mixing.ORACLE, "op7_secret_scan": secrets.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}

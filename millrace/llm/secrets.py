@@ -133,3 +133,23 @@ def secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans: one row per row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scanned(), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+def _oracle() -> str:
+    """Matches and the texts between them give the places: a match starts behind all that stands before it."""
+    kinds = []
+    for k, (kind, head, rest, least) in enumerate(RULES):
+        pattern = (_either_case(head) + rest).replace("'", "''")
+        # A value is what is left behind the name, the separator and a quote.
+        value = f"regexp_replace(m[i], '^{(_either_case(head) + _HEAD).replace(chr(39), chr(39) * 2)}', '')" if head else "m[i]"
+        kinds.append(
+            f"SELECT doc_id, {k} AS k, '{kind}' AS kind, m[i] AS hit, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS begins, length({value}) >= {least} AS good "
+            f"FROM (SELECT doc_id, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p FROM d))"
+        )
+    text = "kind || ':' || begins || ':' || (begins + length(hit))"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS ({' UNION ALL '.join(kinds)}), g AS (SELECT * FROM h WHERE good)
+SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, sha256(coalesce(string_agg({text}, ',' ORDER BY begins, k) FILTER (k < {BASE}), '')) AS base_sha256, coalesce(string_agg({text}, ',' ORDER BY begins, k), '') AS spans
+FROM d LEFT JOIN g USING (doc_id) GROUP BY doc_id"""
+
+
+ORACLE = _oracle()

@@ -182,8 +182,10 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, most: int =
     """Learns from at most `sample` labelled documents outside the held-out fifth."""
     known = labelled.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("toxic")).where("l_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.where(~held_out("l_id")).groupBy("l_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
-    # The join's small side has at most `sample` rows.
-    train = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic"), "toxic-train")
+    # The join's small side has at most `sample` rows; of texts that share an id one is learned from, so the bound holds for rows.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    train = rows.join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    train = stored(train.select("doc_id", "text", "toxic"), "toxic-train")
     counts = train.select("text", "toxic").mapInArrow(_counted, "unit long, toxic long, tokens long, docs long")
     units = counts.groupBy("unit").agg(*[F.sum(F.when(F.col("toxic") == t, F.col(c)).otherwise(0)).alias(f"{c}{t}") for t in (0, 1) for c in ("tokens", "docs")])
     units = stored(units, "toxic-units")

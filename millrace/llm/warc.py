@@ -187,3 +187,14 @@ def read_warc(index: DataFrame, where: Column | None = None, payloads: bool = Tr
     parts = parts.sortWithinPartitions("file", "offset").select("file", "offset", "length")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return parts.mapInArrow(_read(payloads), schema + ", payload binary" * payloads)
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, url, strlen(h) AS payload_bytes, sha1(h) AS d, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(CAST('0x' || substr(d, CAST(i AS INT), 1) AS INT)), 4, '0')), '') AS bits FROM s),
+c AS (SELECT *, list_transform(range(0, 32), lambda j: list_sum(list_transform(range(1, 6), lambda k: CAST(substr(bits, CAST(5 * j + k AS INT), 1) AS INT) * CAST(power(2, 5 - k) AS INT)))) AS fives FROM b)
+SELECT page_id, url, payload_bytes, array_to_string(list_transform(fives, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(x AS INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM c
+"""

@@ -343,6 +343,20 @@ def test_large_items_pair_at_most_twice():
     assert check_packing([34, 34, 34], 100) == 2
 
 
+def test_sequences_have_no_gaps(spark, sf_dir):
+    by = {}
+    for r in packing.pack(common.documents(spark, sf_dir)).collect():
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    total = sum(n for parts in by.values() for _, n in parts)
+    assert len(by) <= 1.1 * total / packing.CAPACITY + 2
+
+
 def test_packed_pieces_hold_the_ids_of_the_tokenizer(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -498,6 +512,33 @@ def test_long_pages_are_read_in_stretches(monkeypatch):
     assert len(found) > 100 and np.allclose(html_main.chances(w, found, [len(found)]), whole, atol=1e-5)
 
 
+ARTICLE = (
+    "<h1>The long way home</h1><p>The reporter walked for nine days along the river, and wrote down what people said.</p>"
+    "<p>Nobody in the valley remembered a summer this dry, and the wells had been empty since May.</p>"
+    "<p class=lead'>It was the reporter's own story, told in full.</p><blockquote>We have waited for rain before, and it came.</blockquote>"
+)
+ARTICLE_TEXT = [
+    "The long way home", "The reporter walked for nine days along the river, and wrote down what people said.", "Nobody in the valley remembered a summer this dry, and the wells had been empty since May.",
+    "It was the reporter's own story, told in full.", "We have waited for rain before, and it came.",
+]
+
+
+@pytest.mark.parametrize(
+    "page, more",
+    [
+        (f"<body><nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav><article><noscript><iframe></iframe><p>Please enable JavaScript to read.</p></noscript>{ARTICLE}</article><footer>&copy; 2024 All rights reserved</footer>", []),
+        (f"<table><tr><td class=menu><a href=/>Home</a><br><a href=/b>About</a></td><td class=content>{ARTICLE}</td></tr></table><div id=footer>Contact us</div>", []),
+        (f"<div id=header><a href=/>Site</a></div><div class='cookie-banner'><p>We use cookies to improve your experience.</p><button>Accept</button></div><div id=main><div class=post-content>{ARTICLE}</div><div class=comments><h3>3 comments</h3><div class=comment><p>I loved this story, thank you so much.</p></div></div></div><div class=sidebar><h3>Related</h3><ul><li><a href=/x>Another story that may please you</a></ul></div>", []),
+        (f"<body><header><h2>Daily News</h2></header><main>{ARTICLE}<form><label>Email</label><input><button>Subscribe</button></form></main><aside class=widget><p>Buy our new book about rivers and wells today.</p></aside></body>", []),
+        (f"<body><div class=topbar>Mon 3 May</div><section class=story>{ARTICLE}<ul><li>First point about the river.</li><li>Second point about the well.</li></ul><div class=ad>Sponsored: cheap shoes</div></section><section class=newsletter><p>Subscribe to our newsletter for more.</p></section>", ["First point about the river.", "Second point about the well."]),
+    ],
+)
+def test_main_text_of_hand_labelled_pages(page, more):
+    found = blocks(page)
+    keep = html_main.chances(html_main.trained(), found, [len(found)]) >= 0.5
+    assert [t for (t, _, _), k in zip(found, keep) if k] == ARTICLE_TEXT + more
+
+
 def test_blocks_of_broken_pages():
     assert [t for t, _, _ in blocks("<p>a &amp; b<br>c<p><b>d  e<script>x</script><!-- y --><li>f<p")] == ["a & b c", "d e", "f"]
     assert blocks("") == [] and [t for t, _, _ in blocks("plain < text")] == ["plain < text"]

@@ -3,6 +3,7 @@ import random
 import corpus_pipeline as pipeline
 from millrace.llm import near_dup, packing, quality
 from millrace.llm.common import documents
+from tests.llm.test_operators import VOCABULARY, brute_counts, jaccard_classes
 
 
 def test_stages_hand_documents_on(spark, sf_dir):
@@ -48,3 +49,52 @@ def test_verdicts_take_effect_on_rows_and_not_on_ids(spark):
     near = pipeline.near_duplicates(spark, spark.createDataFrame([(1, clean, "a"), (1, clean, "a"), (None, other, "a"), (None, twin, "a"), (7, third, "a"), (7, "short", "a")], schema), "")
     got = near.collect()
     assert sorted(r["doc_id"] or 0 for r in got) == [0, 1, 7, 7] and {"short", third, clean} <= {r["text"] for r in got}
+
+
+def test_stages_keep_what_a_brute_force_version_keeps(spark, tmp_path):
+    """Base rules, one row of each exact text, one of each class, water-filled targets and whole documents in sequences, worked out in plain Python."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    text = lambda n: " ".join(rng.choice(VOCABULARY) + rng.choice(VOCABULARY) for _ in range(n))
+    texts = [text(rng.randint(40, 140)) for _ in range(30)]
+    for k in range(12):
+        words = texts[k].split()
+        words[rng.randrange(len(words))] = "other"
+        texts.append(" ".join(words))
+    texts += texts[:8] + ["", None, "ka le mi " * 40]
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    expected = {i: t for i, t, *_ in rows if brute_counts(t or "")[0] >= 50 and 100 * brute_counts(t or "")[4] <= 50 * brute_counts(t or "")[0]}
+    stages, docs, kept = dict(pipeline.STAGES), documents(spark, str(tmp_path)), []
+    for name in ("quality_rules", "exact_duplicates", "near_duplicates", "source_mix"):
+        docs = stages[name](spark, docs, str(tmp_path)).checkpoint()
+        kept.append(sorted(r["doc_id"] for r in docs.collect()))
+    assert kept[0] == sorted(expected)
+    first = {}
+    for i, t in sorted(expected.items()):
+        first.setdefault(t, i)
+    assert kept[1] == sorted(first.values())
+    classes = jaccard_classes([(i, expected[i], "s") for i in kept[1]])
+    assert kept[2] == sorted(set(classes.values()))
+    size = {i: len(expected[i].split()) for i in kept[2]}
+    sources = {s: [i for i in kept[2] if i % 3 == s] for s in range(3)}
+    left, budget, target = dict(enumerate((3.0, 1.0, 2.0))), 1.5 * sum(size.values()), {}
+    while True:
+        level = (budget - sum(target.values())) / sum(left.values())
+        over = [s for s in left if left[s] * level > 2 * sum(size[i] for i in sources[s])]
+        if not over:
+            break
+        for s in over:
+            del left[s]
+            target[s] = 2 * sum(size[i] for i in sources[s])
+    target |= {s: w * level for s, w in left.items()}
+    for s in range(3):
+        taken = sum(size[i] for i in kept[3] if i % 3 == s)
+        assert abs(taken - target[s]) <= max(size.values())
+    assert max(kept[3].count(i) for i in kept[3]) <= 2
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = stages["best_fit_packing"](spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in pieces) == sorted((i, len(tok.encode(expected[i], add_special_tokens=False).ids) + 1) for i in kept[3])
