@@ -53,11 +53,12 @@ def upserted(stream: DataFrame, keys: list[str], fold: Callable[[DataFrame], Dat
     out, state = new_path(spark, name), new_path(spark, f"{name}-state")
     columns = fold(stream.sparkSession.createDataFrame([], stream.schema)).schema
     table = T.StructType([*columns.fields, T.StructField("_batch", T.LongType()), T.StructField("_bucket", T.IntegerType())])
+    replace_partitions(spark.createDataFrame([], table), out, "_bucket")
 
     def merged(batch: DataFrame, number: int) -> None:
         folded = stored(fold(batch).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), f"{name}-batch")
         touched = [r[0] for r in folded.select("_bucket").distinct().collect()]  # `buckets` at most
-        old = spark.read.schema(table).parquet(out).where(F.col("_bucket").isin(touched)) if number else spark.createDataFrame([], table)
+        old = spark.read.schema(table).parquet(out).where(F.col("_bucket").isin(touched))
         done = [r[0] for r in old.where(F.col("_batch") >= number).select("_bucket").distinct().collect()]
         both = old.unionByName(folded, allowMissingColumns=True).where(~F.col("_bucket").isin(done)).select(*columns.names)
         rows = combine(both).withColumns({"_batch": F.lit(number).cast("long"), "_bucket": F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")})
