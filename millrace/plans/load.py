@@ -31,10 +31,10 @@ FACT = (
 )
 #: Columns of each table; `part` and the columns behind the bar are its partitions.
 TABLES = {
-    "raw": "partition_date date, row_num long, payload string, extracted_at timestamp | run_id string, part string",
+    "raw": "partition_date date, row_num long, payload string, extracted_at timestamp | run_id string",
     "fact": f"{FACT} | part string",
     "daily": "date_key int, borough string, complaint_type string, requests long, closed long, avg_resolution_hours decimal(10,2) | part string",
-    "stats": "run_id string, partition_date date, stage string, rows_in long, rows_out long, rows_rejected long, duplicates_removed long, rows_inserted long, rows_updated long, attempt int, checks string, updated_at timestamp | part string",
+    "stats": "partition_date date, stage string, rows_in long, rows_out long, rows_rejected long, duplicates_removed long, rows_inserted long, rows_updated long, attempt int, checks string, updated_at timestamp | run_id string",
     "rejected": "partition_date date, row_num long, unique_key string, reason string | run_id string",
     "runs": "pipeline string, mode string, start_date date, end_date date, partitions int, status string, started_at timestamp, finished_at timestamp, report string | run_id string",
     "watermark": "complete_through date, last_run_id string | pipeline string",
@@ -68,13 +68,13 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def replace(df: DataFrame, root: str, name: str) -> None:
-    """Overwrites the partitions of a table that df has rows in, with files of a good size; a table without partitions is overwritten whole."""
+def replace(df: DataFrame, root: str, name: str, small: bool = False) -> None:
+    """Overwrites the partitions of a table that df has rows in, with files of a good size (one, if small); a table without partitions is overwritten whole."""
     schema, parts = _columns(name)
     names = df.sparkSession.createDataFrame([], schema).columns
     df = df.select(*names)
     if parts:
-        merge.replace_partitions(df.hint("rebalance", *parts), f"{root}/{name}", *parts)
+        merge.replace_partitions(df.coalesce(1) if small else df.hint("rebalance", *parts), f"{root}/{name}", *parts)
     else:
         df.coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}")
 
@@ -109,7 +109,8 @@ def run(
     fault "drop_created_date" takes that key out of all records: a change of the feed's schema, for tests of the gate.
     """
     began = time.monotonic()
-    part = lambda day: F.date_format(day, GRAINS[grain]).alias("part")
+    digits = len(GRAINS[grain])
+    part = lambda key: F.substring(F.col(key).cast("string"), 1, digits)
     n_days = (last - first).days + 1
     in_range = F.col("partition_date").between(first, last)
     low, high = (int(d.strftime("%Y%m%d")) for d in (first, last))
@@ -120,13 +121,13 @@ def run(
 
     def told(status: str, report: str | None) -> None:
         row = (pipeline, mode, first, last, n_days, status, started, None if status == "RUNNING" else dt.datetime.now(dt.timezone.utc), report, run_id)
-        replace(spark.createDataFrame([row], _columns("runs")[0]), root, "runs")
+        replace(spark.createDataFrame([row], _columns("runs")[0]), root, "runs", small=True)
 
     told("RUNNING", None)
 
     # Extract: the records of the run, replacing what an earlier attempt has left.
     payload = F.col("payload") if fault == "none" else F.to_json(F.map_filter(F.from_json("payload", "map<string,string>"), lambda k, v: k != "created_date"))
-    fetched = raw.where(in_range).select("partition_date", "row_num", payload.alias("payload"), F.current_timestamp().alias("extracted_at"), F.lit(run_id).alias("run_id"), part("partition_date"))
+    fetched = raw.where(in_range).select("partition_date", "row_num", payload.alias("payload"), F.current_timestamp().alias("extracted_at"), F.lit(run_id).alias("run_id"))
     deleted(spark, f"{root}/raw/run_id={run_id}")
     replace(fetched, root, "raw")
     landed = read(spark, root, "raw").where(F.col("run_id") == run_id).select("run_id", "partition_date", "row_num", "payload")
@@ -168,7 +169,7 @@ def run(
         others = [pool.submit(lambda: _grown(spark, root, "date", new_days())), pool.submit(names_grown), pool.submit(lambda: replace(staging.rejected(reasoned), root, "rejected"))]
         dims = {name: f.result() for name, f in growing.items()}
         names = [f.result() for f in others][1]
-    new = stored(star.facts(incoming, dims).withColumn("part", F.substring(F.col("created_date_key").cast("string"), 1, 8 if grain == "day" else 6)), "load-facts")
+    new = stored(star.facts(incoming, dims).withColumn("part", part("created_date_key")), "load-facts")
     old = read(spark, root, "fact")
     known = old.select("unique_key", F.col("source_updated_at").alias("old_version"), F.col("part").alias("old_part"), F.lit(True).alias("there"))
     outcome = new.select("unique_key", "partition_date", "part", "source_updated_at").join(known, "unique_key", "left")
@@ -181,7 +182,7 @@ def run(
         ours = old.where(F.col("part").isin(sorted(touched))).join(changed.select("unique_key"), "unique_key", "left_anti")
         contents = stored(ours.unionByName(new.join(changed.select("unique_key"), "unique_key", "left_semi")), "load-contents")
         left = {r[0] for r in contents.select("part").distinct().collect()}
-        again = star.daily_aggregate(contents, dims).withColumn("part", F.substring(F.col("date_key").cast("string"), 1, 8 if grain == "day" else 6))
+        again = star.daily_aggregate(contents, dims).withColumn("part", part("date_key"))
         replace(again, root, "daily")
         replace(contents, root, "fact")
         for name in ("fact", "daily"):
@@ -202,12 +203,12 @@ def run(
     counted = outcome.groupBy("partition_date").agg(*[F.count_if(F.col("action") == a).alias(n) for a, n in (("insert", "inserted"), ("update", "updated"))])
     loaded = per_day.select("partition_date", "rows_out").join(counted, "partition_date", "left").fillna(0)
     load = of(loaded, "load", F.struct((F.col("rows_out") - F.col("inserted") - F.col("updated")).alias("unchanged")), rows_in=F.col("rows_out"), rows_out=F.col("inserted") + F.col("updated"), rows_inserted=F.col("inserted"), rows_updated=F.col("updated"))
-    fresh = extract.unionByName(validate).unionByName(transform).unionByName(load).withColumn("part", part("partition_date"))
+    fresh = extract.unionByName(validate).unionByName(transform).unionByName(load)
     keys = ["run_id", "partition_date", "stage"]
-    held = stored(read(spark, root, "stats").where(F.col("part").between(first.strftime("%Y%m%d" if grain == "day" else "%Y%m"), last.strftime("%Y%m%d" if grain == "day" else "%Y%m"))), "load-held", small=True)
+    held = stored(read(spark, root, "stats").where(F.col("run_id") == run_id), "load-held", small=True)
     attempts = held.select(*keys, F.col("attempt").alias("tried"))
     fresh = stored(fresh.join(attempts, keys, "left").withColumns({"attempt": (F.coalesce("tried", F.lit(0)) + 1).cast("int"), "updated_at": now}).drop("tried"), "load-stats", small=True)
-    replace(held.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh), root, "stats")
+    replace(held.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh), root, "stats", small=True)
 
     # Finalize: all days must have been loaded before the watermark moves.
     complete = fresh.where("stage = 'load'").select("partition_date").distinct().count() == n_days
@@ -217,11 +218,10 @@ def run(
     if complete:
         after = watermark.advance(spark.createDataFrame([(current, first, last)], "current date, start_day date, end_day date")).collect()[0]["after"]
     if after != current:
-        replace(spark.createDataFrame([(after, run_id, pipeline)], _columns("watermark")[0]), root, "watermark")
+        replace(spark.createDataFrame([(after, run_id, pipeline)], _columns("watermark")[0]), root, "watermark", small=True)
     when = lambda stage, column: F.coalesce(F.sum(F.when(F.col("stage") == stage, F.col(column))), F.lit(0))
     sums = fresh.agg(when("extract", "rows_out").alias("rows_extracted"), when("transform", "rows_rejected").alias("rows_rejected"), when("transform", "duplicates_removed").alias("duplicates_removed"), when("transform", "rows_out").alias("rows_accepted"), when("load", "rows_inserted").alias("rows_inserted"), when("load", "rows_updated").alias("rows_updated"))
-    parts = (low, high) if grain == "day" else (low // 100, high // 100)
-    pruned = lambda name: read(spark, root, name).where(F.col("part").between(*map(str, parts)))
+    pruned = lambda name: read(spark, root, name).where(F.col("part").between(str(low)[:digits], str(high)[:digits]))
     ranged = pruned("fact").where(F.col("created_date_key").between(low, high))
     facts = ranged.agg(F.count(F.lit(1)).alias("fact_rows_in_range"))
     digest = star.checksum(ranged, [F.col(c).cast("string") for c in ("agency_key", "complaint_key", "location_key")])
