@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import date_key
 from millrace.operators.merge import assign_keys
+from millrace.storage import stored
+
+#: Natural keys of the dimensions.
+NATURAL = {"agency": ["agency_code"], "complaint": ["complaint_type", "descriptor"], "location": ["borough", "zip"]}
+#: What a fact takes from a staged row as it is, behind its keys.
+CARRIED = ("status", "created_at", "closed_at", "resolution_hours", "latitude", "longitude", "source_updated_at", "run_id", "partition_date")
 
 
 def dim_date(days: DataFrame, day: str = "day") -> DataFrame:
@@ -20,8 +28,9 @@ def dim_date(days: DataFrame, day: str = "day") -> DataFrame:
 
 def request_days(staged: DataFrame, zone: str = "America/New_York") -> DataFrame:
     """All local days on which a request was made or closed."""
-    local = lambda c: F.to_date(F.from_utc_timestamp(c, zone)).alias("day")
-    return staged.select(local("created_at")).union(staged.where("closed_at IS NOT NULL").select(local("closed_at"))).distinct()
+    local = lambda c: F.to_date(F.from_utc_timestamp(c, zone))
+    # Both days of a row at once: a union would compute the rows twice.
+    return staged.select(F.explode(F.array_compact(F.array(local("created_at"), local("closed_at")))).alias("day")).distinct()
 
 
 def best_names(staged: DataFrame, key: str = "agency_code", name: str = "agency_name") -> DataFrame:
@@ -29,25 +38,27 @@ def best_names(staged: DataFrame, key: str = "agency_code", name: str = "agency_
     return staged.groupBy(key).agg(F.min(name).alias(name))
 
 
+def dimension(name: str, staged: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """One of the dimensions, grown from an existing one (or none). It is stored: joins see its true size, and its keys are given out once."""
+    key, natural = f"{name}_key", NATURAL[name]
+    if existing is None:
+        existing = staged.sparkSession.createDataFrame([], f"{key} int, {', '.join(f'{c} string' for c in natural)}")
+    return stored(assign_keys(existing, staged, natural, key), f"dimension-{name}", small=True)
+
+
 def dimensions(staged: DataFrame, agencies: DataFrame | None = None, complaints: DataFrame | None = None, locations: DataFrame | None = None) -> dict[str, DataFrame]:
-    """agency, complaint and location dimensions, grown from existing ones (or none)."""
-    spark = staged.sparkSession
-    empty = lambda s: spark.createDataFrame([], s)
-    return {
-        "agency": assign_keys(agencies or empty("agency_key int, agency_code string"), staged, ["agency_code"], "agency_key"),
-        "complaint": assign_keys(complaints or empty("complaint_key int, complaint_type string, descriptor string"), staged, ["complaint_type", "descriptor"], "complaint_key"),
-        "location": assign_keys(locations or empty("location_key int, borough string, zip string"), staged, ["borough", "zip"], "location_key"),
-    }
+    """agency, complaint and location dimensions, grown from existing ones (or none). Each reads staged, so staged should be stored."""
+    with ThreadPoolExecutor(3) as pool:  # small independent jobs
+        growing = {name: pool.submit(dimension, name, staged, old) for name, old in zip(NATURAL, (agencies, complaints, locations))}
+        return {name: f.result() for name, f in growing.items()}
 
 
 def facts(staged: DataFrame, dims: dict[str, DataFrame], zone: str = "America/New_York") -> DataFrame:
-    """One row per request with the keys of its dimensions. Spark broadcasts a dimension while its size allows it."""
+    """One row per request with the keys of its dimensions and those of unique_key and CARRIED that staged has. Spark broadcasts a dimension while its size allows it."""
     local_key = lambda c: date_key(F.to_date(F.from_utc_timestamp(c, zone)))
     joined = staged.join(dims["agency"], "agency_code").join(dims["complaint"], ["complaint_type", "descriptor"]).join(dims["location"], ["borough", "zip"])
-    return joined.select(
-        "unique_key", local_key("created_at").alias("created_date_key"), local_key("closed_at").alias("closed_date_key"), "agency_key", "complaint_key", "location_key",
-        "status", "created_at", "closed_at", "resolution_hours", "latitude", "longitude", "source_updated_at", "run_id", "partition_date",
-    )
+    there = lambda *names: [c for c in names if c in staged.columns]
+    return joined.select(*there("unique_key"), local_key("created_at").alias("created_date_key"), local_key("closed_at").alias("closed_date_key"), "agency_key", "complaint_key", "location_key", *there(*CARRIED))
 
 
 def daily_aggregate(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:

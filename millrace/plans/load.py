@@ -44,7 +44,6 @@ TABLES = {
     "location": "location_key int, borough string, zip string",
     "date": "date_key int, full_date date, year int, month int, day int, day_of_week int, is_weekend boolean",
 }
-NATURAL = {"agency": ["agency_code"], "complaint": ["complaint_type", "descriptor"], "location": ["borough", "zip"]}
 #: Days or months as partitions of the growing tables.
 GRAINS = {"day": "yyyyMMdd", "month": "yyyyMM"}
 
@@ -165,7 +164,7 @@ def run(
 
     new_days = lambda: star.dim_date(star.request_days(incoming)).join(read(spark, root, "date").select("date_key"), "date_key", "left_anti")
     with ThreadPoolExecutor(6) as pool:  # small independent jobs
-        growing = {name: pool.submit(lambda name=name, keys=keys: _grown(spark, root, name, merge.fresh_keys(read(spark, root, name), incoming, keys, f"{name}_key"))) for name, keys in NATURAL.items()}
+        growing = {name: pool.submit(lambda name=name, keys=keys: _grown(spark, root, name, merge.fresh_keys(read(spark, root, name), incoming, keys, f"{name}_key"))) for name, keys in star.NATURAL.items()}
         others = [pool.submit(lambda: _grown(spark, root, "date", new_days())), pool.submit(names_grown), pool.submit(lambda: replace(staging.rejected(reasoned), root, "rejected"))]
         dims = {name: f.result() for name, f in growing.items()}
         names = [f.result() for f in others][1]

@@ -13,7 +13,7 @@ from millrace.functions import columns as C
 from millrace.operators import dag, eventlog, forensics, merge, quality_gate, staging, star, watermark
 from millrace.plans import load, runs
 from millrace.sources import adapters, raw
-from millrace.storage import new_path
+from millrace.storage import new_path, stored
 from millrace.streaming import folds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,12 +136,18 @@ def dim_agency_best_name(spark, sf_dir):
 
 @query
 def dim_location(spark, sf_dir):
-    return star.dimensions(staged(spark, sf_dir))["location"]
+    return star.dimension("location", staged(spark, sf_dir))
+
+
+def _star_rows(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Some columns of the staged rows, with the natural keys, computed once for the dimensions and the facts."""
+    keys = [c for natural in star.NATURAL.values() for c in natural]
+    return stored(staged(spark, sf_dir).select(*keys, *columns), "star-rows")
 
 
 @query
 def fact_star_join(spark, sf_dir):
-    rows = staged(spark, sf_dir)
+    rows = _star_rows(spark, sf_dir, "unique_key", "created_at", "closed_at", "status", "resolution_hours")
     dims = star.dimensions(rows)
     fact = star.facts(rows, dims).join(dims["location"], "location_key").join(dims["complaint"], "complaint_key").join(dims["agency"], "agency_key")
     return fact.select("unique_key", "created_date_key", "closed_date_key", "agency_code", "complaint_type", "descriptor", "borough", "zip", "status", F.col("resolution_hours").cast("double").alias("resolution_hours"))
@@ -149,7 +155,7 @@ def fact_star_join(spark, sf_dir):
 
 @query
 def agg_daily(spark, sf_dir):
-    rows = staged(spark, sf_dir)
+    rows = _star_rows(spark, sf_dir, "created_at", "closed_at", "resolution_hours")
     dims = star.dimensions(rows)
     return star.daily_aggregate(star.facts(rows, dims), dims).withColumn("avg_resolution_hours", F.col("avg_resolution_hours").cast("double"))
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import merge, quality_gate, staging, star, watermark
-from millrace.plans import load
+from millrace.plans import load, queries
 from millrace.sources import raw, rest
 
 DAY = dt.date(2026, 10, 5)
@@ -235,3 +235,30 @@ def test_unnest_numbers_from_one_and_drop_key(spark):
     out = raw.unnest_page(pages)
     assert sorted((r["row_num"], r["record"]["a"]) for r in out.collect()) == [(51, "x"), (52, "y")]
     assert out.select(F.size(raw.drop_key(F.col("record"), "a")).alias("n")).agg(F.sum("n")).collect()[0][0] == 1
+
+
+def test_staged_rows_are_computed_once_for_the_star(spark, sf_dir, monkeypatch):
+    """Raw rows that a task has made are counted, whatever reads them: one pass for dimensions, facts and days."""
+    orders = raw.table(spark, sf_dir, "orders").count()
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    made = raw.requests_from_orders
+    n = made(spark, sf_dir).count()
+    assert n > orders  # some have a copy
+    monkeypatch.setattr(raw, "requests_from_orders", lambda *a: (df := made(*a)).mapInArrow(counted, df.schema))
+    for name in ("agg_daily", "fact_star_join", "dim_location", "dim_date"):
+        before = seen.value
+        queries.QUERIES[name](spark, sf_dir).collect()
+        assert seen.value - before == n, name
+
+
+def test_stored_dimensions_are_small_to_joins(spark):
+    rows = spark.createDataFrame([("A", "X", "", "B", "1"), ("A", "Y", "", "B", "2")], "agency_code string, complaint_type string, descriptor string, borough string, zip string")
+    dims = star.dimensions(rows)
+    assert all(d.inputFiles() for d in dims.values())
+    assert star.dimension("location", rows, dims["location"]).orderBy("location_key").collect() == dims["location"].orderBy("location_key").collect()
