@@ -19,7 +19,9 @@ from millrace.llm.wordbytes import steps, text_bytes, word_hashes, words
 
 DEFAULT = "word_bpe_49k.json"
 #: Chunks kept at most; a full store is emptied, which costs time and never changes a result.
-STORE = 3 << 19
+STORE = 3 << 18
+#: Runs of letters kept at most, as Python objects, which take the most room; only chunks new to the store look them up.
+LETTERS = 1 << 16
 _open: dict[tuple[str, bool], "ChunkTokenizer"] = {}
 
 
@@ -34,10 +36,10 @@ class ChunkTokenizer:
 
     def _clear(self) -> None:
         self._hashes = np.zeros(0, np.uint64)  # sorted
-        self._starts, self._counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._starts, self._counts = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self._flat = np.zeros(0, np.uint32)
         self._bytes = np.zeros(0, np.uint8)
-        self._at, self._sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._at, self._sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self._letters: dict[str, list[int]] = {}
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
@@ -57,6 +59,8 @@ class ChunkTokenizer:
                 heads.append(None)
                 odd.append(c)
                 tails.append([])
+        if len(self._letters) > LETTERS:
+            self._letters = {}
         fresh = list({h for h in heads if h is not None} - self._letters.keys())
         self._letters.update(zip(fresh, self._plain(fresh)))
         rest = iter(self._plain(odd))
@@ -70,8 +74,8 @@ class ChunkTokenizer:
         self._flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))])
         self._bytes = np.concatenate([self._bytes, np.frombuffer(b"".join(chunks), np.uint8)])
         place = np.searchsorted(self._hashes, hashes)  # hashes are sorted, so the store stays sorted
-        olds = (self._hashes, self._starts, self._counts, self._at, self._sizes)
-        self._hashes, self._starts, self._counts, self._at, self._sizes = (np.insert(old, place, new) for old, new in zip(olds, (hashes, starts, counts, at, sizes)))
+        for name, new in (("_hashes", hashes), ("_starts", starts), ("_counts", counts), ("_at", at), ("_sizes", sizes)):  # one after the other: only one is there twice
+            setattr(self, name, np.insert(getattr(self, name), place, new))
 
     def _others(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The chunks whose bytes are not those of their entry in the store."""

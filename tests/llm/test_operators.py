@@ -663,3 +663,16 @@ def test_shared_folder_is_that_of_the_session(spark):
 )
 def test_elements_without_page_text_hide_no_more_than_themselves(page, texts):
     assert [t for t, _, _ in blocks(page)] == texts
+
+
+def test_a_worker_keeps_few_runs_of_letters(monkeypatch):
+    """Memory of a worker that has seen many words: runs of letters are dropped, and the ids stay those of the library."""
+    from millrace.llm import tokens as t
+    import public_tokenizers
+
+    monkeypatch.setattr(t, "LETTERS", 100, raising=False)
+    tok = t.ChunkTokenizer(public_tokenizers.path(t.DEFAULT))
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + k)}{m}" for i in range(300)) for k in range(6) for m in ("", ".")]
+    found = [list(map(int, ids)) for text in texts for ids in tok.encode(pa.array([text]))]
+    assert found == tok._plain(texts)
+    assert len(tok._letters) <= 100 + 300
