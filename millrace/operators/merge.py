@@ -83,9 +83,9 @@ def replace_range(existing: DataFrame, rebuilt: DataFrame, inside: Column) -> Da
     return existing.where(~F.coalesce(inside, F.lit(False))).unionByName(rebuilt.where(inside).select(*existing.columns))
 
 
-def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
+def replace_partitions(df: DataFrame, path: str, *by: str, **options: object) -> None:
     """Overwrites just the partitions that df has rows in."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    df.write.mode("overwrite").options(**options).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def conflicts(log: DataFrame, appended: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from millrace.functions.columns import half_up, percent
 
 #: Columns that a request must have, in the order of the reports.
 REQUIRED = ("unique_key", "created_date", "agency", "complaint_type")
+#: Raw fields that a profile reads.
+PROFILED = (*REQUIRED, "borough", "incident_zip")
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,12 @@ def profile(raw: DataFrame, *by: str) -> DataFrame:
 
     A missing key counts as a duplicate, since the distinct keys leave it out.
     """
-    fields = opened(raw).select(*by, *[raw_field(f).alias(f) for f in (*REQUIRED, "borough", "incident_zip")])
+    return profile_of(opened(raw), *by)
+
+
+def profile_of(records: DataFrame, *by: str) -> DataFrame:
+    """The profile of records that are open already and have their raw keys (see raw_field)."""
+    fields = records.select(*by, *[raw_field(f).alias(f) for f in PROFILED])
     missing = [blank(F.col(c)) for c in REQUIRED]
     anything = missing[0]
     for m in missing[1:]:

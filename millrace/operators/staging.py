@@ -7,10 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import DATE_ONLY, boxed_decimal, collapsed, hours_between, local_time, local_to_utc, title_case, trimmed
-from millrace.operators.quality_gate import opened, raw_field
+from millrace.operators.quality_gate import PROFILED, opened, raw_field
 
 #: Raw fields that only the cleaning reads.
 LATER = ("agency_name", "descriptor", "borough", "incident_zip", "status", "latitude", "longitude")
+#: Raw fields that are kept beside what is read from them, for a profile.
+KEPT = tuple(f for f in PROFILED if f not in LATER)
 
 
 def parse(raw: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -25,7 +27,7 @@ def parse(raw: DataFrame, as_of: Column | None = None) -> DataFrame:
         "run_id",
         "partition_date",
         "row_num",
-        *[f(k) for k in LATER],
+        *[f(k) for k in (*LATER, *KEPT)],
         trimmed(f("unique_key")).alias("unique_key"),
         local_time(f("created_date")).alias("created_local"),
         local_time(f("closed_date")).alias("closed_local"),
@@ -63,7 +65,7 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def stage(reasoned: DataFrame) -> DataFrame:
     """Accepted rows in their final types, the latest version of each key of a partition."""
     f = raw_field
-    newest = latest(reasoned.where(F.col("reject_reason").isNull()), ["run_id", "partition_date", "unique_key"], [F.col("source_updated_at").desc_nulls_last(), F.col("row_num").desc()])
+    newest = latest(reasoned.where(F.col("reject_reason").isNull()), ["unique_key", "partition_date", "run_id"], [F.col("source_updated_at").desc_nulls_last(), F.col("row_num").desc()])
     return newest.select(
         "run_id", "partition_date", "row_num", "unique_key", "created_at", "closed_at", "agency_code", trimmed(f("agency_name")).alias("agency_name"),
         title_case(F.col("complaint_raw")).alias("complaint_type"),

@@ -53,12 +53,16 @@ def dimensions(staged: DataFrame, agencies: DataFrame | None = None, complaints:
         return {name: f.result() for name, f in growing.items()}
 
 
+def local_date_key(c: Column | str, zone: str = "America/New_York") -> Column:
+    """The date key of a time's local day."""
+    return date_key(F.to_date(F.from_utc_timestamp(c, zone)))
+
+
 def facts(staged: DataFrame, dims: dict[str, DataFrame], zone: str = "America/New_York") -> DataFrame:
     """One row per request with the keys of its dimensions and those of unique_key and CARRIED that staged has. Spark broadcasts a dimension while its size allows it."""
-    local_key = lambda c: date_key(F.to_date(F.from_utc_timestamp(c, zone)))
     joined = staged.join(dims["agency"], "agency_code").join(dims["complaint"], ["complaint_type", "descriptor"]).join(dims["location"], ["borough", "zip"])
     there = lambda *names: [c for c in names if c in staged.columns]
-    return joined.select(*there("unique_key"), local_key("created_at").alias("created_date_key"), local_key("closed_at").alias("closed_date_key"), "agency_key", "complaint_key", "location_key", *there(*CARRIED))
+    return joined.select(*there("unique_key"), local_date_key("created_at", zone).alias("created_date_key"), local_date_key("closed_at", zone).alias("closed_date_key"), "agency_key", "complaint_key", "location_key", *there(*CARRIED))
 
 
 def daily_aggregate(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:

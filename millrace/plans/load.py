@@ -44,6 +44,8 @@ TABLES = {
     "location": "location_key int, borough string, zip string",
     "date": "date_key int, full_date date, year int, month int, day int, day_of_week int, is_weekend boolean",
 }
+#: Records are costly to parse: small row groups let several tasks read one file.
+ROW_GROUPS = {"raw": {"parquet.block.size": 8 << 20}}
 #: Days or months as partitions of the growing tables.
 GRAINS = {"day": "yyyyMMdd", "month": "yyyyMM"}
 
@@ -73,7 +75,7 @@ def replace(df: DataFrame, root: str, name: str, small: bool = False) -> None:
     names = df.sparkSession.createDataFrame([], schema).columns
     df = df.select(*names)
     if parts:
-        merge.replace_partitions(df.coalesce(1) if small else df.hint("rebalance", *parts), f"{root}/{name}", *parts)
+        merge.replace_partitions(df.coalesce(1) if small else df.hint("rebalance", *parts), f"{root}/{name}", *parts, **ROW_GROUPS.get(name, {}))
     else:
         df.coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}")
 
@@ -109,7 +111,7 @@ def run(
     """
     began = time.monotonic()
     digits = len(GRAINS[grain])
-    part = lambda key: F.substring(F.col(key).cast("string"), 1, digits)
+    part = lambda key: F.substring((F.col(key) if isinstance(key, str) else key).cast("string"), 1, digits)
     n_days = (last - first).days + 1
     in_range = F.col("partition_date").between(first, last)
     low, high = (int(d.strftime("%Y%m%d")) for d in (first, last))
@@ -133,7 +135,9 @@ def run(
 
     # Validate: a row per day of the range, as bounded as the range; a day without records has a profile too.
     days = spark.createDataFrame([(first, last)], "a date, b date").select(F.explode(F.sequence("a", "b")).alias("partition_date"))
-    profiled = quality_gate.profile(landed, "partition_date")
+    # Records are parsed once, whatever their day: profile, rejects, statistics and facts are read from what was kept of that.
+    parsed = stored(staging.with_reason(staging.parse(landed, as_of)), "load-reasoned")
+    profiled = quality_gate.profile_of(parsed, "partition_date")
     profiled = days.join(profiled, "partition_date", "left").fillna(0)
     gates = quality_gate.gate(profiled, limits)
     past = read(spark, root, "stats").where((F.col("stage") == "extract") & F.col("partition_date").between(first - dt.timedelta(limits.history_days), last - dt.timedelta(1)))
@@ -146,13 +150,13 @@ def run(
     verdicts = stored(verdicts, "load-verdicts", small=True)
     bad = verdicts.where("NOT passed").select("partition_date", "reasons").orderBy("partition_date").collect()
 
-    # Transform: records are parsed once; rejects and statistics are read from what was kept of that.
-    good = landed.join(F.broadcast(verdicts.where("passed").select("partition_date")), "partition_date", "left_semi")
-    reasoned = stored(staging.with_reason(staging.parse(good, as_of)), "load-reasoned")
-    staged = staging.stage(reasoned.repartition("unique_key"))
+    # Transform: days that passed.
+    reasoned = parsed.join(F.broadcast(verdicts.where("passed").select("partition_date")), "partition_date", "left_semi")
+    staged = staging.stage(reasoned.drop(*[quality_gate.raw_field(f) for f in staging.KEPT]).repartition("unique_key"))
     # One key may come in several days: the latest version, then the later day, then the later row, meets the facts.
-    newest = F.row_number().over(staging.W.partitionBy("unique_key").orderBy(F.col("source_updated_at").desc_nulls_last(), F.col("partition_date").desc(), F.col("row_num").desc()))
-    staged = stored(staged.withColumn("newest", newest == 1), "load-staged")
+    # A key has one row a day by now. A maximum needs no order of its own: the rows stand by key already.
+    newest = F.max(F.struct("source_updated_at", "partition_date")).over(staging.W.partitionBy("unique_key"))["partition_date"]
+    staged = stored(staged.withColumns({"newest": F.col("partition_date") == newest, "part": part(star.local_date_key("created_at"))}), "load-staged")
     incoming = staged.where("newest")
 
     # Load: dimensions grow, then the facts that changed replace their partitions.
@@ -168,18 +172,20 @@ def run(
         others = [pool.submit(lambda: _grown(spark, root, "date", new_days())), pool.submit(names_grown), pool.submit(lambda: replace(staging.rejected(reasoned), root, "rejected"))]
         dims = {name: f.result() for name, f in growing.items()}
         names = [f.result() for f in others][1]
-    new = stored(star.facts(incoming, dims).withColumn("part", part("created_date_key")), "load-facts")
     old = read(spark, root, "fact")
     known = old.select("unique_key", F.col("source_updated_at").alias("old_version"), F.col("part").alias("old_part"), F.lit(True).alias("there"))
-    outcome = new.select("unique_key", "partition_date", "part", "source_updated_at").join(known, "unique_key", "left")
+    outcome = incoming.select("unique_key", "partition_date", "part", "source_updated_at").join(known, "unique_key", "left")
     action = F.when(F.col("there").isNull(), "insert").when(merge.newer(F.col("source_updated_at"), F.col("old_version")), "update").otherwise("unchanged")
     outcome = stored(outcome.select("unique_key", "partition_date", "part", "old_part", action.alias("action")), "load-outcome")
     changed = outcome.where("action <> 'unchanged'")
-    # As many partitions as days or months: a short list.
-    touched = {r[0] for r in changed.select(F.explode(F.array_compact(F.array("part", F.when(F.col("action") == "update", F.col("old_part"))))).alias("p")).distinct().collect()}
+    # As many partitions as days or months, for each action: a short list.
+    found = outcome.select("action", F.explode(F.array_compact(F.array("part", F.when(F.col("action") == "update", F.col("old_part"))))).alias("p")).distinct().collect()
+    touched = {p for action, p in found if action != "unchanged"}
     if touched:
         ours = old.where(F.col("part").isin(sorted(touched))).join(changed.select("unique_key"), "unique_key", "left_anti")
-        contents = stored(ours.unionByName(new.join(changed.select("unique_key"), "unique_key", "left_semi")), "load-contents")
+        # Facts are made of changed rows only; where all rows are, as in a first load, none has to be looked up.
+        news = incoming if all(action != "unchanged" for action, _ in found) else incoming.join(changed.select("unique_key"), "unique_key", "left_semi")
+        contents = stored(ours.unionByName(star.facts(news, dims).withColumn("part", part("created_date_key"))), "load-contents")
         left = {r[0] for r in contents.select("part").distinct().collect()}
         again = star.daily_aggregate(contents, dims).withColumn("part", part("date_key"))
         replace(again, root, "daily")
@@ -234,7 +240,7 @@ def run(
         "failed_days": [f"data quality gate failed for {r['partition_date']}: {r['reasons']}" for r in bad],
     }
     told("COMPLETED" if complete else "FAILED", json.dumps(report))
-    removed(gates, verdicts, reasoned, staged, new, outcome, held, fresh, names)
+    removed(gates, verdicts, parsed, staged, outcome, held, fresh, names)
     return report
 
 

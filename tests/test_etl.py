@@ -262,3 +262,18 @@ def test_stored_dimensions_are_small_to_joins(spark):
     dims = star.dimensions(rows)
     assert all(d.inputFiles() for d in dims.values())
     assert star.dimension("location", rows, dims["location"]).orderBy("location_key").collect() == dims["location"].orderBy("location_key").collect()
+
+
+def test_a_load_parses_records_once_and_a_rerun_makes_no_facts(spark, tmp_path, monkeypatch):
+    parsed, made = [], []
+    inside, facts = quality_gate.opened, star.facts
+    monkeypatch.setattr(staging, "opened", lambda *a: parsed.append(a) or inside(*a))
+    monkeypatch.setattr(quality_gate, "opened", lambda *a: parsed.append(a) or inside(*a))
+    monkeypatch.setattr(star, "facts", lambda *a: made.append(a) or facts(*a))
+    day = dt.date(2024, 1, 1)
+    record = {"unique_key": "1", "created_date": "2024-01-01T10:00:00", "agency": "a", "complaint_type": "noise", ":updated_at": "2024-01-01T10:00:00Z"}
+    rows = spark.createDataFrame([(day, k, json.dumps(record | {"unique_key": str(k)})) for k in range(1, 4)], "partition_date date, row_num long, payload string")
+    reports = [load.run(spark, rows, f"file://{tmp_path}/house", f"run-{n}", day, day, limits=queries.OPEN) for n in (1, 2)]
+    assert [(r["rows_inserted"], r["rows_unchanged"], r["fact_rows_in_range"]) for r in reports] == [(3, 0, 3), (0, 3, 3)]
+    assert reports[0]["fact_checksum"] == reports[1]["fact_checksum"]
+    assert (len(parsed), len(made)) == (2, 1)
