@@ -61,14 +61,35 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, counts
 
 
+def eights(part: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, zeros behind the end."""
+    return np.ndarray((len(part) + 1,), "<u8", np.concatenate([part, np.zeros(8, np.uint8)]), strides=(1,))
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return run_hashes(raw[int(offsets[0]) : int(offsets[-1])], starts, ends)
 
 
+def other_bytes(part: np.ndarray, starts: np.ndarray, sizes: np.ndarray, stored: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which runs of part are not the bytes that stored holds at `at`, compared 8 at a time."""
+    mine, theirs = eights(part), eights(stored)
+    out = np.zeros(len(sizes), bool)
+    who, left = np.arange(len(sizes)), sizes
+    if len(sizes) and sizes.max() > _LONG:
+        for k in np.flatnonzero(sizes > _LONG).tolist():
+            out[k] = not np.array_equal(part[starts[k] : starts[k] + sizes[k]], stored[at[k] : at[k] + sizes[k]])
+        who = np.flatnonzero(sizes <= _LONG)
+        starts, at, left = starts[who], at[who], left[who]
+    while len(who):
+        out[who[(mine[starts] ^ theirs[at]) & _LOW[np.minimum(left, 8)] != 0]] = True
+        more = left > 8
+        who, starts, at, left = who[more], starts[more] + 8, at[more] + 8, left[more] - 8
+    return out
+
+
 def run_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run of bytes: 8 bytes at a time, mixed in one after the other, so that no arithmetic of the bytes cancels out."""
-    padded = np.concatenate([part, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(part) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    eight = eights(part)
     left = np.asarray(ends - starts, np.int64)
     out = left.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     who, at = np.arange(len(out)), np.asarray(starts, np.int64)

@@ -676,3 +676,39 @@ def test_a_worker_keeps_few_runs_of_letters(monkeypatch):
     found = [list(map(int, ids)) for text in texts for ids in tok.encode(pa.array([text]))]
     assert found == tok._plain(texts)
     assert len(tok._letters) <= 100 + 300
+
+
+def test_forms_of_a_word_are_encoded_once_and_by_the_model_alone():
+    """CPU time of op10_best_fit_packing, op3_token_counts and pipeline: case, marks and digits make no new words."""
+    from millrace.llm import tokens as t
+    import public_tokenizers
+
+    tok = t.ChunkTokenizer(public_tokenizers.path(t.DEFAULT))
+    words = [f"{a}{b}{c}ß" for a in "abcdéfgh" for b in "klmnop" for c in "rstuvö"]
+    texts = [" ".join(form(w) for w in words) for form in (str, str.capitalize, lambda w: w[:-1].upper(), "{}.".format, "{}$$$,".format, "({}-{}%)".format(7, "{}").format)]
+    expected, through = tok._plain(texts), []
+    plain = tok._plain
+    tok._plain = lambda chunks: through.extend(chunks) or plain(chunks)
+    assert [ids.tolist() for text in texts for ids in tok.encode(pa.array([text]))] == expected
+    assert through == []
+    assert len(tok._letters) <= 2 * len(words) + 10
+
+
+@pytest.mark.parametrize("plain_marks", [False, True])
+def test_pieces_have_the_ids_of_the_tokenizer(plain_marks):
+    from millrace.llm import tokens as t
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(t.DEFAULT)
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = plain_marks
+    rng = random.Random(4)
+    parts = ["ab", "The", "ß", "É", "ÿ", "×", "÷", "Þ", "Ñ", ".", ",", "$$", "'", "'s", "'LL", "7", "42", "½", "²", "µ", "ª", "_", "<", ">", "|", "<|endoftext|>", " ", " ", "\n", "\t", "\u0301", "W\u030a", "İ", "ı", "ſ", "Ж", "中", "e\u0308", "\u00a0", "\u00ad", "\x1c", "\x00", "\x7f", "😀", "ﬁ", "\u2028", "Å", "\u0085"]
+    texts = ["".join(rng.choice(parts[: rng.choice([16, 26, len(parts)])]) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [None, "É" * 5000, "$" * 9000, "7" * 5000, "aB" * 6000]
+    expected = [e.ids for e in library.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    tok = t.ChunkTokenizer(path, plain_marks)
+    assert [ids.tolist() for ids in tok.encode(pa.array(texts))] == expected
+    assert [ids.tolist() for ids in tok.encode(pa.array(texts).slice(7))] == expected[7:]
+    tok._cuts, tok._letters = False, t._Store()
+    assert [ids.tolist() for ids in tok.encode(pa.array(texts))] == expected
